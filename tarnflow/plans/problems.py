@@ -4,7 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnflow.operators.smooth import weekly_series
 from tarnflow.operators.spikes import implausible
 from tarnflow.sources.tables import read_table
 
@@ -14,5 +16,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(read_table(spark, d, "obs")).select("obs_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks without a reading between a series' first and last."""
+    weeks = weekly_series(read_table(spark, d, "obs")).filter("missing")
+    return weeks.select("wqms_id", "var", F.date_format("week_end", "yyyy-MM-dd").alias("week_end"))
+
+
+def p4_series(spark: SparkSession, d: str) -> DataFrame:
+    """The weekly series with filled values, their band and missing flags."""
+    return weekly_series(read_table(spark, d, "obs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_found": p4_found, "p4_series": p4_series}
+SQL: dict[str, str] = {
+    "p4_found": """
+with readings as (
+  select distinct wqms_id, var, date_trunc('week', ts)::date as week from obs
+  where ts is not null and value is not null and not isnan(value) and wqms_id is not null and var in ('pH', 'Fe-Dis', 'Fe-Tot')
+), gaps as (
+  select wqms_id, var, week, lead(week) over (partition by wqms_id, var order by week) as next from readings
+)
+select wqms_id, var, strftime(unnest(generate_series(week + interval 7 day, next - interval 7 day, interval 7 day)) + interval 6 day, '%Y-%m-%d') as week_end
+from gaps where next > week + interval 7 day
+""",
+}
