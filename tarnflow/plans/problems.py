@@ -6,9 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.operators.nearest import DAY, nearest_in_time
 from tarnflow.operators.smooth import weekly_series
 from tarnflow.operators.spikes import implausible
-from tarnflow.sources.tables import read_table
+from tarnflow.session import materialise, small_side
+from tarnflow.sources.tables import micros, present, read_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +18,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(read_table(spark, d, "obs")).select("obs_id").distinct()
 
 
+def station_cells(spark: SparkSession, d: str) -> DataFrame:
+    """wqms_id, cell_id of every matched station, each pair once."""
+    cells = read_table(spark, d, "cells").select("ilat", "ilon", "cell_id").distinct()
+    return read_table(spark, d, "matches").select("wqms_id", "ilat", "ilon").distinct().join(cells, ["ilat", "ilon"]).select("wqms_id", "cell_id")
+
+
+def _p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    matched = small_side(materialise(station_cells(spark, d)))
+    obs = read_table(spark, d, "obs").filter(F.col("var").isin("pH", "Fe-Dis") & F.col("ts").isNotNull() & present("value"))
+    readings = obs.join(matched, "wqms_id").select("cell_id", "var", micros("ts").alias("t"), F.col("obs_id").alias("id"))
+    model = read_table(spark, d, "results").filter(F.col("ts").isNotNull())
+    t = micros("ts").alias("t")
+    steps = [
+        model.filter(present(c)).select("cell_id", F.lit(v).alias("var"), t, F.col("result_id").alias("id")) for c, v in (("ph", "pH"), ("ferric_iron", "Fe-Dis"))
+    ]
+    return nearest_in_time(readings, steps[0].unionByName(steps[1]), ["cell_id", "var"], 14 * DAY)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest model row of each reading at a matched station within 14 days."""
+    return _p3_pairs(spark, d).select(F.col("left_id").alias("obs_id"), F.col("right_id").alias("result_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Weeks without a reading between a series' first and last."""
     weeks = weekly_series(read_table(spark, d, "obs")).filter("missing")
@@ -27,8 +52,26 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return weekly_series(read_table(spark, d, "obs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p4_found": p4_found, "p4_series": p4_series}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series}
 SQL: dict[str, str] = {
+    "p3_found": """
+with cell as (
+  select distinct m.wqms_id, c.cell_id from matches m join cells c on c.ilat = m.ilat and c.ilon = m.ilon
+), reading as (
+  select distinct o.obs_id, c.cell_id, o.var, o.ts from obs o join cell c using (wqms_id)
+  where o.var in ('pH', 'Fe-Dis') and o.ts is not null and o.value is not null and not isnan(o.value)
+), step as (
+  select cell_id, 'pH' as var, ts, min(result_id) as result_id from results where ph is not null and not isnan(ph) and ts is not null group by all
+  union all
+  select cell_id, 'Fe-Dis', ts, min(result_id) from results where ferric_iron is not null and not isnan(ferric_iron) and ts is not null group by all
+), either as (
+  select r.obs_id, r.ts, s.ts as step_ts, s.result_id from reading r asof join step s on s.cell_id = r.cell_id and s.var = r.var and r.ts >= s.ts
+  union all
+  select r.obs_id, r.ts, s.ts, s.result_id from reading r asof join step s on s.cell_id = r.cell_id and s.var = r.var and r.ts <= s.ts
+)
+select obs_id, arg_min(result_id, (abs(epoch_us(step_ts) - epoch_us(ts)), step_ts)) as result_id from either
+where abs(epoch_us(step_ts) - epoch_us(ts)) <= 14 * 86400000000 group by obs_id
+""",
     "p4_found": """
 with readings as (
   select distinct wqms_id, var, date_trunc('week', ts)::date as week from obs
