@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.operators import hierarchy
 from tarnflow.operators.nearest import DAY, nearest_in_time
 from tarnflow.operators.smooth import weekly_series
 from tarnflow.operators.spikes import implausible
@@ -18,6 +19,39 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(read_table(spark, d, "obs")).select("obs_id").distinct()
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Downstream links of rivers and cells in one table, by `net`."""
+    rivers = read_table(spark, d, "rivers").select(F.lit("rivers").alias("net"), F.col("hyriv_id").alias("id"), F.col("next_down").alias("down"))
+    cells = read_table(spark, d, "cells").select(F.lit("cells").alias("net"), F.col("cell_id").alias("id"), F.col("out_id").alias("down"))
+    return materialise(hierarchy.parent_links(rivers.unionByName(cells), "id", "down", ["net"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Outlet and depth of every river segment and cell; loops have depth -1 and their smallest id."""
+    out = hierarchy.resolve(_links(spark, d), ["net"])
+    return out.select("net", F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Full path of every node down to its outlet."""
+    links = _links(spark, d)
+    return hierarchy.paths(links, materialise(hierarchy.resolve(links, ["net"])), ["net"])
+
+
+def p2_upstream(spark: SparkSession, d: str) -> DataFrame:
+    """All upstream nodes of every node, one row per pair."""
+    links = _links(spark, d)
+    pairs = hierarchy.ancestors(links, materialise(hierarchy.resolve(links, ["net"])), ["net"])
+    return pairs.select("net", F.col("ancestor").alias("node_id"), F.col("node").alias("upstream_id"), "hops")
+
+
+def p2_upstream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes lie upstream of every node; -1 where the path enters a loop."""
+    links = _links(spark, d)
+    out = hierarchy.descendant_counts(links, materialise(hierarchy.resolve(links, ["net"])), ["net"])
+    return out.select("net", F.col("node").alias("node_id"), F.coalesce("descendants", F.lit(-1)).alias("n_upstream"))
+
+
 def station_cells(spark: SparkSession, d: str) -> DataFrame:
     """wqms_id, cell_id of every matched station, each pair once."""
     cells = read_table(spark, d, "cells").select("ilat", "ilon", "cell_id").distinct()
@@ -52,8 +86,50 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return weekly_series(read_table(spark, d, "obs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_upstream": p2_upstream, "p2_upstream_counts": p2_upstream_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series}
+#: Links as `hierarchy.parent_links` makes them, and their walk; a walk stops where it meets its own start.
+_WALK = """
+with recursive raw as (
+  select 'rivers' as net, hyriv_id as node, min(case when next_down > 0 then next_down end) as parent from rivers where hyriv_id is not null group by 2
+  union all
+  select 'cells', cell_id, min(case when out_id > 0 then out_id end) from cells where cell_id is not null group by 2
+), link as (
+  select a.net, a.node, b.node as parent from raw a left join raw b on b.net = a.net and b.node = a.parent
+), tree as (
+  select net, node, node as root, 0 as depth from link where parent is null
+  union all
+  select l.net, l.node, t.root, t.depth + 1 from link l join tree t on l.net = t.net and l.parent = t.node
+), lost as (
+  select net, node, parent from link l anti join tree t using (net, node)
+), orbit as (
+  select net, node, parent as pos from lost
+  union
+  select o.net, o.node, l.parent from orbit o join lost l on l.net = o.net and l.node = o.pos
+), loops as (
+  select net, node from orbit where node = pos
+), answer as (
+  select net, node, root, depth from tree
+  union all
+  select o.net, o.node, min(o.pos), -1 from orbit o join loops p on p.net = o.net and p.node = o.pos group by 1, 2
+)"""
+
 SQL: dict[str, str] = {
+    "p2_found": _WALK + " select net, node as node_id, root as root_id, depth from answer",
+    "p2_upstream_counts": _WALK + """, up as (
+  select l.net, l.node, l.parent as pos from link l join tree t using (net, node) where l.parent is not null
+  union all
+  select u.net, u.node, l.parent from up u join link l on l.net = u.net and l.node = u.pos where l.parent is not null
+)
+select a.net, a.node as node_id, case when a.depth >= 0 then coalesce(c.n, 0) else -1 end as n_upstream
+from answer a left join (select net, pos, count(*) as n from up group by 1, 2) c on c.net = a.net and c.pos = a.node
+""",
+    "p2_upstream": _WALK + """, up as (
+  select l.net, l.parent as node_id, l.node as upstream_id, 1 as hops from link l join tree t using (net, node) where l.parent is not null
+  union all
+  select u.net, l.parent, u.upstream_id, u.hops + 1 from up u join link l on l.net = u.net and l.node = u.node_id where l.parent is not null
+)
+select net, node_id, upstream_id, hops from up
+""",
     "p3_found": """
 with cell as (
   select distinct m.wqms_id, c.cell_id from matches m join cells c on c.ilat = m.ilat and c.ilon = m.ilon
