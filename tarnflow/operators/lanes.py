@@ -88,7 +88,7 @@ def split_long(
     """
     # AQE turns these joins into broadcasts if, and only if, the written table is under Spark's threshold
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    long = materialise(counted.filter(F.col("_n") > rows_per_shard).coalesce(1))
+    long = materialise(counted.filter(F.col("_n") > rows_per_shard))
     whole = df.join(long.select(*keys), keys, "left_anti").withColumns({"shard": F.lit(0), "core": F.lit(True)})
     width = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1) * (rows_per_shard / 4) / F.col("_n"))
     binned = df.join(long, keys).withColumn("_bin", F.floor((F.col(ts) - F.col("_t0")) / width)).drop("_t0", "_t1")

@@ -132,7 +132,7 @@ def nearest_in_time(
     right = known(right).groupBy(*entity, "t").agg(F.min("id").alias("id"))
     right = right.withColumn("block", F.explode(F.sequence(block(F.col("t") - tolerance_us), block(F.col("t") + tolerance_us))))
     keys = [*entity, "block"]
-    hot = materialise(left.groupBy(*keys).count().filter(F.col("count") > rows_per_shard).select(*keys, F.ceil(F.col("count") / rows_per_shard).cast("int").alias("deals")).coalesce(1))
+    hot = materialise(left.groupBy(*keys).count().filter(F.col("count") > rows_per_shard).select(*keys, F.ceil(F.col("count") / rows_per_shard).cast("int").alias("deals")))
     deals = F.coalesce("deals", F.lit(1))
     left = left.join(hot, keys, "left").withColumn("deal", F.pmod(F.xxhash64("id"), deals).cast("int"))
     right = right.join(hot, keys, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import hierarchy
+from tarnflow.operators import hierarchy, places
 from tarnflow.operators.nearest import DAY, nearest_in_time
 from tarnflow.operators.smooth import weekly_series
 from tarnflow.operators.spikes import implausible
 from tarnflow.session import materialise, small_side
 from tarnflow.sources.tables import micros, present, read_table
+from tarnflow.sources.wkb import edge_rows
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,18 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return weekly_series(read_table(spark, d, "obs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_upstream": p2_upstream, "p2_upstream_counts": p2_upstream_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stations within 500 m of each other, within 1 km of a river line, and inside a basin."""
+    at = materialise(places.positions(read_table(spark, d, "stations"), "wqms_id", "lat", "lon"))
+    pairs = places.neighbours(at, "wqms_id", 500.0).select(F.lit("station").alias("rel"), "id_a", "id_b")
+    rivers = places.near_lines(at, "wqms_id", edge_rows(read_table(spark, d, "rivers"), "hyriv_id"), 1000.0).select("who", F.lit("river").alias("rel"), F.col("line").alias("other"))
+    basins = places.inside_regions(at, "wqms_id", edge_rows(read_table(spark, d, "basins"), "hybas_id")).select("who", F.lit("basin").alias("rel"), F.col("region").alias("other"))
+    other = F.col("other").cast("string")
+    mixed = rivers.unionByName(basins).select("rel", F.least("who", other).alias("id_a"), F.greatest("who", other).alias("id_b"))
+    return pairs.unionByName(mixed)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_upstream": p2_upstream, "p2_upstream_counts": p2_upstream_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found}
 #: Links as `hierarchy.parent_links` makes them, and their walk; a walk stops where it meets its own start.
 _WALK = """
 with recursive raw as (
