@@ -6,10 +6,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import shared_spans
+from tarnflow.llm import mixing, packing, shared_spans, tokens
+from tarnflow.session import materialise
 from tarnflow.sources.tables import read_table
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text, or piece of an oversized one, for every capacity, with its fill."""
+    # a fixed table of a few capacities
+    capacities = {r["capacity_id"]: r["capacity_tokens"] for r in read_table(spark, d, "pack_capacity").collect()}
+    return packing.fill_containers(packing.sized(tokens.token_counts(read_table(spark, d, "documents"))), capacities)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and how well they are filled, for every capacity."""
+    return packing.container_fill(p6_containers(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    texts, _ = shared_spans.distinct_texts(docs)
+    return mixing.mix(texts.join(docs.select("doc_id", "source"), "doc_id"), read_table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts to take and how often, so that the sources have their target shares."""
+    return _mix(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target shares and the shares really reached."""
+    return mixing.reached(materialise(_mix(spark, d)), read_table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of speeches with 200 or more characters in common."""
     docs = read_table(spark, d, "documents")
@@ -18,5 +47,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.expand_copies(shared_spans.shared_pairs(texts), copies, copies.join(long, "doc_id", "left_semi"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}
