@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnflow.functions.bounds import at_least
+
 
 @dataclass(frozen=True)
 class Channel:
@@ -50,7 +52,7 @@ def hydraulic_radius(q: Column, k: Channel = Channel()) -> Column:
 
 def velocity(q: Column, slope: Column, k: Channel = Channel()) -> Column:
     """Manning's velocity in m/s."""
-    return F.pow(hydraulic_radius(q, k), F.lit(2.0 / 3.0)) * F.sqrt(F.greatest(slope, F.lit(0.0))) / k.mannings
+    return F.pow(hydraulic_radius(q, k), F.lit(2.0 / 3.0)) * F.sqrt(at_least(slope, 0.0)) / k.mannings
 
 
 def chemistry_velocity(q: Column, slope: Column, k: Channel = Channel()) -> Column:
@@ -61,7 +63,7 @@ def chemistry_velocity(q: Column, slope: Column, k: Channel = Channel()) -> Colu
 
 def area(q: Column, v: Column) -> Column:
     """Cross-section in m2, at least 1e-6, and 1e-6 where there is no velocity (the output's rule)."""
-    return F.when(v > 0, F.greatest(q / F.nullif(v, F.lit(0.0)), F.lit(1e-6))).otherwise(F.lit(1e-6))
+    return F.when(v > 0, at_least(q / F.nullif(v, F.lit(0.0)), 1e-6)).otherwise(F.lit(1e-6))
 
 
 def volume(cross_section: Column, k: Channel = Channel()) -> Column:
@@ -74,7 +76,7 @@ def dispersion(q: Column, slope: Column, k: Channel = Channel()) -> Column:
     w, h, v = width(q, k), depth(q, k), velocity(q, slope, k)
     reynolds = DENSITY * v * 4 * hydraulic_radius(q, k) / VISCOSITY
     shear = (64 / (reynolds + 1e-30)) / 8 * DENSITY * v * v
-    friction = F.sqrt(F.greatest(shear / DENSITY, F.lit(1e-30)))
+    friction = F.sqrt(at_least(shear / DENSITY, 1e-30))
     return 5.4 * F.pow(w / (h + 1e-30), F.lit(0.7)) * F.pow(v / (friction + 1e-30), F.lit(0.13)) * h * v
 
 
