@@ -43,21 +43,24 @@ def resolve(links: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     done = state.filter("root is not null").select(*keys, "node", "root", "depth")
     left = state.filter("root is null").select(*keys, "node", "up")
     pending = left.count()
-    parts, step, rounds = [done], 1, 0
-    limit = _rounds_of(pending) + 1
-    reached = done
-    while pending and rounds < limit:
-        # the frontier: unreached nodes whose `step`-th ancestor was reached in the last round or before
+    parts, step, found = [done], 1, True
+    # the nodes of one round of depths missing, there are no deeper ones: the rest runs into loops, and is moved on
+    # until it has made as many links as there are such nodes
+    while pending and (found or step < pending):
         far = left.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"))
-        ends = reached.select(*keys, F.col("node").alias("up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        joined = left.join(ends.unionByName(far, allowMissingColumns=True), [*keys, "up"], "left")
+        if found:  # the frontier: nodes whose `step`-th ancestor was reached before
+            ends = _union(parts).select(*keys, F.col("node").alias("up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+            far = ends.unionByName(far, allowMissingColumns=True)
+        else:
+            far = far.withColumns({"_root": F.lit(None).cast("bigint"), "_depth": F.lit(None).cast("int")})
+        joined = left.join(far, [*keys, "up"], "left")
         joined = materialise(joined.select(*keys, "node", "_next", F.col("_root").alias("root"), (F.col("_depth") + F.lit(step)).alias("depth")))
-        new = joined.filter("root is not null").select(*keys, "node", "root", "depth")
-        parts.append(new)
         left = joined.filter("root is null").select(*keys, "node", F.col("_next").alias("up"))
-        pending = left.count()
-        reached = _union(parts)
-        step, rounds = 2 * step, rounds + 1
+        before, pending = pending, left.count()
+        found = pending < before
+        if found:
+            parts.append(joined.filter("root is not null").select(*keys, "node", "root", "depth"))
+        step *= 2
     out = _union(parts).select(*keys, "node", "root", F.col("depth").cast("int").alias("depth"), F.lit(False).alias("on_loop"))
     if not pending:
         return out
@@ -149,3 +152,18 @@ def accumulate(links: DataFrame, tree: DataFrame, keys: list[str] = []) -> DataF
         if state.filter("up is not null").isEmpty():
             return state.select(*keys, "node", "total")
     raise ValueError("a chain is longer than 2^64 links")
+
+
+def sum_to_root(links: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Sum of `value` over each node and everything below it to its root: keys, node, total.
+
+    `links` has keys, node, parent, value (no NULL). Nodes whose path enters a loop have no row. Round k adds the
+    sums of the nodes 2^k links below; log2(depth) + 1 rounds.
+    """
+    state = materialise(links.select(*keys, "node", F.col("parent").alias("up"), F.col("value").alias("total")))
+    for _ in range(_rounds_of(state.count()) + 1):
+        if state.filter("up is not null").isEmpty():
+            break
+        other = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_more"))
+        state = materialise(state.join(other, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
+    return state.filter("up is null").select(*keys, "node", "total")
