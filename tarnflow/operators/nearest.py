@@ -33,7 +33,7 @@ class LearnedIndex:
         within = np.arange(n) - np.repeat(starts[:-1], size)
         begin = np.flatnonzero(within % segment == 0)
         while True:
-            end = np.append(begin[1:], n)
+            end = np.append(begin, n)[1:]
             slope = (end - 1 - begin) / np.maximum(key[end - 1] - key[begin], 1)
             seg = np.repeat(np.arange(len(begin)), end - begin)
             off = np.abs(begin[seg] + slope[seg] * (key - key[begin][seg]) - np.arange(n))

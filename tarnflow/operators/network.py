@@ -66,12 +66,13 @@ def downstream_closure(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return marked
 
 
-def flow_accumulation(links: DataFrame, values: DataFrame) -> DataFrame:
+def flow_accumulation(links: DataFrame, values: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """node, total: the sum of `values` (node, value) over each node and all upstream; 0 counts for NULL and NaN.
 
-    Nodes whose path enters a loop have no row.
+    Nodes whose path enters a loop have no row. `tree` are the others, if they are known already.
     """
-    tree = resolve(links).filter("depth >= 0").select("node")
+    if tree is None:
+        tree = resolve(links).filter("depth >= 0").select("node")
     value = F.when(~F.isnan(F.col("value").cast("double")), F.col("value"))
     return accumulate(links.join(values.select("node", value.alias("value")), "node", "left"), tree)
 

@@ -1,0 +1,329 @@
+"""Acid drainage over river basins: kinetics, equilibrium and transport, one lane of cells per basin.
+
+Mass moves only downstream, so basins are independent. Spark deals basins to tasks; inside a task the cells of many
+basins form one forest, chemistry runs on all cells at once, and transport on all reaches of one topological rank at
+once. A basin is never split: on a 1 km grid the largest on earth has some seven million cells, under a gigabyte here.
+"""
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tarnflow.functions import chemistry as c
+from tarnflow.functions.hydraulics import DENSITY, VISCOSITY, Channel
+from tarnflow.operators.lanes import map_lanes
+
+FE2, FE3, H, SO4, SOLID, BED = range(6)
+SPECIES = ["ferrous_iron", "ferric_iron", "hydrogen_ion", "sulphate", "ferric_oxyhydroxide", "bedload_storage"]
+
+
+@dataclass(frozen=True)
+class Model:
+    """Fixed values of the model's defaults; `ratio` is the storage zone's size against the channel's.
+
+    Cells without slope, or with a slope below 0, hold the least cross-section in transport (1e-6 m2): a defined rule in
+    the place of an infinite volume.
+    """
+
+    channel: Channel = Channel()
+    oxygen: float = c.DISSOLVED_OXYGEN
+    settling: float = 0.00142
+    exchange: float = 1e-5
+    ratio: float = 0.5
+    max_substeps: int = 100
+    dt: float = 604_800.0
+    newton: int = 20
+    tolerance: float = 1e-10
+
+
+def _pyrite(fe3: np.ndarray, h: np.ndarray, ore: np.ndarray, v: np.ndarray, oxygen: float) -> tuple[np.ndarray, np.ndarray]:
+    acid = np.maximum(h / v, 1e-7)
+    by_iron = np.where(fe3 > 0, c.K_FERRIC * np.sqrt(np.maximum(fe3 / v, 1e-10)) / np.sqrt(acid) * ore, 0.0)
+    return by_iron, c.K_OXYGEN * np.sqrt(oxygen) / acid**0.11 * ore
+
+
+def oxidise_pyrite(s: np.ndarray, ore: np.ndarray, v: np.ndarray, m: Model) -> None:
+    """Backward Euler in place over amounts s (6, n): rates depend on ferric iron and acid only, so Newton solves for these two."""
+    dt, eps = m.dt / m.max_substeps, 1e-7
+    for _ in range(m.max_substeps):
+        old = s[:4].copy()
+        a, b = _pyrite(old[FE3], old[H], ore, v, m.oxygen)
+        fe3, h = np.maximum(old[FE3] - dt * 14 * a, 0), np.maximum(old[H] + dt * (16 * a + 2 * b), 0)
+        fe2, so4 = old[FE2] + dt * (15 * a + b), old[SO4] + dt * (2 * a + 2 * b)
+        open_ = np.ones(len(ore), bool)
+        for _ in range(m.newton):
+            a, b = _pyrite(fe3, h, ore, v, m.oxygen)
+            r3, rh = fe3 - old[FE3] + dt * 14 * a, h - old[H] - dt * (16 * a + 2 * b)
+            r2, rs = fe2 - old[FE2] - dt * (15 * a + b), so4 - old[SO4] - dt * (2 * a + 2 * b)
+            open_ = np.sqrt(r2**2 + r3**2 + rs**2 + rh**2) >= m.tolerance
+            if not open_.any():
+                break
+            a3, b3 = _pyrite(fe3 + eps, h, ore, v, m.oxygen)
+            ah, bh = _pyrite(fe3, h + eps, ore, v, m.oxygen)
+            da3, db3, dah, dbh = (a3 - a) / eps, (b3 - b) / eps, (ah - a) / eps, (bh - b) / eps
+            j33, j3h = 1 + dt * 14 * da3, dt * 14 * dah
+            jh3, jhh = -dt * (16 * da3 + 2 * db3), 1 - dt * (16 * dah + 2 * dbh)
+            det = j33 * jhh - j3h * jh3
+            det = np.where(np.abs(det) < 1e-30, 1e-30, det)
+            x3, xh = -(r3 * jhh - rh * j3h) / det, -(j33 * rh - jh3 * r3) / det
+            x2 = -r2 + dt * ((15 * da3 + db3) * x3 + (15 * dah + dbh) * xh)
+            xs = -rs + dt * ((2 * da3 + 2 * db3) * x3 + (2 * dah + 2 * dbh) * xh)
+            fe3, h = np.where(open_, np.maximum(fe3 + x3, 0), fe3), np.where(open_, np.maximum(h + xh, 0), h)
+            fe2, so4 = np.where(open_, np.maximum(fe2 + x2, 0), fe2), np.where(open_, np.maximum(so4 + xs, 0), so4)
+        s[FE2], s[FE3], s[H], s[SO4] = fe2, fe3, h, so4
+
+
+def equilibrate(s: np.ndarray, v: np.ndarray, dt: float) -> None:
+    """Ferrous oxidation over dt and ferric hydroxide equilibrium, in place."""
+    acid = np.maximum(s[H] / v, 1e-14)
+    rate = (c.K2_OXIDATION + c.K1_OXIDATION * (c.WATER / acid) ** 2) * c.OXYGEN_PRESSURE
+    left = np.maximum(s[FE2] * np.exp(-rate * dt), 0)
+    made = np.minimum(s[FE2] - left, s[H])
+    s[FE2], s[FE3], s[H] = left, s[FE3] + made, np.maximum(s[H] - made, 0)
+    acid = np.maximum(s[H] / v, 1e-14)
+    strength = np.minimum(0.5 * (acid + (9 * np.maximum(s[FE3], 0) + 4 * np.maximum(s[FE2], 0) + 4 * np.maximum(s[SO4], 0)) / v), 1.0)
+    d = np.sqrt(strength) / (1 + np.sqrt(strength)) - 0.3 * strength
+    target = c.SOLUBILITY * (10 ** (-0.5 * d) * acid) ** 3 / 10 ** (-4.5 * d) * v
+    surplus = np.maximum(s[FE3] - target, 0)
+    need = np.maximum(target - s[FE3], 0)
+    first = np.minimum(np.minimum(need, np.maximum(s[SOLID], 0)), np.maximum(s[H] / 3, 0))
+    rest = np.maximum(s[H] - 3 * first, 0)
+    second = np.minimum(np.minimum(need - first, np.maximum(s[BED], 0)), rest / 3)
+    s[FE3] += first + second - surplus
+    s[SOLID] += surplus - first
+    s[BED] -= second
+    s[H] = np.where(surplus > 0, s[H] + 3 * surplus, np.maximum(rest - 3 * second, 0))
+
+
+def react(s: np.ndarray, ore: np.ndarray, v: np.ndarray, active: np.ndarray, m: Model) -> None:
+    """One step of chemistry on the active cells of a zone, in place."""
+    on = np.flatnonzero(active & np.isfinite(s).all(axis=0))
+    part, volume, rock = s[:, on], np.maximum(v[on], 1e-30), ore[on]
+    mine = np.flatnonzero(rock > 0)
+    if len(mine):
+        some = part[:, mine]
+        oxidise_pyrite(some, rock[mine], volume[mine], m)
+        part[:, mine] = some
+    equilibrate(part, volume, m.dt)
+    part = np.maximum(part, 0)
+    part[H] = np.minimum(part[H], 1e4 * volume)
+    s[:, on] = part
+
+
+class Forest:
+    """Reaches of a set of cells with `down` (row of the next cell, -1 for none), by topological rank."""
+
+    def __init__(self, down: np.ndarray):
+        n = len(down)
+        inflows = np.bincount(down[down >= 0], minlength=n)
+        heads = np.flatnonzero(inflows != 1)
+        self.of = np.full(n, -1)
+        self.reaches: list[list[int]] = []
+        nxt, single = down.tolist(), (inflows == 1).tolist()
+        for h in heads.tolist():
+            cells, at = [h], nxt[h]
+            while at >= 0 and single[at]:
+                cells.append(at)
+                at = nxt[at]
+            self.of[cells] = len(self.reaches)
+            self.reaches.append(cells)
+        self.target = np.array([nxt[r[-1]] for r in self.reaches], np.int64) if self.reaches else np.zeros(0, np.int64)
+        after = np.where(self.target >= 0, self.of[self.target], -1)
+        waiting = np.bincount(after[after >= 0], minlength=len(after))
+        self.ranks, ready = [], np.flatnonzero(waiting == 0)
+        while len(ready):
+            self.ranks.append(ready)
+            to = after[ready]
+            to = to[to >= 0]
+            np.subtract.at(waiting, to, 1)
+            ready = np.unique(to[waiting[to] == 0])
+
+
+@dataclass
+class Flow:
+    """Hydraulics of every cell in one step."""
+
+    v: np.ndarray
+    area: np.ndarray
+    litres: np.ndarray
+    dispersion: np.ndarray
+    depth: np.ndarray
+    inflow: np.ndarray
+
+
+def hydraulics(q: np.ndarray, slope: np.ndarray, forest: Forest, k: Channel) -> Flow:
+    """Transport hydraulics, and the flow that junction cells get from the reaches above them."""
+    inflow = np.zeros(len(q))
+    joins = forest.target >= 0
+    tails = np.array([r[-1] for r in forest.reaches], np.int64)
+    np.add.at(inflow, forest.target[joins], np.maximum(q[tails[joins]], 0))
+    q = np.maximum(q, 1e-30)
+    w, h = k.a * q**k.b, k.c * q**k.f
+    radius = h * w / (2 * h + w + 1e-30)
+    v = radius ** (2 / 3) * np.sqrt(np.maximum(slope, 0)) / k.mannings
+    area = np.where(v > 0, np.maximum(q / np.where(v > 0, v, 1), 1e-6), 1e-6)
+    shear = 64 / (DENSITY * v * 4 * radius / VISCOSITY + 1e-30) / 8 * DENSITY * v * v
+    friction = np.sqrt(np.maximum(shear / DENSITY, 1e-30))
+    spread = 5.4 * (w / (h + 1e-30)) ** 0.7 * (v / (friction + 1e-30)) ** 0.13 * h * v
+    return Flow(v, area, area * k.dx * 1000, spread, h, inflow)
+
+
+def transport(main: np.ndarray, store: np.ndarray, forest: Forest, f: Flow, m: Model) -> None:
+    """Crank-Nicolson advection, dispersion, storage exchange and settling along every reach, in place.
+
+    Reaches of one rank go together: rows of a padded matrix, with the five moving species as a further axis. What
+    leaves a reach enters its target cell in the same step.
+    """
+    lateral = np.zeros((5, main.shape[1]))
+    dx = m.channel.dx
+    moving = [FE2, FE3, H, SO4, SOLID]
+    for rank in forest.ranks:
+        rows = [forest.reaches[r] for r in rank]
+        length = np.array([len(r) for r in rows])
+        width = int(length.max())
+        cell = np.full((len(rows), width), rows[0][0])
+        for i, r in enumerate(rows):
+            cell[i, : len(r)] = r
+        inside = np.arange(width) < length[:, None]
+        last = np.arange(len(rows)), length - 1
+        v, vol = f.v[cell], f.litres[cell]
+        top = np.where(inside, v, 0).max(axis=1) * m.dt / dx
+        subs = np.clip(np.ceil(np.minimum(top, m.max_substeps)), 1, m.max_substeps).astype(int)
+        dt = (m.dt / subs)[:, None]
+        r_, s_, p_ = f.dispersion[cell] * dt / dx**2, v * dt / dx, f.inflow[cell] * 1000 * dt / (vol + 1e-30)
+        lower, upper = np.broadcast_to(-(0.5 * r_ + 0.5 * s_), cell.shape).copy(), -0.5 * r_
+        diag = 1 + 0.5 * (2 * r_ + p_) + 0.5 * s_
+        keep = 1 - 0.5 * (2 * r_ + p_) - 0.5 * s_
+        diag[:, 0] += lower[:, 0]
+        up_in = -lower  # what the cell above gives, with the head its own
+        lower[:, 0] = 0
+        diag[last] += upper[last]
+        down_in = -upper
+        gamma = 0.5 * m.exchange / m.ratio * dt
+        sink = m.settling / np.maximum(f.depth[cell], 0.1)
+        # the last species settles and has no storage zone
+        extra = np.stack([np.broadcast_to(0.5 * m.exchange * dt / (1 + gamma), cell.shape)] * 4 + [0.5 * sink * dt])
+        full = diag + extra
+        up = np.where(np.arange(width) == length[:, None] - 1, 0, upper)
+        amount, held = main[moving][:, cell], store[moving][:, cell]
+        bed = np.zeros(cell.shape)
+        source = lateral[:, cell] * dt / (vol + 1e-30)
+        out = np.zeros((5, len(rows)))
+        safe, room = np.maximum(vol, 1e-30), np.maximum(m.ratio * vol, 1e-30)
+        # the matrix is the same in every substep: factor once
+        ratio_, pivot = np.zeros(full.shape), np.zeros(full.shape)
+        pivot[:, :, 0] = full[:, :, 0]
+        for i in range(width):
+            if i:
+                d = full[:, :, i] - lower[:, i] * ratio_[:, :, i - 1]
+                pivot[:, :, i] = np.where(np.abs(d) < 1e-30, 1e-30, d)
+            ratio_[:, :, i] = up[:, i] / pivot[:, :, i]
+        for sub in range(int(subs.max())):
+            go = np.flatnonzero(subs > sub)
+            old = amount[:, go] / safe[go]
+            above = np.concatenate([old[:, :, :1], old[:, :, :-1]], axis=2)
+            below = np.concatenate([old[:, :, 1:], old[:, :, -1:]], axis=2)
+            ends = np.arange(width) == length[go, None] - 1
+            below = np.where(ends, old, below)
+            rhs = up_in[go] * above + keep[go] * old + down_in[go] * below + source[:, go]
+            stored = held[:4, go] / room[go]
+            rhs[:4] += (m.exchange * dt[go] * stored - 0.5 * m.exchange * dt[go] * old[:4]) / (1 + gamma[go])
+            rhs[4] -= 0.5 * sink[go] * old[4] * dt[go]
+            x = np.empty(rhs.shape)
+            x[:, :, 0] = rhs[:, :, 0] / pivot[:, go, 0]
+            for i in range(1, width):
+                x[:, :, i] = (rhs[:, :, i] - lower[go, i] * x[:, :, i - 1]) / pivot[:, go, i]
+            for i in range(width - 2, -1, -1):
+                x[:, :, i] -= np.where(i < length[go] - 1, ratio_[:, go, i] * x[:, :, i + 1], 0)
+            at = np.arange(len(go)), length[go] - 1
+            tail = cell[go][at]
+            out[:, go] += f.v[tail] * f.area[tail] * 1000 * 0.5 * (old[:, at[0], at[1]] + x[:, at[0], at[1]]) * dt[go, 0]
+            new = np.maximum(x, 0)
+            amount[:, go] = new * vol[go]
+            bed[go] += np.maximum(sink[go] * (old[4] + new[4]) / 2 * dt[go] * vol[go], 0)
+            g = gamma[go]
+            held[:4, go] = np.maximum((stored * (1 - g) + g * (new[:4] + old[:4])) / (1 + g) * (m.ratio * vol[go]), 0)
+        flat = cell[inside]
+        for j, sp in enumerate(moving):
+            main[sp, flat] = amount[j][inside]
+            if j < 4:
+                store[sp, flat] = held[j][inside]
+        main[BED, flat] += bed[inside]
+        to = forest.target[rank]
+        for j in range(5):
+            np.add.at(lateral[j], to[to >= 0], out[j, to >= 0] / m.dt)
+
+
+def run_basins(down: np.ndarray, slope: np.ndarray, ore: np.ndarray, q: np.ndarray, on: np.ndarray, m: Model) -> np.ndarray:
+    """Concentrations (steps, 7, n): six species in microgram/L and pH, NaN where there is no water.
+
+    `q` is (steps, n) in m3/s; only cells `on` the network keep mass between steps. Each step reacts, moves, clears
+    cells off the network and cells without outflow.
+    """
+    n, k = len(down), m.channel
+    forest = Forest(down)
+    main, store = np.zeros((6, n)), np.zeros((6, n))
+    sink = down < 0
+    result = np.full((len(q), 7, n), np.nan)
+    for t, flow in enumerate(q):
+        h_, w_ = k.c * flow**k.f, k.a * flow**k.b
+        radius = np.where(2 * h_ + w_ > 0, h_ * w_ / np.where(2 * h_ + w_ > 0, 2 * h_ + w_, 1), 0)
+        v = radius ** (2 / 3) * np.sqrt(np.maximum(slope, 0)) / k.mannings
+        bare = np.where(v > 0, np.maximum(flow / np.where(v > 0, v, 1), 1e-6), 1e-6)
+        v = np.where(v > 0, v, 1.0)
+        litres = np.maximum(flow / v, 1e-6) * k.dx * 1000
+        if t == 0:
+            main[H] = store[H] = 1e-7 * litres
+        active = np.isfinite(litres) & (flow > 1e-6)
+        conc = (main[H] + store[H]) / (litres * (1 + m.ratio))
+        scale = np.where(conc > 0, np.minimum(conc, 100) / np.where(conc > 0, conc, 1), 1)
+        main[H] *= scale
+        store[H] *= scale
+        for zone, vol in ((main, litres), (store, litres * m.ratio)):
+            react(zone, ore, vol, active, m)
+            cap = np.full((6, 1), 50.0)
+            cap[H] = 100.0
+            zone[:] = np.minimum(zone, cap * vol)
+        transport(main, store, forest, hydraulics(flow, slope, forest, k), m)
+        main[:, ~on] = store[:, ~on] = 0
+        main[:, sink] = store[:, sink] = 0
+        litres = bare * k.dx * 1000
+        for i, sp in enumerate(SPECIES):
+            total, room = (main[i], litres) if i in (SOLID, BED) else (main[i] + store[i], litres * (1 + m.ratio))
+            result[t, i] = total / room * c.MOLAR_MG[sp] * 1000
+            if i == H:
+                mol = total / room
+                result[t, 6] = np.where(mol > 0, -np.log10(np.maximum(mol, 1e-14)), np.nan)
+    return result
+
+
+def _kernel(m: Model):
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ident = table.column("cell_id").to_numpy()
+        order = np.argsort(ident)
+        parent = table.column("parent").fill_null(-1).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ident, parent, sorter=order).clip(0, len(ident) - 1)
+        down = np.where((parent >= 0) & (ident[order[at]] == parent), order[at], -1)
+        q = np.stack(table.column("q").to_numpy(zero_copy_only=False)).astype(float).T
+        col = lambda x: table.column(x).to_numpy(zero_copy_only=False)
+        res = run_basins(down, col("slope").astype(float), col("ore").astype(float), q, col("on_network").astype(bool), m)
+        steps, n = res.shape[0], len(ident)
+        arrays = [pa.array(np.tile(col("basin"), steps)), pa.array(np.tile(ident, steps)), pa.array(np.repeat(np.arange(steps, dtype=np.int32), n))]
+        arrays += [pa.array(res[:, i].ravel().astype(np.float32), from_pandas=True) for i in range(7)]
+        return pa.table(arrays, names=["basin", "cell_id", "step", *SPECIES, "ph"])
+
+    return run
+
+
+def simulate(cells: DataFrame, model: Model = Model(), batch_cells: int = 20_000) -> DataFrame:
+    """Concentrations of every cell and step: basin, cell_id, step, six species (microgram/L), ph.
+
+    `cells` has basin, cell_id, parent (NULL at an outlet), slope, ore, on_network BOOLEAN and q ARRAY<FLOAT>, the flow
+    of every step, equally long everywhere. Slopes and ore are not NULL. Values are NULL where a cell has no amount to
+    speak of (pH without acid). An empty table gives no rows.
+    """
+    schema = "basin bigint, cell_id bigint, step int, " + ", ".join(f"{s} float" for s in SPECIES) + ", ph float"
+    return map_lanes(cells, ["basin"], ["cell_id"], _kernel(model), schema, batch_rows=batch_cells)
