@@ -101,11 +101,12 @@ def fill_containers(items: DataFrame, capacities: dict[int, int], group_items: i
         raise ValueError("capacities must be positive")
     deals = max(1, math.ceil(items.count() / group_items))
     caps = F.explode(F.array(*(F.struct(F.lit(k).alias("capacity_id"), F.lit(v).cast("bigint").alias("capacity_tokens")) for k, v in sorted(capacities.items()))))
-    rows = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size"), caps.alias("c")).select("doc_id", "size", "c.*")
+    rows = items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "size", "row", caps.alias("c")).select("doc_id", "size", "row", "c.*")
     whole = F.floor(F.col("size") / F.col("capacity_tokens")).cast("int")
     rows = rows.withColumn("full", F.when(F.col("size") > F.col("capacity_tokens"), whole).otherwise(0))
     full = rows.filter("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    full = full.select("capacity_id", "doc_id", "piece", F.col("capacity_tokens").alias("tokens"), F.concat_ws("-", F.lit("full"), "capacity_id", "doc_id", "piece").alias("container"), F.lit(1.0).alias("fill"))
+    full = full.select("capacity_id", "doc_id", "piece", F.col("capacity_tokens").alias("tokens"), F.concat_ws("-", F.lit("full"), "capacity_id", "row", "piece").alias("container"), F.lit(1.0).alias("fill"))
     rest = rows.withColumn("tokens", F.col("size") - F.col("full") * F.col("capacity_tokens")).filter("full = 0 or tokens > 0")
     rest = rest.select("capacity_id", "capacity_tokens", "doc_id", F.col("full").alias("piece"), "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(deals)).cast("int").alias("deal"))
     packed = map_lanes(rest, ["capacity_id", "deal"], ["doc_id", "piece"], _kernel, "capacity_id int, doc_id bigint, piece int, tokens bigint, deal int, bin bigint, fill double")

@@ -47,5 +47,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.expand_copies(shared_spans.shared_pairs(texts), copies, copies.join(long, "doc_id", "left_semi"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each speech also stands in another one."""
+    return shared_spans.report(read_table(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The passages themselves: where they stand, how long they are and in how many other speeches they occur."""
+    docs = read_table(spark, d, "documents")
+    spans = shared_spans.passages(docs)
+    return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "length", "texts", F.expr("substring(text, start + 1, length)").alias("passage"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 SQL: dict[str, str] = {}

@@ -2,11 +2,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm.chunks import WINDOW, Chunked
@@ -170,3 +169,60 @@ def expand_copies(pairs: DataFrame, copies: DataFrame, long_copies: DataFrame) -
     held = members(long_copies)
     inside = held.select("rep_id", F.col("doc_id").alias("doc_a")).join(held.select("rep_id", F.col("doc_id").alias("doc_b")), "rep_id").filter("doc_a < doc_b")
     return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).unionByName(inside.select("doc_a", "doc_b"))
+
+
+def _window_rows(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _blocks(batches, span):
+            c = Chunked(texts, span + 1)
+            ids, starts = [], []
+            for k, (doc, text, places) in enumerate(rows):
+                # every window that holds the hash window of a cut that another text makes too
+                low = np.maximum(np.array(places) - (span - WINDOW), 0)
+                high = np.minimum(np.array(places), len(text) - span)
+                mark = np.zeros(len(text) - span + 2, np.int32)
+                ok = low <= high
+                np.add.at(mark, low[ok], 1)
+                np.add.at(mark, high[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                ids.append(np.full(len(at), doc, np.int64))
+                starts.append(at + c.start[k])
+            at = np.concatenate(starts)
+            own = at - c.start[np.searchsorted(c.start, at, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c.digest(at, at + span)), pa.array(np.concatenate(ids)), pa.array(own.astype(np.int32))], ["digest", "doc_id", "start"])
+
+    return run
+
+
+def passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The spans of each text, as long as they go, made of runs of `span` characters that another text holds too.
+
+    Columns doc_id, start, length (characters from 0), windows (how many runs), texts (most other distinct texts that
+    hold one of them). Copies of a whole text share all of it, if it is long enough. Only windows around cuts that two
+    texts make are looked at, and every shared run holds such a cut. Two runs are equal by their 64-bit digest.
+    """
+    texts, copies = distinct_texts(docs)
+    hits = chunk_hits(texts, span).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    around = texts.join(small_side(materialise(hits)), "doc_id").select("doc_id", "text", "places")
+    windows = materialise(around.mapInArrow(_window_rows(span), "digest bigint, doc_id bigint, start int"))
+    held = windows.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = windows.join(held, "digest").select("doc_id", "start", "n")
+    # runs of successive starts, or starts no further apart than a window, make one span
+    along = Window.partitionBy("doc_id").orderBy("start")
+    new = F.when(F.col("start") - F.lag("start").over(along) <= span, 0).otherwise(1)
+    runs = shared.withColumn("_run", F.sum(new).over(along)).groupBy("doc_id", "_run")
+    spans = runs.agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + span).alias("length"), F.count(F.lit(1)).alias("windows"), (F.max("n") - 1).alias("texts"))
+    whole = docs.filter(F.length("text") >= span).select("doc_id", F.length("text").alias("length"))
+    group = copies.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n"))
+    members = copies.unionByName(copies.select(F.col("rep_id").alias("doc_id"), "rep_id").distinct()).join(group, "rep_id").join(whole, "doc_id")
+    full = members.select("doc_id", F.lit(0).alias("start"), "length", (F.col("length") - span + 1).cast("bigint").alias("windows"), F.col("n").alias("texts"))
+    return spans.drop("_run").join(members.select("doc_id"), "doc_id", "left_anti").unionByName(full)
+
+
+def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """How much of every text stands elsewhere: doc_id, n_chars, shared_chars, share (0 for NULL and empty texts)."""
+    by = passages(docs, span).groupBy("doc_id").agg(F.sum("length").alias("shared_chars"))
+    n = F.coalesce(F.length("text"), F.lit(0))
+    out = docs.filter("doc_id is not null").select("doc_id", n.cast("bigint").alias("n_chars")).join(by, "doc_id", "left")
+    k = F.coalesce("shared_chars", F.lit(0))
+    return out.select("doc_id", "n_chars", k.alias("shared_chars"), F.when(F.col("n_chars") > 0, k / F.col("n_chars")).otherwise(0.0).alias("share"))
