@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.chunks import WINDOW, Chunked
+from tarnflow.llm.chunks import WINDOW, Chunked, mix
 from tarnflow.session import materialise, small_side
 
 #: Least length of a shared span in characters, and characters of texts that are chunked at once.
 SPAN, BLOCK_CHARS = 200, 400_000
+#: Places that hold one key beyond which windows are compared and not candidates.
+HOT_ROWS = 64
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keep_shorter: int = 0) -> Iterator[tuple[list, list[str]]]:
@@ -130,31 +132,78 @@ def _verify(span: int):
     return run
 
 
-def shared_pairs(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """Pairs doc_a < doc_b of distinct texts with at least `span` characters in common, exactly as written.
+def _window_rows(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _blocks(batches, span):
+            c = Chunked(texts, span + 1)
+            ids, starts, joined = [], [], []
+            for k, (doc, text, places) in enumerate(rows):
+                # every window that holds the hash window of a cut that another text makes too
+                low = np.maximum(np.array(places) - (span - WINDOW), 0)
+                high = np.minimum(np.array(places), len(text) - span)
+                mark = np.zeros(len(text) - span + 2, np.int32)
+                ok = low <= high
+                np.add.at(mark, low[ok], 1)
+                np.add.at(mark, high[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                ids.append(np.full(len(at), doc, np.int64))
+                starts.append(at + c.start[k])
+                joined.append(np.diff(at, prepend=-2) == 1)
+            at, doc, after = np.concatenate(starts), np.concatenate(ids), np.concatenate(joined)
+            own = (at - c.start[np.searchsorted(c.start, at, side="right") - 1]).astype(np.int32)
+            key = c.digest(at, at + span)
+            other = mix((doc.astype(np.uint64) << np.uint64(20)) + own.astype(np.uint64)).view(np.int64)
+            other[1:][after[1:]] = key[:-1][after[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(doc), pa.array(own)], ["key", "other", "doc_id", "pos"])
 
-    `texts` has a unique doc_id and a text per row. Texts that share a long passage share all its chunks; of such
-    a row of chunks only the ends give candidates, for inside it `other` is equal. Candidates are then held against
-    the characters themselves. NULL, empty and short texts pair with nothing; there is no bound on partners.
-    """
-    hits = chunk_hits(texts, span)
+    return run
+
+
+def _apart(hits: DataFrame) -> DataFrame:
+    """doc_a, pos_a, doc_b, pos_b of rows with the same key and another `other`, doc_a < doc_b."""
     kinds = materialise(hits.select("key", "other").distinct())
-    a = kinds.withColumnRenamed("other", "oa")
-    b = kinds.withColumnRenamed("other", "ob")
-    apart = a.join(b, "key").filter("oa < ob")
+    a, b = kinds.withColumnRenamed("other", "oa"), kinds.withColumnRenamed("other", "ob")
     ha = hits.select("key", F.col("other").alias("oa"), F.col("doc_id").alias("da"), F.col("pos").alias("pa"))
     hb = hits.select("key", F.col("other").alias("ob"), F.col("doc_id").alias("db"), F.col("pos").alias("pb"))
-    found = apart.join(ha, ["key", "oa"]).join(hb, ["key", "ob"]).filter("da <> db")
+    found = a.join(b, "key").filter("oa < ob").join(ha, ["key", "oa"]).join(hb, ["key", "ob"]).filter("da <> db")
     a_first = F.col("da") < F.col("db")
     pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    found = materialise(found.select(pick("da", "db").alias("doc_a"), pick("pa", "pb").alias("pos_a"), pick("db", "da").alias("doc_b"), pick("pb", "pa").alias("pos_b")).distinct())
+    return found.select(pick("da", "db").alias("doc_a"), pick("pa", "pb").alias("pos_a"), pick("db", "da").alias("doc_b"), pick("pb", "pa").alias("pos_b"))
+
+
+def _verified(texts: DataFrame, hits: DataFrame, span: int) -> DataFrame:
+    """Pairs of `hits` whose characters around the cut agree over `span`."""
+    found = materialise(_apart(hits).distinct())
     used = found.select(F.col("doc_a").alias("doc_id"), F.col("pos_a").alias("pos")).unionByName(found.select(F.col("doc_b").alias("doc_id"), F.col("pos_b").alias("pos")))
     wanted = materialise(used.distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("places")))
     around = texts.join(small_side(wanted), "doc_id").select("doc_id", "text", "places").mapInArrow(_context(span), "doc_id bigint, pos int, left string, right string")
     around = materialise(around)
     for s in ("a", "b"):
         found = found.join(around.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("left").alias(f"l_{s}"), F.col("right").alias(f"r_{s}")), [f"doc_{s}", f"pos_{s}"])
-    return found.mapInArrow(_verify(span), "doc_a bigint, doc_b bigint").distinct()
+    return found.mapInArrow(_verify(span), "doc_a bigint, doc_b bigint")
+
+
+def _windows(texts: DataFrame, hits: DataFrame, span: int) -> DataFrame:
+    """Digests of all `span` characters around the cuts of `hits`: key, other (that of the characters one place before), doc_id, pos."""
+    places = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    around = texts.join(small_side(materialise(places)), "doc_id").select("doc_id", "text", "places")
+    return materialise(around.mapInArrow(_window_rows(span), "key bigint, other bigint, doc_id bigint, pos int"))
+
+
+def shared_pairs(texts: DataFrame, span: int = SPAN, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs doc_a < doc_b of distinct texts with at least `span` characters in common, exactly as written.
+
+    `texts` has a unique doc_id and a text per row. Texts that share a long passage share all its chunks; of such
+    a row of chunks only the ends give candidates, for inside it `other` is equal. Candidates are then held against
+    the characters themselves. A key that more than `hot_rows` places hold would give many candidates in vain (a formula
+    a little too short): there the digests of all windows of `span` characters around the cut are paired instead, which
+    only texts with such a window in common share. NULL, empty and short texts pair with nothing; there is no bound
+    on partners.
+    """
+    hits = chunk_hits(texts, span)
+    hot = small_side(materialise(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("key")))
+    often = _apart(_windows(texts, hits.join(hot, "key", "left_semi"), span)).select("doc_a", "doc_b")
+    return _verified(texts, hits.join(hot, "key", "left_anti"), span).unionByName(often).distinct()
 
 
 def expand_copies(pairs: DataFrame, copies: DataFrame, long_copies: DataFrame) -> DataFrame:
@@ -171,29 +220,6 @@ def expand_copies(pairs: DataFrame, copies: DataFrame, long_copies: DataFrame) -
     return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).unionByName(inside.select("doc_a", "doc_b"))
 
 
-def _window_rows(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _blocks(batches, span):
-            c = Chunked(texts, span + 1)
-            ids, starts = [], []
-            for k, (doc, text, places) in enumerate(rows):
-                # every window that holds the hash window of a cut that another text makes too
-                low = np.maximum(np.array(places) - (span - WINDOW), 0)
-                high = np.minimum(np.array(places), len(text) - span)
-                mark = np.zeros(len(text) - span + 2, np.int32)
-                ok = low <= high
-                np.add.at(mark, low[ok], 1)
-                np.add.at(mark, high[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                ids.append(np.full(len(at), doc, np.int64))
-                starts.append(at + c.start[k])
-            at = np.concatenate(starts)
-            own = at - c.start[np.searchsorted(c.start, at, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c.digest(at, at + span)), pa.array(np.concatenate(ids)), pa.array(own.astype(np.int32))], ["digest", "doc_id", "start"])
-
-    return run
-
-
 def passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The spans of each text, as long as they go, made of runs of `span` characters that another text holds too.
 
@@ -202,9 +228,7 @@ def passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
     texts make are looked at, and every shared run holds such a cut. Two runs are equal by their 64-bit digest.
     """
     texts, copies = distinct_texts(docs)
-    hits = chunk_hits(texts, span).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    around = texts.join(small_side(materialise(hits)), "doc_id").select("doc_id", "text", "places")
-    windows = materialise(around.mapInArrow(_window_rows(span), "digest bigint, doc_id bigint, start int"))
+    windows = _windows(texts, chunk_hits(texts, span), span).select(F.col("key").alias("digest"), "doc_id", F.col("pos").alias("start"))
     held = windows.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = windows.join(held, "digest").select("doc_id", "start", "n")
     # runs of successive starts, or starts no further apart than a window, make one span

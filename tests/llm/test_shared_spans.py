@@ -19,11 +19,11 @@ def pairs_of(rows, span):
     return {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
 
 
-def all_pairs(spark, rows, span):
+def all_pairs(spark, rows, span, **k):
     docs = spark.createDataFrame(rows, SCHEMA)
     texts, copies = shared_spans.distinct_texts(docs)
     long = docs.filter(f"length(text) >= {span}").select("doc_id")
-    out = [tuple(r) for r in shared_spans.expand_copies(shared_spans.shared_pairs(texts, span), copies, copies.join(long, "doc_id", "left_semi")).collect()]
+    out = [tuple(r) for r in shared_spans.expand_copies(shared_spans.shared_pairs(texts, span, **k), copies, copies.join(long, "doc_id", "left_semi")).collect()]
     assert len(out) == len(set(out))
     return set(out)
 
@@ -73,7 +73,8 @@ def test_against_brute_force(spark, seed):
     rows += [(100 + i, rows[i][1], 1, 1) for i in range(10)]
     rows += [(200, None, 1, 1), (201, "", 1, 1), (202, "x" * 199, 1, 1), (203, "x" * 199, 1, 1), (None, rows[3][1], 1, 1), (204, "y" * 5000, 1, 1), (205, "y" * 220 + "z", 1, 1), (206, "ab" * 300, 1, 1), (207, "b" + "ab" * 100, 1, 1)]
     want = pairs_of(rows, 200)
-    assert all_pairs(spark, rows, 200) == want and len(want) > 30
+    for hot in (64, 3, 0):
+        assert all_pairs(spark, rows, 200, hot_rows=hot) == want and len(want) > 30
 
 
 def test_two_hundred_exactly(spark):
@@ -90,7 +91,8 @@ def test_hot_passage_in_every_text(spark):
     formula, near = rand(320), rand(190)
     rows = [(i, rand(40) + formula + rand(60) if i % 2 else rand(50) + near + rand(100), 0, 0) for i in range(60)]
     odd = [i for i in range(60) if i % 2]
-    assert all_pairs(spark, rows, 200) == {(a, b) for a in odd for b in odd if a < b}
+    for hot in (64, 8):
+        assert all_pairs(spark, rows, 200, hot_rows=hot) == {(a, b) for a in odd for b in odd if a < b}
 
 
 def test_empty(spark):
