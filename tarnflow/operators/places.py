@@ -122,7 +122,7 @@ def _assign(splits: Splits, radius: float, own_only: bool):
     return run
 
 
-PAYLOAD = ["p0", "p1", "p2", "p3"]
+PAYLOAD = ["p0", "p1", "p2", "p3", "p4"]
 
 
 def _pair_kernel(radius: float):
@@ -141,7 +141,7 @@ def _pair_kernel(radius: float):
         d = np.concatenate(dist) if dist else np.zeros(0)
         col = lambda c, at: table.column(c).take(at)
         metres = 2 * EARTH_M * np.arcsin(np.minimum(np.sqrt(d) / 2, 1))
-        return pa.table([col("id", a), *(col(p, a) for p in PAYLOAD[:2]), col("id", b), *(col(p, b) for p in PAYLOAD), pa.array(metres)], names=["q_id", "q0", "q1", "t_id", "t0", "t1", "t2", "t3", "metres"])
+        return pa.table([col("id", a), *(col(p, a) for p in PAYLOAD[:2]), col("id", b), *(col(p, b) for p in PAYLOAD), pa.array(metres)], names=["q_id", "q0", "q1", "t_id", "t0", "t1", "t2", "t3", "t4", "metres"])
 
     return run
 
@@ -149,8 +149,8 @@ def _pair_kernel(radius: float):
 def within_distance(queries: DataFrame, targets: DataFrame, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> DataFrame:
     """All pairs of a query and a target point at most `metres` apart on the sphere.
 
-    Both have id BIGINT, x, y, z (unit vector) and up to four DOUBLE columns p0..p3 that are carried along;
-    result: q_id, q0, q1, t_id, t0..t3, metres. Space is cut by k-d splits fitted on both inputs; a query goes to
+    Both have id BIGINT, x, y, z (unit vector) and up to five DOUBLE columns p0..p4 that are carried along;
+    result: q_id, q0, q1, t_id, t0..t4, metres. Space is cut by k-d splits fitted on both inputs; a query goes to
     the one leaf that holds it, a target also to every leaf within the radius. No rows come from empty inputs or
     NULL coordinates. Points should be distinct positions: a leaf can't be cut between equal ones.
     """
@@ -160,9 +160,9 @@ def within_distance(queries: DataFrame, targets: DataFrame, metres: float, leaf_
 
     q, t = shape(queries, 1), shape(targets, 0)
     splits = fit_splits(q.unionByName(t), ["x", "y", "z"], leaf_rows, sample_rows)
-    schema = "id bigint, x double, y double, z double, p0 double, p1 double, p2 double, p3 double, side int, leaf bigint"
+    schema = "id bigint, x double, y double, z double, p0 double, p1 double, p2 double, p3 double, p4 double, side int, leaf bigint"
     placed = q.mapInArrow(_assign(splits, chord(metres), True), schema).unionByName(t.mapInArrow(_assign(splits, chord(metres), False), schema))
-    out = "q_id bigint, q0 double, q1 double, t_id bigint, t0 double, t1 double, t2 double, t3 double, metres double"
+    out = "q_id bigint, q0 double, q1 double, t_id bigint, t0 double, t1 double, t2 double, t3 double, t4 double, metres double"
     return map_lanes(placed, ["leaf"], ["side"], _pair_kernel(chord(metres)), out, batch_rows=leaf_rows)
 
 
@@ -191,10 +191,12 @@ def neighbours(places: DataFrame, ident: str, metres: float, **kd) -> DataFrame:
 
 
 def near_lines(places: DataFrame, ident: str, edges: DataFrame, metres: float, piece_m: float = 2000.0, **kd) -> DataFrame:
-    """Pairs (ident, line) of places at most `metres` from a line given as `wkb.edge_rows`: who, line, metres.
+    """Pairs of places and lines (`wkb.edge_rows`) at most `metres` apart: who, line, metres, along, lat, lon.
 
-    Edges are cut into pieces of at most `piece_m`; a place is a candidate within metres + piece_m / 2 of a
-    piece's middle, and its distance to the piece is taken in the local plane of the place.
+    `along` is the position of the line's nearest point in metres from its start, lat and lon are that point's. Edges are
+    cut into pieces of at most `piece_m`; a place is a candidate within metres + piece_m / 2 of a piece's middle, and
+    its distance to the piece is taken in the local plane of the place. A place with several positions counts with the
+    nearest.
     """
     spots = materialise(places.select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
     queries = spots.select("id", *unit_vector("lat", "lon"), F.col("lat").alias("p0"), F.col("lon").alias("p1"))
@@ -203,20 +205,76 @@ def near_lines(places: DataFrame, ident: str, edges: DataFrame, metres: float, p
     n = F.greatest(F.lit(1), F.ceil(length / piece_m)).cast("int")
     cut = edges.filter((F.abs("y0") <= 90) & (F.abs("y1") <= 90)).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n")
-    cut = cut.select("id", at("x0", "x1", F.col("k")).alias("p0"), at("y0", "y1", F.col("k")).alias("p1"), at("x0", "x1", F.col("k") + 1).alias("p2"), at("y0", "y1", F.col("k") + 1).alias("p3"))
+    ends = [at("x0", "x1", F.col("k")), at("y0", "y1", F.col("k")), at("x0", "x1", F.col("k") + 1), at("y0", "y1", F.col("k") + 1)]
+    cut = cut.select("id", *(e.alias(p) for e, p in zip(ends, PAYLOAD)), (F.col("run") + F.col("k") * length / F.col("n")).alias("p4"))
     cut = cut.withColumn("mlat", (F.col("p1") + F.col("p3")) / 2).withColumn("mlon", (F.col("p0") + F.col("p2")) / 2)
     targets = cut.select("id", *unit_vector("mlat", "mlon"), *PAYLOAD)
     near = within_distance(queries, targets, metres + piece_m / 2 * 1.01, **kd)
     turn = lambda c: F.pmod(F.col(c) - F.col("q1") + 180, F.lit(360.0)) - 180
     flat = F.cos(F.radians("q0")) * rad
-    near = near.select("q_id", "t_id", (turn("t0") * flat).alias("ax"), ((F.col("t1") - F.col("q0")) * rad).alias("ay"), (turn("t2") * flat).alias("bx"), ((F.col("t3") - F.col("q0")) * rad).alias("by"))
+    near = near.select("q_id", "q0", "q1", "t_id", "t4", (turn("t0") * flat).alias("ax"), ((F.col("t1") - F.col("q0")) * rad).alias("ay"), (turn("t2") * flat).alias("bx"), ((F.col("t3") - F.col("q0")) * rad).alias("by"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     square = dx * dx + dy * dy
-    along = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("ax") * dx + F.col("ay") * dy) / square))).otherwise(0.0)
-    near = near.select("q_id", "t_id", F.hypot(F.col("ax") + along * dx, F.col("ay") + along * dy).alias("metres")).filter(F.col("metres") <= metres)
-    near = near.groupBy("q_id", "t_id").agg(F.min("metres").alias("metres"))
+    part = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("ax") * dx + F.col("ay") * dy) / square))).otherwise(0.0)
+    near = near.withColumns({"px": F.col("ax") + part * dx, "py": F.col("ay") + part * dy, "along": F.col("t4") + part * F.sqrt(square)})
+    near = near.withColumn("metres", F.hypot("px", "py")).filter(F.col("metres") <= metres)
+    east = F.pmod(F.col("q1") + F.col("px") / F.nullif(flat, F.lit(0.0)) + 180, F.lit(360.0)) - 180
+    best = F.min(F.struct("metres", "along", (F.col("q0") + F.col("py") / rad).alias("lat"), east.alias("lon")))
+    near = near.groupBy("q_id", "t_id").agg(best.alias("best"))
     held = places.join(spots, ["lat", "lon"]).select(F.col(ident).alias("who"), F.col("id").alias("q_id"))
-    return near.join(held, "q_id").groupBy("who", F.col("t_id").alias("line")).agg(F.min("metres").alias("metres"))
+    return near.join(held, "q_id").groupBy("who", F.col("t_id").alias("line")).agg(F.min("best").alias("best")).select("who", "line", "best.*")
+
+
+def nearest_line(places: DataFrame, ident: str, edges: DataFrame, tiers: tuple[float, ...], **kd) -> DataFrame:
+    """The nearest line of every place within the last of `tiers` (metres, rising): who, line, metres, along, lat, lon.
+
+    Ties go to the smaller line id. A line found within a tier is the nearest there is, so only places without one go on
+    to the next, wider tier; a wide tier then looks at few places.
+    """
+    parts = []
+    for t in tiers:
+        near = near_lines(places, ident, edges, t, **kd)
+        best = F.min(F.struct("metres", "line", "along", "lat", "lon"))
+        parts.append(materialise(near.groupBy("who").agg(best.alias("best")).select("who", "best.*")))
+        places = materialise(places.join(parts[-1].select(F.col("who").alias(ident)), ident, "left_anti"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("who", "line", "metres", "along", "lat", "lon")
+
+
+def nearest_where(places: DataFrame, ident: str, targets: DataFrame, metres: float, **kd) -> DataFrame:
+    """The nearest target of every place by three tiers: who, target, km, tier (1, 2, 3).
+
+    `targets` has id, lat, lon, valid BOOLEAN. Tier 1 is the nearest valid one within `metres`, tier 2 the nearest at all
+    within it, tier 3 the nearest however far, sought in circles of twice the radius each until every place has one.
+    Distances are 111 km a degree, longitudes by the place's cosine; ties go to the smaller id.
+    """
+    places = materialise(places)
+    target = targets.select("id", *unit_vector("lat", "lon"), F.col("lat").alias("p0"), F.col("lon").alias("p1"), F.col("valid").cast("double").alias("p2"))
+    parts, left, reach = [], places, metres
+    while not left.isEmpty() and not targets.isEmpty():
+        spots = materialise(left.select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
+        queries = spots.select("id", *unit_vector("lat", "lon"), F.col("lat").alias("p0"), F.col("lon").alias("p1"))
+        # a degree has 111.195 km on the sphere and 111 km here
+        near = within_distance(queries, target, reach * 1.02, **kd)
+        wide = F.pmod(F.col("t1") - F.col("q1") + 180, F.lit(360.0)) - 180
+        km = F.hypot((F.col("t0") - F.col("q0")) * 111, wide * 111 * F.cos(F.radians("q0")))
+        inside = km * 1000 <= metres
+        tier = F.when(inside & (F.col("t2") == 1), 1).when(inside, 2).otherwise(3)
+        best = near.withColumn("km", km).filter(F.col("km") * 1000 <= reach).groupBy("q_id").agg(F.min(F.struct(tier.alias("tier"), "km", F.col("t_id").alias("target"))).alias("best"))
+        held = left.join(spots, ["lat", "lon"]).select(F.col(ident).alias("who"), F.col("id").alias("q_id"))
+        parts.append(materialise(best.join(held, "q_id").select("who", "best.target", "best.km", "best.tier")))
+        if reach > 2 * math.pi * EARTH_M:
+            break
+        left = materialise(left.join(parts[-1].select(F.col("who").alias(ident)), ident, "left_anti"))
+        reach *= 2
+    if not parts:
+        return places.select(F.col(ident).alias("who"), F.lit(0).cast("bigint").alias("target"), F.lit(0.0).alias("km"), F.lit(0).alias("tier")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _assign_boxes(splits: Splits):
@@ -291,7 +349,7 @@ def inside_regions(places: DataFrame, ident: str, edges: DataFrame, leaf_rows: i
     turned = spots.select("id", F.explode(F.array(*(F.col("lon") + F.lit(360.0 * k) for k in (-1, 0, 1)))).alias("x0"), F.col("lat").alias("y0"))
     turned = turned.filter(F.col("x0").between(*((reach[0], reach[1]) if reach[0] is not None else (1.0, 0.0))))
     points = turned.select("id", "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x0").alias("west"), F.lit(1).alias("side"))
-    rows = edges.filter("y0 <> y1").withColumn("side", F.lit(0))
+    rows = edges.filter("y0 <> y1").drop("run").withColumn("side", F.lit(0))
     splits = fit_splits(points.select("x0", "y0").unionByName(rows.select("x0", "y0")), ["x0", "y0"], leaf_rows, sample_rows)
     schema = "id bigint, x0 double, y0 double, x1 double, y1 double, west double, side int, leaf bigint"
     placed = points.unionByName(rows).mapInArrow(_assign_boxes(splits), schema)

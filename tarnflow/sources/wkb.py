@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 # fixed values of the WKB format: geometry types
 LINE, POLYGON, MULTI_LINE, MULTI_POLYGON = 2, 3, 5, 6
+#: Metres of a degree on a sphere of 6,371,008.8 m.
+METRES = np.pi / 180 * 6_371_008.8
 
 
 def rings(data: bytes) -> list[np.ndarray]:
@@ -55,7 +57,7 @@ def _edges(ident: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, geoms = b.column(ident).to_pylist(), b.column("geom").to_pylist()
-            owner, ends, boxes = [], [], []
+            owner, ends, boxes, runs = [], [], [], []
             for i, g in zip(ids, geoms):
                 if g is None or i is None:
                     continue
@@ -66,23 +68,27 @@ def _edges(ident: str):
                         x = ring[:, 0]
                         jump = np.diff(x)
                         x = x + 360 * np.append(0, np.cumsum((jump < -180).astype(int) - (jump > 180).astype(int)))
-                        own.append(np.column_stack([x[:-1], ring[:-1, 1], x[1:], ring[1:, 1]]))
+                        y = ring[:, 1]
+                        step = METRES * np.hypot(np.diff(x) * np.cos(np.radians((y[1:] + y[:-1]) / 2)), np.diff(y))
+                        own.append(np.column_stack([x[:-1], y[:-1], x[1:], y[1:], np.cumsum(step) - step]))
                 if own:
                     e = np.concatenate(own)
                     owner.append(np.full(len(e), i, np.int64))
                     ends.append(e)
+                    runs.append(e[:, 4])
                     boxes.append(np.full(len(e), min(e[:, 0].min(), e[:, 2].min())))
             if owner:
                 e = np.concatenate(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), *(pa.array(np.ascontiguousarray(e[:, k])) for k in range(4)), pa.array(np.concatenate(boxes))], ["id", "x0", "y0", "x1", "y1", "west"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), *(pa.array(np.ascontiguousarray(e[:, k])) for k in range(4)), pa.array(np.concatenate(boxes)), pa.array(np.concatenate(runs))], ["id", "x0", "y0", "x1", "y1", "west", "run"])
 
     return run
 
 
 def edge_rows(df: DataFrame, ident: str) -> DataFrame:
-    """One row per edge of the WKB column `geom`: id, x0, y0, x1, y1 (degrees), west (least x of the geometry).
+    """One row per edge of the WKB column `geom`: id, x0, y0, x1, y1 (degrees), west (least x of the geometry), run (metres along
+    the line or ring before the edge).
 
     Longitudes run on across the date line, so x may leave -180..180. NULL, empty or broken geometries, and
     NULL ids, give no rows; whole-row copies are taken once.
     """
-    return df.select(ident, "geom").distinct().mapInArrow(_edges(ident), "id bigint, x0 double, y0 double, x1 double, y1 double, west double")
+    return df.select(ident, "geom").distinct().mapInArrow(_edges(ident), "id bigint, x0 double, y0 double, x1 double, y1 double, west double, run double")

@@ -119,3 +119,22 @@ def test_wkb_with_z_srid_and_parts():
     assert [x.tolist() for x in rings(e)] == [[[1, 2], [3, 4]]]
     m = struct.pack("<BII", 1, 5, 2) + line([(0, 0), (1, 1)]) + line([(2, 2), (3, 3)], ">")
     assert [x.tolist() for x in rings(m)] == [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]
+
+
+def test_nearest_line_takes_tiers_and_positions(spark):
+    at = places.positions(spark.createDataFrame([("a", 10.0, 20.001, 1, 1), ("b", 10.05, 20.04, 1, 1), ("c", -50.0, 0.0, 1, 1)], SCHEMA), "who", "lat", "lon")
+    edges = edge_rows(spark.createDataFrame([(1, line([(20.0, 9.9), (20.0, 10.0), (20.0, 10.1)])), (2, line([(20.1, 9.9), (20.1, 10.1)]))], "id long, geom binary"), "id")
+    got = {r["who"]: r for r in places.nearest_line(at, "who", edges, (500.0, 20_000.0)).collect()}
+    km = math.radians(1) * places.EARTH_M
+    assert set(got) == {"a", "b"} and got["a"]["line"] == 1 and got["b"]["line"] == 1
+    assert got["a"]["along"] == pytest.approx(0.1 * km, rel=1e-4) and got["b"]["along"] == pytest.approx(0.15 * km, rel=1e-4)
+    assert got["a"]["metres"] == pytest.approx(0.001 * km * math.cos(math.radians(10)), rel=1e-3) and got["a"]["lon"] == pytest.approx(20.0, abs=1e-6)
+
+
+def test_nearest_where_three_tiers(spark):
+    at = places.positions(spark.createDataFrame([("a", 0.0, 0.0, 1, 1), ("b", 10.0, 0.0, 1, 1), ("c", 60.0, 100.0, 1, 1), ("d", 0.0, 179.99, 1, 1)], SCHEMA), "who", "lat", "lon")
+    targets = spark.createDataFrame([(1, 0.0, 0.01, False), (2, 0.0, 0.03, True), (3, 10.0, 0.02, False), (4, 10.0, -0.02, False), (5, 0.0, -179.99, True)], "id long, lat double, lon double, valid boolean")
+    got = {r["who"]: (r["target"], r["tier"]) for r in places.nearest_where(at, "who", targets, 5000.0).collect()}
+    assert got["a"] == (2, 1) and got["b"] == (3, 2) and got["c"][1] == 3 and got["d"] == (5, 1)
+    assert places.nearest_where(at, "who", targets.limit(0), 5000.0).collect() == []
+    assert places.nearest_where(at.limit(0), "who", targets, 5000.0).collect() == []
