@@ -1,0 +1,247 @@
+"""Scientific file formats read by Spark tasks: shapefiles, GeoTIFF, Zarr chunks, classic NetCDF.
+
+Spark lists and reads the files (`binaryFile`), one task a file or chunk; a small decoder turns each into rows. Only
+plain encodings are decoded; others raise ValueError with the reason. Convert large archives to parquet once.
+"""
+from __future__ import annotations
+
+import json
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def shapes(data: bytes) -> list[bytes]:
+    """WKB of every record of a .shp file; points, lines and polygons (each part of a line or ring of a polygon kept)."""
+    out, at = [], 100
+    while at + 12 <= len(data):
+        size = struct.unpack_from(">i", data, at + 4)[0] * 2
+        kind = struct.unpack_from("<i", data, at + 8)[0]
+        body = data[at + 8 : at + 8 + size]
+        if kind == 0:
+            out.append(b"")
+        elif kind % 10 == 1:
+            out.append(struct.pack("<BI", 1, 1) + body[4:20])
+        elif kind % 10 in (3, 5):
+            parts, points = struct.unpack_from("<ii", body, 36)
+            first = [*struct.unpack_from(f"<{parts}i", body, 44), points]
+            xy = body[44 + 4 * parts : 44 + 4 * parts + 16 * points]
+            pieces = [struct.pack("<I", b - a) + xy[16 * a : 16 * b] for a, b in zip(first, first[1:])]
+            if kind % 10 == 5:
+                out.append(struct.pack("<BII", 1, 3, parts) + b"".join(pieces))
+            elif parts == 1:
+                out.append(struct.pack("<BI", 1, 2) + pieces[0])
+            else:
+                out.append(struct.pack("<BII", 1, 5, parts) + b"".join(struct.pack("<BI", 1, 2) + p for p in pieces))
+        else:
+            raise ValueError(f"shape type {kind} is not read")
+        at += 8 + size
+    return out
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """path, record (from 1), geom WKB of all .shp files below `path`; a null shape has geom NULL."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                g = shapes(data)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(g)), pa.array(range(1, len(g) + 1), pa.int64()), pa.array([x or None for x in g], pa.binary())], ["path", "record", "geom"])
+
+    return _files(spark, path, "*.shp").mapInArrow(run, "path string, record bigint, geom binary")
+
+
+# fixed values of the TIFF format: tags, and numpy types by (sample format, bits)
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, ROWS, COUNTS, PREDICTOR, TILE_W, TILE_H, TILES, TILE_COUNTS, FORMAT, SCALE, TIE, NODATA = 256, 257, 258, 259, 273, 278, 279, 317, 322, 323, 324, 325, 339, 33550, 33922, 42113
+TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
+SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+
+
+def geotiff(data: bytes) -> tuple[np.ndarray, dict]:
+    """The first band of a classic TIFF (raw or deflate, strips or tiles), and west, north, cell width and height, nodata."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    if struct.unpack_from(order + "H", data, 2)[0] != 42:
+        raise ValueError("not a classic TIFF")
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    tags = {}
+    for i in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        if kind in TIFF_TYPES:
+            code = f"{order}{n}{TIFF_TYPES[kind]}"
+            place = at + 10 + 12 * i
+            if struct.calcsize(code) > 4:
+                place = struct.unpack_from(order + "I", data, place)[0]
+            tags[tag] = struct.unpack_from(code, data, place)
+    one = lambda t, default=None: tags.get(t, (default,))[0]
+    w, h = one(WIDTH), one(HEIGHT)
+    if one(COMPRESSION, 1) not in (1, 8, 32946) or one(PREDICTOR, 1) != 1 or (one(FORMAT, 1), one(BITS, 1)) not in SAMPLES or one(277, 1) != 1:
+        raise ValueError("only one band, raw or deflate, without predictor is read")
+    kind = np.dtype(order + SAMPLES[one(FORMAT, 1), one(BITS, 1)])
+    tiled = TILES in tags
+    bw, bh = (one(TILE_W), one(TILE_H)) if tiled else (w, one(ROWS, h))
+    band = np.zeros((-(-h // bh) * bh, -(-w // bw) * bw), kind)
+    for k, (offset, size) in enumerate(zip(tags[TILES if tiled else STRIPS], tags[TILE_COUNTS if tiled else COUNTS])):
+        raw = data[offset : offset + size]
+        block = np.frombuffer(raw if one(COMPRESSION, 1) == 1 else zlib.decompress(raw), kind)
+        r, c = divmod(k, -(-w // bw))
+        block = block[: len(block) // bw * bw].reshape(-1, bw)
+        band[r * bh : r * bh + len(block), c * bw : (c + 1) * bw] = block
+    scale, tie = tags.get(SCALE, (1.0, 1.0, 0.0)), tags.get(TIE, (0.0,) * 6)
+    nodata = one(NODATA, b"").rstrip(b"\0 ").decode() if NODATA in tags else ""
+    return band[:h, :w], {"west": tie[3] - tie[0] * scale[0], "north": tie[4] + tie[1] * scale[1], "dx": scale[0], "dy": scale[1], "nodata": float(nodata) if nodata else None}
+
+
+def _lines(band: np.ndarray, nodata: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = band.astype(float)
+    keep = ~np.isnan(values) if nodata is None else ~np.isnan(values) & (values != nodata)
+    row, col = np.nonzero(keep)
+    return row.astype(np.int32), col.astype(np.int32), values[row, col]
+
+
+def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
+    """path, row, col, lat, lon (cell centres), value of all .tif files below `path`; nodata and NaN cells are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                band, at = geotiff(data)
+                row, col, value = _lines(band, at["nodata"])
+                lat, lon = at["north"] - (row + 0.5) * at["dy"], at["west"] + (col + 0.5) * at["dx"]
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(row), pa.string()), *map(pa.array, (row, col, lat, lon, value))], ["path", "row", "col", "lat", "lon", "value"])
+
+    return _files(spark, path, "*.tif").mapInArrow(run, "path string, row int, col int, lat double, lon double, value double")
+
+
+def _chunk_reader(meta: dict):
+    shape, chunks, kind = meta["shape"], meta["chunks"], np.dtype(meta["dtype"])
+    codec = (meta.get("compressor") or {}).get("id")
+    if codec not in (None, "zlib", "zstd", "gzip") or meta.get("filters") or meta.get("order", "C") != "C":
+        raise ValueError(f"zarr codec {codec} with filters {meta.get('filters')} is not read")
+    fill = meta.get("fill_value")
+    fill = float(fill) if fill is not None else None
+
+    def decode(data: bytes) -> bytes:
+        if codec is None:
+            return data
+        if codec == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        return zlib.decompress(data, 47)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                at = [int(x) for x in p.rsplit("/", 1)[1].split(".")]
+                block = np.frombuffer(decode(data), kind).reshape(chunks).astype(float)
+                block = block[tuple(slice(0, min(c, s - a * c)) for a, c, s in zip(at, chunks, shape))]
+                keep = ~np.isnan(block) if fill is None or np.isnan(fill) else ~np.isnan(block) & (block != fill)
+                index = np.argwhere(keep) + np.array(at) * np.array(chunks)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(index.ravel(), pa.int64()), len(shape)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([flat, pa.array(block[keep])], ["index", "value"])
+
+    return run
+
+
+def read_zarr(spark: SparkSession, array: str, meta: str) -> DataFrame:
+    """index ARRAY<BIGINT>, value of one Zarr (version 2) array folder; a task a chunk, missing values left out.
+
+    `meta` is the text of the array's .zarray, which Spark's readers hide as they do every name with a leading dot.
+    Codecs: none, zlib, gzip, zstd.
+    """
+    return _files(spark, array, "[0-9]*").mapInArrow(_chunk_reader(json.loads(meta)), "index array<bigint>, value double")
+
+
+# fixed values of the classic NetCDF format: types by number
+NETCDF_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
+
+
+def netcdf(data: bytes, variable: str) -> tuple[np.ndarray, list[str]]:
+    """A variable of a classic (CDF-1 or CDF-2) NetCDF file and its dimension names; missing values as NaN."""
+    if data[:3] != b"CDF" or data[3] not in (1, 2):
+        raise ValueError("only classic NetCDF is read, not the HDF5 form")
+    at = 4
+
+    def number(code: str = ">i") -> int:
+        nonlocal at
+        v = struct.unpack_from(code, data, at)[0]
+        at += struct.calcsize(code)
+        return v
+
+    def name() -> str:
+        nonlocal at
+        n = number()
+        v = data[at : at + n].decode()
+        at += -(-n // 4) * 4
+        return v
+
+    def attributes() -> dict:
+        nonlocal at
+        number()
+        out = {}
+        for _ in range(number()):
+            k, kind, n = name(), number(), number()
+            size = np.dtype(NETCDF_TYPES[kind]).itemsize * n
+            out[k] = np.frombuffer(data, NETCDF_TYPES[kind], n, at)
+            at += -(-size // 4) * 4
+        return out
+
+    records = number()
+    number()
+    dims = [(name(), number()) for _ in range(number())]
+    attributes()
+    number()
+    found, record_size, n_record = None, 0, 0
+    for _ in range(number()):
+        label = name()
+        ids = [number() for _ in range(number())]
+        attrs, kind, size = attributes(), number(), number()
+        begin = number(">i" if data[3] == 1 else ">q")
+        by_record = bool(ids) and dims[ids[0]][1] == 0
+        record_size, n_record = record_size + size * by_record, n_record + by_record
+        if label == variable:
+            found = ids, attrs, NETCDF_TYPES[kind], begin, by_record
+    if found is None:
+        raise ValueError(f"no variable {variable}")
+    ids, attrs, kind, begin, by_record = found
+    shape = [records if dims[i][1] == 0 else dims[i][1] for i in ids]
+    if by_record:
+        each = int(np.prod(shape[1:], dtype=int))
+        if n_record == 1:
+            record_size = each * np.dtype(kind).itemsize
+        rows = [np.frombuffer(data, kind, each, begin + i * record_size) for i in range(records)]
+        values = np.array(rows).reshape(shape)
+    else:
+        values = np.frombuffer(data, kind, int(np.prod(shape, dtype=int)), begin).reshape(shape)
+    values = values.astype(float)
+    for k in ("_FillValue", "missing_value"):
+        if k in attrs:
+            values[values == float(attrs[k][0])] = np.nan
+    return values, [dims[i][0] for i in ids]
+
+
+def read_netcdf(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """path, index ARRAY<BIGINT>, value of one variable of all .nc files below `path`; missing values left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                values, _ = netcdf(data, variable)
+                keep = ~np.isnan(values)
+                index = np.argwhere(keep)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(index.ravel(), pa.int64()), values.ndim).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(index), pa.string()), flat, pa.array(values[keep])], ["path", "index", "value"])
+
+    return _files(spark, path, "*.nc").mapInArrow(run, "path string, index array<bigint>, value double")
+
+
+def mask(grid: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
+    """A raster mask: the cells of `grid`, burnt 1 where `regions` has them, else 0."""
+    hit = regions.select(*on).distinct().withColumn("_hit", F.lit(1))
+    return grid.join(hit, on, "left").select(*on, F.coalesce("_hit", F.lit(0)).cast("tinyint").alias("mask"))

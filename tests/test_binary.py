@@ -1,0 +1,126 @@
+"""Readers against files made here by each format's rules."""
+import json
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from tarnflow.sources import binary
+from tarnflow.sources.wkb import rings
+
+
+def shp(records):
+    body = b""
+    for i, (kind, parts) in enumerate(records, 1):
+        if kind == 0:
+            content = struct.pack("<i", 0)
+        elif kind == 1:
+            content = struct.pack("<idd", 1, *parts)
+        else:
+            points = [p for part in parts for p in part]
+            first = np.cumsum([0, *(len(p) for p in parts)])[:-1]
+            content = struct.pack("<i4dii", kind, 0, 0, 0, 0, len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *first) + b"".join(struct.pack("<dd", *p) for p in points)
+        body += struct.pack(">ii", i, len(content) // 2) + content
+    return b"\0" * 100 + body
+
+
+def test_shapefile(spark, tmp_path):
+    square, hole, way = [(0, 0), (0, 4), (4, 4), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)], [(5, 5), (6, 7)]
+    (tmp_path / "a.shp").write_bytes(shp([(5, [square, hole]), (0, None), (3, [way]), (3, [way, hole]), (1, (3.0, 4.0))]))
+    got = {r["record"]: r["geom"] for r in binary.read_shapes(spark, str(tmp_path)).collect()}
+    as_lists = {k: [x.tolist() for x in rings(bytes(g))] if g else None for k, g in got.items()}
+    f = lambda *parts: [[list(map(float, p)) for p in part] for part in parts]
+    assert as_lists == {1: f(square, hole), 2: None, 3: f(way), 4: f(way, hole), 5: []}
+    assert bytes(got[5]) == struct.pack("<BIdd", 1, 1, 3.0, 4.0)
+
+
+def tiff(band, order="<", deflate=False, tile=None, nodata=None):
+    h, w = band.shape
+    raw = []
+    if tile:
+        for r in range(0, h, tile):
+            for c in range(0, w, tile):
+                t = np.zeros((tile, tile), band.dtype)
+                piece = band[r : r + tile, c : c + tile]
+                t[: piece.shape[0], : piece.shape[1]] = piece
+                raw.append(t.astype(band.dtype.newbyteorder(order)).tobytes())
+    else:
+        raw = [band[r : r + 2].astype(band.dtype.newbyteorder(order)).tobytes() for r in range(0, h, 2)]
+    raw = [zlib.compress(x) for x in raw] if deflate else raw
+    kind = {"u": 1, "i": 2, "f": 3}[band.dtype.kind]
+    tags = {256: ("H", (w,)), 257: ("H", (h,)), 258: ("H", (band.dtype.itemsize * 8,)), 259: ("H", (8 if deflate else 1,)), 339: ("H", (kind,)), 33550: ("d", (0.5, 0.25, 0.0)), 33922: ("d", (0, 0, 0, 10.0, 50.0, 0))}
+    if nodata is not None:
+        tags[42113] = ("s", (str(nodata).encode() + b"\0",))
+    at, offsets = 8, []
+    for x in raw:
+        offsets.append(at)
+        at += len(x)
+    tags |= {322: ("H", (tile,)), 323: ("H", (tile,)), 324: ("I", offsets), 325: ("I", [len(x) for x in raw])} if tile else {273: ("I", offsets), 278: ("H", (2,)), 279: ("I", [len(x) for x in raw])}
+    number = {"B": 1, "s": 2, "H": 3, "I": 4, "d": 12}
+    head, extra, base = b"", b"", at + 2 + 12 * len(tags) + 4
+    for t, (code, v) in sorted(tags.items()):
+        n = len(v[0]) if code == "s" else len(v)
+        data = v[0] if code == "s" else struct.pack(f"{order}{n}{code}", *v)
+        if len(data) > 4:
+            place = struct.pack(order + "I", base + len(extra))
+            extra += data
+        else:
+            place = data.ljust(4, b"\0")
+        head += struct.pack(order + "HHI", t, number[code], n) + place
+    return ({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, at)) + b"".join(raw) + struct.pack(order + "H", len(tags)) + head + struct.pack(order + "I", 0) + extra
+
+
+@pytest.mark.parametrize("kind,order,deflate,tile", [("u1", "<", False, None), ("i2", ">", True, None), ("f4", "<", True, 4), ("f8", ">", False, 3)])
+def test_geotiff(spark, tmp_path, kind, order, deflate, tile):
+    band = np.arange(35).reshape(5, 7).astype(kind)
+    (tmp_path / "x.tif").write_bytes(tiff(band, order, deflate, tile, nodata=3))
+    got = {(r["row"], r["col"]): (r["lat"], r["lon"], r["value"]) for r in binary.read_geotiff(spark, str(tmp_path)).collect()}
+    assert len(got) == 34 and got[0, 0] == (49.875, 10.25, 0.0) and got[4, 6] == (48.875, 13.25, 34.0) and (0, 3) not in got
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "zstd"])
+def test_zarr(spark, tmp_path, codec):
+    import zstandard
+
+    a = np.arange(5 * 7, dtype="<f4").reshape(5, 7)
+    a[2, 3] = np.nan
+    folder = tmp_path / "v"
+    folder.mkdir()
+    (folder / ".zarray").write_text(json.dumps({"shape": [5, 7], "chunks": [2, 4], "dtype": "<f4", "compressor": codec and {"id": codec}, "fill_value": -1.0, "filters": None, "order": "C", "zarr_format": 2}))
+    pack = {None: bytes, "zlib": zlib.compress, "zstd": zstandard.ZstdCompressor().compress}[codec]
+    for r in range(3):
+        for c in range(2):
+            block = np.full((2, 4), -1, "<f4")
+            piece = a[2 * r : 2 * r + 2, 4 * c : 4 * c + 4]
+            block[: piece.shape[0], : piece.shape[1]] = piece
+            (folder / f"{r}.{c}").write_bytes(pack(block.tobytes()))
+    got = {tuple(x["index"]): x["value"] for x in binary.read_zarr(spark, str(folder), (folder / ".zarray").read_text()).collect()}
+    assert got == {(r, c): float(a[r, c]) for r in range(5) for c in range(7) if (r, c) != (2, 3)}
+
+
+def test_classic_netcdf(spark, tmp_path):
+    def name(s):
+        return struct.pack(">i", len(s)) + s.encode().ljust(-(-len(s) // 4) * 4, b"\0")
+
+    fixed, flow = np.array([1, 2, 3], ">i2"), np.array([[1.5, -9, 3], [4, 5, 6]], ">f4")
+    fill = struct.pack(">ii", 12, 1) + name("_FillValue") + struct.pack(">iif", 5, 1, -9.0)
+    def head(a, b):
+        dims = struct.pack(">ii", 10, 2) + name("time") + struct.pack(">i", 0) + name("x") + struct.pack(">i", 3)
+        vs = struct.pack(">ii", 11, 2) + name("x") + struct.pack(">ii", 1, 1) + struct.pack(">ii", 0, 0) + struct.pack(">iii", 3, 8, a)
+        vs += name("q") + struct.pack(">iii", 2, 0, 1) + fill + struct.pack(">iii", 5, 12, b)
+        return b"CDF\x01" + struct.pack(">i", 2) + dims + struct.pack(">ii", 0, 0) + vs
+
+    n = len(head(0, 0))
+    (tmp_path / "f.nc").write_bytes(head(n, n + 8) + fixed.tobytes().ljust(8, b"\0") + flow.tobytes())
+    got = {tuple(r["index"]): r["value"] for r in binary.read_netcdf(spark, str(tmp_path), "q").collect()}
+    assert got == {(0, 0): 1.5, (0, 2): 3.0, (1, 0): 4.0, (1, 1): 5.0, (1, 2): 6.0}
+    assert binary.netcdf((tmp_path / "f.nc").read_bytes(), "x")[0].tolist() == [1, 2, 3]
+    with pytest.raises(ValueError):
+        binary.netcdf(b"\x89HDF", "q")
+
+
+def test_mask(spark):
+    g = spark.createDataFrame([(1, 1), (1, 2)], "row int, col int")
+    r = spark.createDataFrame([(1, 2, 7), (1, 2, 8), (9, 9, 1)], "row int, col int, id int")
+    assert {tuple(x) for x in binary.mask(g, r, ["row", "col"]).collect()} == {(1, 1, 0), (1, 2, 1)}
