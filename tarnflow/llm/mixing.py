@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.tokens import TOKENIZER, encoding
+from tarnflow.llm.tokens import TOKENIZER, encoder
 from tarnflow.session import materialise
 
 #: Labelled rows (about) that the classifier learns from, and buckets of token ids it counts.
@@ -26,7 +26,7 @@ def _count_features(path: str, sources: list[str]):
     place = {s: i for i, s in enumerate(sources)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path)
         counts = np.zeros((len(sources), BUCKETS))
         for b in batches:
             for source, text in zip(b.column("source").to_pylist(), b.column("text").to_pylist()):
@@ -74,7 +74,7 @@ def _score(path: str, sources: list[str], logs: np.ndarray, prior: np.ndarray, t
     by_bucket = np.ascontiguousarray(logs.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path)
         for b in batches:
             texts = b.column("text").to_pylist()
             tokens, evidence = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(sources)))

@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,9 +25,39 @@ def encoding(path: str = TOKENIZER) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+# fixed values: the characters that \s means in the pattern. Its lookahead recurses once a character, so the library
+# fails on runs of some ten thousand
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}+")
+
+
+@lru_cache(2)
+def encoder(path: str = TOKENIZER) -> Callable[[str], list[int]]:
+    """Token ids of a text of any length, long runs of blanks included.
+
+    By the pattern a run of blanks is one piece without its last character, which goes with what follows, or as a whole
+    at the text's end. Long runs are taken out by that rule and encoded as the single piece they are.
+    """
+    e = encoding(path)
+    plain, piece = e.encode_ordinary, e._encode_single_piece
+
+    def encode(text: str) -> list[int]:
+        if len(text) < 1000 or LONG_BLANKS.search(text) is None:
+            return plain(text)
+        out, at = [], 0
+        for m in LONG_BLANKS.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            if m.start() > at:
+                out += plain(text[at : m.start()])
+            out += piece(text[max(at, m.start()) : end])
+            at = end
+        return out + plain(text[at:])
+
+    return encode
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path)
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnflow.llm import packing
-from tarnflow.llm.tokens import token_counts
+from tarnflow.llm.tokens import encoder, encoding, token_counts
 
 SCHEMA = "doc_id long, tokens long, capacity_id int, bin string"
 
@@ -65,3 +65,12 @@ def test_token_counts(spark):
     rows = [(1, "hello world", 0), (2, "", 0), (3, None, 0), (4, "<|endoftext|>", 0), (5, "a" * 20_000, 0), (6, "😀\ud83d"[:1], 0)]
     got = {r[0]: r[1] for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string, tokens int")).collect()}
     assert (got[1], got[2], got[3]) == (2, 0, 0) and got[4] > 1 and got[5] > 500
+
+
+def test_long_runs_of_blanks():
+    r = random.Random(2)
+    e = encoding()
+    for _ in range(200):
+        text = "".join(r.choice(["word", " ", "\n", "x1", " " * 1000, "\t\n" * 700, "\u3000" * 1001, "é.", " a"]) for _ in range(r.randrange(1, 7)))
+        assert encoder()(text) == e.encode_ordinary(text)
+    assert len(encoder()(" " * 2_000_000 + "end")) > 1 and encoder()("." * 1_000_000) and encoder()("\n" * 500_000)
