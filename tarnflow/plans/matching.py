@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import grids
 from tarnflow.operators import hierarchy, matching, network, places
-from tarnflow.plans.network import cell_links
+from tarnflow.plans.network import LINK, UP, cell_links
 from tarnflow.plans.scalar import station_areas
 from tarnflow.session import materialise
 from tarnflow.sources.tables import read_table
@@ -86,6 +86,11 @@ QUERIES = {
 _AT = "s as (select distinct wqms_id, lat, (lon + 180) - 360 * floor((lon + 180) / 360) - 180 as lon from stations where lat is not null and lat::varchar <> 'nan' and lon is not null and lon::varchar <> 'nan')"
 
 SQL = {
+    "upstream_area": "with recursive " + LINK + UP + """, e as (select sqrt(1 - (6356752.3142 / 6378137) ** 2) as e), z as (
+  select cell_id, e, e * sin(radians(lat + 1.0 / 240)) as a, e * sin(radians(lat - 1.0 / 240)) as b from (select cell_id, max(lat) as lat from cells group by 1), e
+), area as (
+  select cell_id, abs((atanh(a) / (2 * e) + a / e / (2 * (1 - a * a))) - (atanh(b) / (2 * e) + b / e / (2 * (1 - b * b)))) * pi() * 6356752.3142 ** 2 * 2 / 43200 / 1e6 as km2 from z
+) select u.node as cell_id, round(sum(km2), 6) as km2 from up u join area a on a.cell_id = u.top group by 1""",
     "near_cells": f"with {_AT}, c as (select distinct cell_id, lat, lon from cells)" + """
 select distinct cell_id from c, s where abs(c.lat - s.lat) < 0.1 and 2 * 6371008.8 * asin(sqrt(least(1, sin(radians(c.lat - s.lat) / 2) ** 2 + cos(radians(c.lat)) * cos(radians(s.lat)) * sin(radians(c.lon - s.lon) / 2) ** 2))) <= 5000
 """,

@@ -15,7 +15,7 @@ def cell_links(spark: SparkSession, d: str) -> DataFrame:
     return materialise(hierarchy.parent_links(read_table(spark, d, "cells"), "cell_id", "out_id"))
 
 
-_LINK = """
+LINK = """
 raw as (select cell_id as node, min(case when out_id > 0 then out_id end) as parent from cells group by 1), link as (
   select a.node, b.node as parent from raw a left join raw b on b.node = a.parent
 ), indeg as (select l.node, l.parent, coalesce(i.n, 0) as indegree from link l left join (select parent as node, count(*) as n from link where parent is not null group by 1) i using (node)
@@ -97,11 +97,11 @@ QUERIES = {
     "reaches": reaches, "reach_lengths": reach_lengths, "junction_inflow": junction_inflow, "river_distance": river_distance,
 }
 
-_REACH = _LINK + """, reach as (
+_REACH = LINK + """, reach as (
   select node, node as reach_id, 0 as pos from indeg where indegree <> 1 union all
   select i.node, r.reach_id, r.pos + 1 from reach r join link l on l.node = r.node join indeg i on i.node = l.parent where i.indegree = 1
 )"""
-_UP = """, up as (
+UP = """, up as (
   select node, node as top from tree union all
   select l.parent, u.top from up u join link l on l.node = u.node where l.parent is not null
 )"""
@@ -115,17 +115,17 @@ with c as (select distinct cell_id, ilat, ilon, out_id from cells), s as (
     when r = -1 and k = -1 then 32 when r = -1 and k = 0 then 64 when r = -1 and k = 1 then 128 when r = 0 and k = 0 then 0 else 255 end as code from s
 ) select cell_id, code, case when code <> 255 then out_id else -1 end as target from t
 """,
-    "node_kinds": "with recursive " + _LINK + " select node, indegree, indegree = 0 as headwater, indegree > 1 as confluence, parent is null as sink from indeg",
-    "source_flags": "with recursive " + _LINK + " select node from indeg where indegree = 0",
-    "basin_sizes": "with recursive " + _LINK + " select root as outlet, count(*) as cells, max(depth) as deepest from tree group by 1",
-    "flow_accumulation": "with recursive " + _LINK + _UP + """ select u.node, round(sum(coalesce(case when o.ore::varchar <> 'nan' then o.ore::double end, 0.0)), 4) as ore_upstream
+    "node_kinds": "with recursive " + LINK + " select node, indegree, indegree = 0 as headwater, indegree > 1 as confluence, parent is null as sink from indeg",
+    "source_flags": "with recursive " + LINK + " select node from indeg where indegree = 0",
+    "basin_sizes": "with recursive " + LINK + " select root as outlet, count(*) as cells, max(depth) as deepest from tree group by 1",
+    "flow_accumulation": "with recursive " + LINK + UP + """ select u.node, round(sum(coalesce(case when o.ore::varchar <> 'nan' then o.ore::double end, 0.0)), 4) as ore_upstream
 from up u join (select distinct cell_id, ore from cells) o on o.cell_id = u.top group by 1""",
-    "network_mask": "with recursive " + _LINK + """, mask as (
+    "network_mask": "with recursive " + LINK + """, mask as (
   select cell_id as node from cells where ore > 0 and ore::varchar <> 'nan' union select l.parent from mask m join link l on l.node = m.node where l.parent is not null
 ) select node from mask""",
     "reaches": "with recursive " + _REACH + " select node, reach_id, pos as position from reach",
     "reach_lengths": "with recursive " + _REACH + " select cells, count(*) as reaches from (select reach_id, count(*) as cells from reach group by 1) group by 1",
-    "junction_inflow": "with recursive " + _REACH + _UP + """, flow as (select node, count(*)::double as q from up group by 1), tail as (
+    "junction_inflow": "with recursive " + _REACH + UP + """, flow as (select node, count(*)::double as q from up group by 1), tail as (
   select arg_max(node, pos) as node from reach group by reach_id
 ) select l.parent as node, sum(f.q) as inflow from tail t join link l using (node) join flow f on f.node = t.node where l.parent is not null group by 1""",
     "river_distance": """
