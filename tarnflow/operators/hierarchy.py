@@ -7,7 +7,7 @@ log2(d) + 1, and a node that is never reached runs into a loop.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.session import materialise
@@ -16,6 +16,14 @@ from tarnflow.session import materialise
 MAX_ROUNDS = 64
 
 
+def _seek(up: str) -> Column:
+    """`up`, or where it is NULL a value that no parent has: rows without `up` spread over all tasks in a left join.
+
+    Parents are above 0, so the sides joined to it keep only such nodes.
+    """
+    return F.coalesce(F.col(up), F.when(F.col("node") > 0, -F.col("node")).otherwise(F.col("node")))
+
+
 def parent_links(df: DataFrame, node: str, parent: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """One row per distinct non-NULL node: keys, node, parent; parent is NULL where the path ends.
 
@@ -24,8 +32,9 @@ def parent_links(df: DataFrame, node: str, parent: str, keys: list[str] = []) ->
     """
     rows = df.filter(F.col(node).isNotNull()).select(*keys, F.col(node).alias("node"), F.when(F.col(parent) > 0, F.col(parent)).alias("parent"))
     rows = rows.groupBy(*keys, "node").agg(F.min("parent").alias("parent"))
-    known = rows.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    return rows.join(known, [*keys, "parent"], "left").select(*keys, "node", F.when(F.col("_known"), F.col("parent")).alias("parent"))
+    known = rows.filter("node > 0").select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    seeking = rows.select(*keys, "node", _seek("parent").alias("parent"))
+    return seeking.join(known, [*keys, "parent"], "left").select(*keys, "node", F.when(F.col("_known"), F.col("parent")).alias("parent"))
 
 
 def _rounds_of(nodes: int) -> int:
@@ -146,8 +155,8 @@ def accumulate(links: DataFrame, tree: DataFrame, keys: list[str] = []) -> DataF
     state = materialise(links.join(tree, [*keys, "node"], "left_semi").select(*keys, "node", F.col("parent").alias("up"), F.coalesce("value", F.lit(0)).alias("total")))
     for _ in range(MAX_ROUNDS):
         gifts = state.filter("up is not null").groupBy(*keys, F.col("up").alias("node")).agg(F.sum("total").alias("_gift"))
-        jump = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
-        joined = state.join(gifts, [*keys, "node"], "left").join(jump, [*keys, "up"], "left")
+        jump = state.filter("node > 0").select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
+        joined = state.join(gifts, [*keys, "node"], "left").withColumn("up", _seek("up")).join(jump, [*keys, "up"], "left")
         state = materialise(joined.select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_gift", F.lit(0))).alias("total")))
         if state.filter("up is not null").isEmpty():
             return state.select(*keys, "node", "total")
@@ -164,6 +173,6 @@ def sum_to_root(links: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B
     for _ in range(_rounds_of(state.count()) + 1):
         if state.filter("up is not null").isEmpty():
             break
-        other = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_more"))
-        state = materialise(state.join(other, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
+        other = state.filter("node > 0").select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_more"))
+        state = materialise(state.withColumn("up", _seek("up")).join(other, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total")))
     return state.filter("up is null").select(*keys, "node", "total")
