@@ -21,7 +21,9 @@ ROWS_PER_SHARD, HALO_ROWS = 8192, 256
 #: Rows a kernel gets at once, at least one whole lane.
 BATCH_ROWS = 200_000
 
-Kernel = Callable[[pa.Table, np.ndarray], pa.RecordBatch | pa.Table]
+#: A result in one piece, or in pieces where it may be much larger than the input.
+Result = pa.RecordBatch | pa.Table | Iterator[pa.Table]
+Kernel = Callable[[pa.Table, np.ndarray], Result]
 
 
 def lane_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -42,9 +44,10 @@ def lane_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _runner(keys: list[str], kernel: Kernel, batch_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def emit(result: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
-        if result.num_rows:
-            yield from result.to_batches() if isinstance(result, pa.Table) else [result]
+    def emit(result: Result) -> Iterator[pa.RecordBatch]:
+        for piece in [result] if isinstance(result, (pa.RecordBatch, pa.Table)) else result:
+            if piece.num_rows:
+                yield from piece.to_batches() if isinstance(piece, pa.Table) else [piece]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -90,7 +90,7 @@ class LocalTree:
             edges = np.sort(np.concatenate([edges, (edges[:-1] + edges[1:]) // 2]))
         self.edges, self.points = edges, points
 
-    def within(self, centres: np.ndarray, radius: float, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def within(self, centres: np.ndarray, radius: float, block: int = 4096, candidates: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (centre, point, squared distance) of all pairs at most `radius` apart."""
         for at in range(0, len(centres), block):
             c = centres[at : at + block]
@@ -102,12 +102,17 @@ class LocalTree:
                 if level < self.depth:
                     q, node = np.repeat(q, 2), np.column_stack([2 * node, 2 * node + 1]).ravel()
             size = self.edges[node + 1] - self.edges[node]
-            q = np.repeat(q, size)
-            inside = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)
-            p = self.order[np.repeat(self.edges[node], size) + inside]
-            d = ((c[q] - self.points[p]) ** 2).sum(axis=1)
-            hit = d <= radius * radius
-            yield at + q[hit], p[hit], d[hit]
+            upto = np.cumsum(size)
+            # dense places have many candidates: they are compared some at a time
+            cuts = np.searchsorted(upto, np.arange(candidates, upto[-1] if len(upto) else 0, candidates))
+            for part in np.split(np.arange(len(q)), cuts):
+                many = size[part]
+                a = np.repeat(q[part], many)
+                inside = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+                p = self.order[np.repeat(self.edges[node[part]], many) + inside]
+                d = ((c[a] - self.points[p]) ** 2).sum(axis=1)
+                hit = d <= radius * radius
+                yield at + a[hit], p[hit], d[hit]
 
 
 def _assign(splits: Splits, radius: float, own_only: bool):
@@ -126,22 +131,20 @@ PAYLOAD = ["p0", "p1", "p2", "p3", "p4"]
 
 
 def _pair_kernel(radius: float):
-    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    def pairs(table: pa.Table, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.Table:
+        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        col = lambda c, at: table.column(c).take(at)
+        metres = 2 * EARTH_M * np.arcsin(np.minimum(np.sqrt(d) / 2, 1))
+        return pa.table([col("id", a), *(col(p, a) for p in PAYLOAD[:2]), col("id", b), *(col(p, b) for p in PAYLOAD), pa.array(metres)], names=["q_id", "q0", "q1", "t_id", "t0", "t1", "t2", "t3", "t4", "metres"])
+
+    def run(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
         xyz = np.column_stack([table.column(a).to_numpy() for a in ("x", "y", "z")])
         side = table.column("side").to_numpy()
-        a_rows, b_rows, dist = [], [], []
         for s, e in zip(starts[:-1], starts[1:]):
             m = s + np.searchsorted(side[s:e], 1)  # targets first
             if s < m < e:
                 for q, p, d in LocalTree(xyz[s:m]).within(xyz[m:e], radius):
-                    a_rows.append(m + q)
-                    b_rows.append(s + p)
-                    dist.append(d)
-        a, b = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a_rows, b_rows))
-        d = np.concatenate(dist) if dist else np.zeros(0)
-        col = lambda c, at: table.column(c).take(at)
-        metres = 2 * EARTH_M * np.arcsin(np.minimum(np.sqrt(d) / 2, 1))
-        return pa.table([col("id", a), *(col(p, a) for p in PAYLOAD[:2]), col("id", b), *(col(p, b) for p in PAYLOAD), pa.array(metres)], names=["q_id", "q0", "q1", "t_id", "t0", "t1", "t2", "t3", "t4", "metres"])
+                    yield pairs(table, m + q, s + p, d)
 
     return run
 

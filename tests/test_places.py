@@ -138,3 +138,16 @@ def test_nearest_where_three_tiers(spark):
     assert got["a"] == (2, 1) and got["b"] == (3, 2) and got["c"][1] == 3 and got["d"] == (5, 1)
     assert places.nearest_where(at, "who", targets.limit(0), 5000.0).collect() == []
     assert places.nearest_where(at.limit(0), "who", targets, 5000.0).collect() == []
+
+
+def test_dense_points_are_compared_in_parts():
+    import numpy as np
+
+    from tarnflow.operators.places import LocalTree
+
+    points = np.random.default_rng(3).normal(size=(300, 3))
+    parts = list(LocalTree(points).within(points, 1.0, block=64, candidates=50))
+    got = sorted((int(a), int(b)) for q, p, _ in parts for a, b in zip(q, p))
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    assert got == [(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 1.0))] and len(parts) > 50
+    assert [len(q) for q, _, _ in LocalTree(points).within(points + 1e3, 1.0)] == [0]
