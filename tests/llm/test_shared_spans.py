@@ -109,3 +109,15 @@ def test_report(spark):
     assert got == {1: (452, 300, 300 / 452), 2: (300, 300, 1.0), 3: (400, 0, 0.0), 4: (300, 300, 1.0), 5: (0, 0, 0.0), 6: (0, 0, 0.0), 7: (562, 470, 470 / 562)}
     spans = {(x["doc_id"], x["start"], x["length"]) for x in shared_spans.passages(docs).collect()}
     assert spans == {(1, 101, 300), (2, 0, 300), (4, 0, 300), (7, 0, 210), (7, 302, 260)}
+
+
+@pytest.mark.parametrize("n", [1000, 3000])
+def test_report_counts_each_copy_inside_a_text(spark, n):
+    r = random.Random(8)
+    rand = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    s = rand(n)
+    rows = [(1, rand(300) + "." + s + "!" + rand(500) + "." + s + "!" + rand(90), 0, 0), (2, rand(70) + "#" + s + "?" + rand(400), 0, 0), (3, "y" * 900 + "#" + rand(50), 0, 0), (4, rand(50) + "!" + "y" * 700, 0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spans = {(x["doc_id"], x["start"], x["length"], x["texts"]) for x in shared_spans.passages(docs).collect()}
+    assert spans == {(1, 301, n, 1), (1, 301 + n + 502, n, 1), (2, 71, n, 1), (3, 0, 900, 1), (4, 51, 700, 1)}
+    assert {x["doc_id"]: x["shared_chars"] for x in shared_spans.report(docs).collect()} == {1: 2 * n, 2: n, 3: 900, 4: 700}
