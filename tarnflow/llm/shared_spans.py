@@ -128,7 +128,7 @@ def _verify(span: int):
     return run
 
 
-def _window_rows(span: int):
+def _window_rows(span: int, once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _blocks(batches, span):
             c = Chunked(texts, span + 1)
@@ -150,6 +150,11 @@ def _window_rows(span: int):
             key = c.digest(at, at + span)
             other = mix((doc.astype(np.uint64) << np.uint64(20)) + own.astype(np.uint64)).view(np.int64)
             other[1:][after[1:]] = key[:-1][after[1:]]
+            if once:
+                order = np.lexsort((other, key, doc))
+                first = np.ones(len(order), bool)
+                first[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (doc, key, other)], axis=0)
+                key, other, doc, own = (x[order[first]] for x in (key, other, doc, own))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(doc), pa.array(own)], ["key", "other", "doc_id", "pos"])
 
     return run
@@ -179,11 +184,14 @@ def _verified(texts: DataFrame, hits: DataFrame, span: int) -> DataFrame:
     return found.mapInArrow(_verify(span), "doc_a bigint, doc_b bigint")
 
 
-def _windows(texts: DataFrame, hits: DataFrame, span: int) -> DataFrame:
-    """Digests of all `span` characters around the cuts of `hits`: key, other (that of the characters one place before), doc_id, pos."""
+def _windows(texts: DataFrame, hits: DataFrame, span: int, once: bool = False) -> DataFrame:
+    """Digests of all `span` characters around the cuts of `hits`: key, other (that of the characters one place before), doc_id, pos.
+
+    `once` gives any one place of each (key, other, doc_id), for who asks only which texts hold them.
+    """
     places = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     around = texts.join(small_side(materialise(places)), "doc_id").select("doc_id", "text", "places")
-    return materialise(around.mapInArrow(_window_rows(span), "key bigint, other bigint, doc_id bigint, pos int"))
+    return materialise(around.mapInArrow(_window_rows(span, once), "key bigint, other bigint, doc_id bigint, pos int"))
 
 
 def shared_pairs(texts: DataFrame, span: int = SPAN, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -191,14 +199,14 @@ def shared_pairs(texts: DataFrame, span: int = SPAN, hot_rows: int = HOT_ROWS) -
 
     `texts` has a unique doc_id and a text per row. Texts that share a long passage share all its chunks; of such
     a row of chunks only the ends give candidates, for inside it `other` is equal. Candidates are then held against
-    the characters themselves. A key that more than `hot_rows` places hold would give many candidates in vain (a formula
+    the characters themselves, at every place where a text that repeats itself has them. A key that more than `hot_rows` places hold would give many candidates in vain (a formula
     a little too short): there the digests of all windows of `span` characters around the cut are paired instead, which
     only texts with such a window in common share. NULL, empty and short texts pair with nothing; there is no bound
     on partners.
     """
     hits = chunk_hits(texts, span)
     hot = small_side(materialise(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("key")))
-    often = _apart(_windows(texts, hits.join(hot, "key", "left_semi"), span)).select("doc_a", "doc_b")
+    often = _apart(_windows(texts, hits.join(hot, "key", "left_semi"), span, once=True)).select("doc_a", "doc_b")
     return _verified(texts, hits.join(hot, "key", "left_anti"), span).unionByName(often).distinct()
 
 

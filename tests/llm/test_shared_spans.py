@@ -121,3 +121,26 @@ def test_report_counts_each_copy_inside_a_text(spark, n):
     spans = {(x["doc_id"], x["start"], x["length"], x["texts"]) for x in shared_spans.passages(docs).collect()}
     assert spans == {(1, 301, n, 1), (1, 301 + n + 502, n, 1), (2, 71, n, 1), (3, 0, 900, 1), (4, 51, 700, 1)}
     assert {x["doc_id"]: x["shared_chars"] for x in shared_spans.report(docs).collect()} == {1: 2 * n, 2: n, 3: 900, 4: 700}
+
+
+def test_repeated_stretch_with_another_continuation(spark):
+    r = random.Random(9)
+    rand = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for i in range(120):
+        said, next_, n, k = rand(600), rand(100), r.choice([199, 200, 205, 214]), r.randrange(120, 190)
+        # what is said twice stands before or behind what is shared besides, and the shared place is the first or the second
+        both = [said, next_] if i % 2 else [next_, said]
+        alone = [said, rand(100)] if i % 2 else [rand(100), said]
+        copies = [*both, "-", *alone] if i % 3 == 0 else [*alone, "-", *both]
+        joint, at = "".join(both), len(both[0]) - (k if i % 2 else n - k)  # k characters are of `said`
+        rows += [(2 * i, "".join(copies), 0, 0), (2 * i + 1, rand(80) + "+" + joint[at : at + n] + "+" + rand(80), 0, 0)]
+    want = pairs_of(rows, 200)
+    for hot in (64, 0):
+        assert all_pairs(spark, rows, 200, hot_rows=hot) == want and len(want) > 60
+
+
+def test_texts_of_one_character(spark):
+    rows = [(i, "-+"[i % 2] * (i % 3) + "y" * (3000 + i) + str(i), 0, 0) for i in range(12)] + [(20, "y" * 199, 0, 0), (21, "z" + "y" * 199, 0, 0), (22, "yz" * 2000, 0, 0), (23, "-" + "yz" * 100, 0, 0)]
+    for hot in (64, 0):
+        assert all_pairs(spark, rows, 200, hot_rows=hot) == pairs_of(rows, 200)
