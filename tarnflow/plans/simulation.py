@@ -12,8 +12,8 @@ from tarnflow.plans.network import cell_links
 from tarnflow.session import materialise
 from tarnflow.sources.tables import read_table
 
-#: Weekly steps, and the flow that a cell adds in m3/s.
-STEPS, CELL_RUNOFF = 4, 0.01
+#: Weekly steps (one seasonal cycle), and the flow that a cell adds in m3/s.
+STEPS, CELL_RUNOFF = 52, 0.01
 
 
 def model_cells(spark: SparkSession, d: str, steps: int = STEPS) -> DataFrame:
@@ -37,8 +37,8 @@ def model_cells(spark: SparkSession, d: str, steps: int = STEPS) -> DataFrame:
 
 
 def simulate_basins(spark: SparkSession, d: str) -> DataFrame:
-    """Concentrations after each of four weekly steps in every basin with ore."""
-    return simulate(model_cells(spark, d), Model(max_substeps=20))
+    """Concentrations after each weekly step of a seasonal cycle in every basin with ore, with the operator's own defaults."""
+    return simulate(model_cells(spark, d), Model())
 
 
 QUERIES = {"simulate_basins": simulate_basins}

@@ -141,3 +141,14 @@ def test_basins_do_not_depend_on_how_they_are_dealt(spark):
     for x, y in zip(a, b):
         assert [v for v in x if v is not None] == pytest.approx([v for v in y if v is not None], rel=1e-5)
     assert simulate(df.limit(0), m).collect() == []
+
+
+def test_query_runs_the_defaults_over_a_seasonal_cycle(spark, monkeypatch):
+    from tarnflow.plans import simulation
+
+    schema = "basin long, cell_id long, parent long, slope double, ore double, on_network boolean, q array<float>"
+    cells = spark.createDataFrame([(0, i, i + 1 if i < 2 else None, 0.01, 94.0 if i == 0 else 0.0, True, [1.0 + i, 2.0 + i]) for i in range(3)], schema)
+    monkeypatch.setattr(simulation, "model_cells", lambda *_: cells)
+    key = lambda x: (x["cell_id"], x["step"])
+    assert sorted(simulation.simulate_basins(spark, "").collect(), key=key) == sorted(simulate(cells, Model()).collect(), key=key)
+    assert simulation.STEPS >= 52
