@@ -54,9 +54,3 @@ def cell_area_km2(lat: Column, cell: float = CELL_DEGREES) -> Column:
 
     band = math.pi * MINOR_AXIS**2 * 2
     return F.abs(zone(lat + cell / 2) - zone(lat - cell / 2)) * band * (cell / 360) / 1e6
-
-
-def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_008.8) -> Column:
-    """Metres between two positions in degrees on a sphere."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))

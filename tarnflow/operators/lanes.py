@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.session import materialise
 
-#: Rows of a series in one time shard, and rows copied from each neighbouring shard.
-ROWS_PER_SHARD, HALO_ROWS = 8192, 256
+#: Rows of a series in one time shard, rows of each neighbouring shard that it sees at first, and rows of a range that is ranked in one task.
+ROWS_PER_SHARD, HALO_ROWS, BIN_ROWS = 8192, 1024, 100_000
 #: Rows a kernel gets at once, at least one whole lane.
 BATCH_ROWS = 200_000
 
@@ -73,45 +73,123 @@ def map_lanes(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel,
     """Apply `kernel(table, starts)` to the lanes of `df`: one shuffle by `keys`, one sort, no group in one object.
 
     `starts` holds the first row of each lane and the row count. A lane must fit in a task; long series
-    are cut by `split_long` before. An empty `df` gives an empty result.
+    are cut by `map_series` before. An empty `df` gives an empty result.
     """
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_runner(keys, kernel, batch_rows), schema)
 
 
-def split_long(
-    df: DataFrame, keys: list[str], ts: str, rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary series, and rows of long series cut into overlapping time shards.
+def _binned(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`df` written in ranges of (keys, order) of about BIN_ROWS rows, numbered by `_bin`; equal order values share a range.
 
-    `ts` is a BIGINT column without NULLs. Both results have the further columns `shard` INT and `core`
-    BOOLEAN. A series of more than `rows_per_shard` rows is cut by rank in time: every shard has that many
-    core rows, and up to `halo` rows of either neighbour that are not core. The rank needs no sort of a
-    whole series: rows are ranked inside time bins and the bins' counts are summed up. The table of long
-    series has at most rows / rows_per_shard rows.
+    Spark samples the bounds, so ranges hold alike many rows however the values lie: one far value, or a key with most of
+    the rows, makes no large range. `df` should be cheap to read twice.
     """
-    # AQE turns these joins into broadcasts if, and only if, the written table is under Spark's threshold
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    long = materialise(counted.filter(F.col("_n") > rows_per_shard))
-    whole = df.join(long.select(*keys), keys, "left_anti").withColumns({"shard": F.lit(0), "core": F.lit(True)})
-    width = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0") + 1) * (rows_per_shard / 4) / F.col("_n"))
-    binned = df.join(long, keys).withColumn("_bin", F.floor((F.col(ts) - F.col("_t0")) / width)).drop("_t0", "_t1")
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
-    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)).alias("_before"))
-    tie = [c for c in df.columns if c not in (*keys, ts)]
-    inside = Window.partitionBy(*keys, "_bin").orderBy(ts, *tie)
-    ranked = binned.withColumn("_at", F.row_number().over(inside)).join(bins, [*keys, "_bin"])
-    rank = F.col("_before") + F.col("_at") - 1
-    own, within = F.floor(rank / rows_per_shard).cast("int"), F.pmod(rank, F.lit(rows_per_shard))
-    last = F.floor((F.col("_n") - 1) / rows_per_shard).cast("int")
-    empty = F.array().cast("array<int>")
-    shards: Column = F.concat(
-        F.array(own),
-        F.when((within < halo) & (own > 0), F.array(own - 1)).otherwise(empty),
-        F.when((within >= rows_per_shard - halo) & (own < last), F.array(own + 1)).otherwise(empty),
-    )
-    cut = ranked.select(*df.columns, own.alias("_own"), F.explode(shards).alias("shard"))
-    return whole, cut.withColumn("core", F.col("shard") == F.col("_own")).drop("_own")
+    n = -(-df.count() // BIN_ROWS)
+    if n <= 1:
+        return df.withColumn("_bin", F.lit(0))
+    return materialise(df.repartitionByRange(n, *keys, *order).withColumn("_bin", F.spark_partition_id()))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str | Column, name: str) -> DataFrame:
+    """`df` with `name`: the sum of `value` (BIGINT) over the rows of its key that come before it in `order`, 0 at first.
+
+    Rows equal in `order` have the same sum. No key is sorted in one task: sums are taken inside ranges of rows, and the
+    ranges' totals are added up.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    binned = _binned(df, keys, order)
+    ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(*keys, "_bin").agg(F.sum(v).alias("_in_bin")).select(*keys, "_bin", F.coalesce(F.sum("_in_bin").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*keys, "_bin")
+    upto, peers = F.sum(v).over(inside.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum(v).over(inside.partitionBy(*keys, "_bin", *order))
+    return binned.withColumn("_here", upto - peers).join(totals, [*keys, "_bin"]).withColumn(name, F.col("_ahead") + F.col("_here")).drop("_bin", "_here", "_ahead")
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`df` with `name`: `value` (not NULL) of the row before in `order`, NULL at a key's first row; ranges as in `running`."""
+    binned = _binned(df, keys, order)
+    last = binned.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    last = last.select(*keys, "_bin", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_end"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    return binned.withColumn("_lag", F.lag(value).over(inside)).join(last, [*keys, "_bin"]).withColumn(name, F.coalesce("_lag", "_end")).drop("_bin", "_lag", "_end")
+
+
+def lower_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Per key the lower empirical quantiles of `value` (no NULL or NaN), as `lane_quantile` takes them, by ranks."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(df.select(*keys, value), keys, [value], F.lit(1), "_rank").join(n, keys)
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_rank") <= F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(c) for c, q in wanted.items()))
+
+
+def map_series(
+    df: DataFrame, keys: list[str], ts: str, tie: list[str], kernel: Kernel, schema: str, statistics: Callable[[DataFrame], DataFrame], names: list[str],
+    rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS,
+) -> list[DataFrame]:
+    """Apply `kernel` to whole series, long ones cut into overlapping time shards: the results of the whole ones, and of the
+    shards if there are any, which are together what uncut series would give.
+
+    `df` has the keys, `ts` BIGINT and `tie` columns that order rows of one time. The kernel sees these and `shard`,
+    `shards` (of the series), `core` (the shard's own row, not a neighbour's), and the columns `names`: NULL, or for a cut
+    series the values that `statistics` (rows of long series -> keys, names) found for the whole of it.
+
+    What a kernel carries from row to row must fade: every shard starts `halo` rows early. Whether it has faded is
+    measured, not assumed. The kernel also gives, for either border of a shard, the states it carries over it: rows with
+    `edge` (2 x border forward, 2 x border + 1 backward) and `state`. Unless both sides of every border have the same
+    states the shards are run again with a halo four times as wide, at last the whole series.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_shard)
+    # AQE turns joins with it into broadcasts if, and only if, the written table is under Spark's threshold
+    long = materialise(counted)
+    empty = [F.lit(None).cast("double").alias(n) for n in names]
+    whole = df.join(long.select(*keys), keys, "left_anti").select("*", F.lit(0).alias("shard"), F.lit(1).alias("shards"), F.lit(True).alias("core"), *empty)
+    out = map_lanes(whole, [*keys, "shard"], [ts, *tie], kernel, schema)
+    if long.isEmpty():
+        return [out]
+    rows = materialise(df.join(long.select(*keys), keys))
+    found = materialise(statistics(rows))
+    ranked = materialise(running(rows, keys, [ts], F.lit(1), "_rank").join(long, keys))
+    while True:
+        size = max(rows_per_shard, 2 * halo)
+        at = lambda r: F.floor(r / size).cast("int")  # noqa: E731, B023
+        last = at(F.col("_n") - 1)
+        reach = F.sequence(F.greatest(F.lit(0), at(F.col("_rank") - halo)), F.least(last, at(F.col("_rank") + halo)))
+        cut = ranked.select(*df.columns, at(F.col("_rank")).alias("_own"), (last + 1).alias("shards"), F.explode(reach).alias("shard"))
+        cut = cut.withColumn("core", F.col("shard") == F.col("_own")).drop("_own").join(found, keys, "left")
+        done = materialise(map_lanes(cut, [*keys, "shard"], [ts, *tie], kernel, schema))
+        sides = done.filter("edge is not null").groupBy(*keys, "edge").agg(F.min("state").alias("a"), F.max("state").alias("b"), F.count(F.lit(1)).alias("n"))
+        near = F.forall(F.zip_with("a", "b", lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b)) + 1e-13), lambda ok: F.coalesce(ok, F.lit(False)))
+        if sides.filter(~near | F.exists("a", F.isnan) | (F.col("n") != 2)).isEmpty():
+            return [out, done.filter("edge is null")]
+        halo *= 4
+
+
+def border_rows(shard: np.ndarray, shards: np.ndarray, core: np.ndarray, usable: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(lane, row, edge, backward) of the usable rows at the borders of the lanes, row -1 where a border has none.
+
+    Forward states belong to the first usable row after a border, backward ones to the last one before it; `shard` and
+    `shards` are per lane. Rows of a lane are those before its core, its core, and those after it.
+    """
+    n = len(core)
+    where = np.arange(n)
+    lane = np.repeat(np.arange(len(shard)), np.diff(starts))
+    first_core = np.full(len(shard), n)
+    last_core = np.full(len(shard), -1)
+    np.minimum.at(first_core, lane[core], where[core])
+    np.maximum.at(last_core, lane[core], where[core])
+    out = []
+    for right in (False, True):
+        has = np.flatnonzero(shard < shards - 1 if right else shard > 0)
+        border = shard[has] + right
+        # the border lies before row `at` of the lane
+        at = last_core[has] + 1 if right else first_core[has]
+        good = np.flatnonzero(usable)
+        k = np.searchsorted(good, at)
+        after = np.where(k < len(good), good[np.minimum(k, max(len(good) - 1, 0))] if len(good) else -1, -1)
+        before = np.where(k > 0, good[np.maximum(k - 1, 0)] if len(good) else -1, -1)
+        after = np.where((after >= 0) & (after < starts[has + 1]), after, -1)
+        before = np.where(before >= starts[has], before, -1)
+        out += [(has, after, 2 * border, False), (has, before, 2 * border + 1, True)]
+    return out
 
 
 class Lockstep:

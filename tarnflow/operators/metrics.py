@@ -1,15 +1,19 @@
 """Goodness of fit of modelled against observed values, as aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.operators.lanes import running
+
 
 def fit_metrics(pairs: DataFrame, keys: list[str], observed: str = "observed", modelled: str = "modelled", min_n: int = 3) -> DataFrame:
     """Per key: n, bias, rmse, r2, nse, nse_standard, kge, kge_standard, fze.
 
     nse and kge take the modelled series as reference, as this model's evaluation always did; the _standard ones take
-    the observed. All but n and bias are NULL for fewer than `min_n` pairs or an observed series without scatter; a
+    the observed. All but n and bias are NULL for fewer than `min_n` pairs or where either series is constant; a
     ratio with denominator 0 is NULL. Pairs with a NULL or NaN do not count.
     """
     o, m = F.col(observed), F.col(modelled)
@@ -17,7 +21,7 @@ def fit_metrics(pairs: DataFrame, keys: list[str], observed: str = "observed", m
     zero = F.lit(0.0)
     a = good.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(m - o).alias("bias"), F.sqrt(F.avg((m - o) * (m - o))).alias("_rmse"), F.sum((m - o) * (m - o)).alias("_ss"),
-        F.var_pop(o).alias("_vo"), F.var_pop(m).alias("_vm"), F.avg(o).alias("_mo"), F.avg(m).alias("_mm"), F.covar_pop(o, m).alias("_c"),
+        F.var_pop(o).alias("_vo"), F.var_pop(m).alias("_vm"), F.avg(o).alias("_mo"), F.avg(m).alias("_mm"), ((F.min(o) < F.max(o)) & (F.min(m) < F.max(m))).alias("_scatter"), F.covar_pop(o, m).alias("_c"),
         F.percentile(o, F.array(F.lit(0.25), F.lit(0.75))).alias("_qo"), F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias("_qm"),
     )
     r = F.col("_c") / F.nullif(F.sqrt(F.col("_vo") * F.col("_vm")), zero)
@@ -25,7 +29,7 @@ def fit_metrics(pairs: DataFrame, keys: list[str], observed: str = "observed", m
     root = lambda x, y, z: 1 - F.sqrt((x - 1) * (x - 1) + (y - 1) * (y - 1) + (z - 1) * (z - 1))
     ratio = lambda x, y: x / F.nullif(y, zero)
     so, sm = F.sqrt("_vo"), F.sqrt("_vm")
-    gate = lambda c: F.when((F.col("n") >= min_n) & (F.col("_vo") > 0), c)
+    gate = lambda c: F.when((F.col("n") >= min_n) & F.col("_scatter"), c)
     r2 = 1 - ratio(F.col("_ss"), F.col("_vo") * F.col("n"))
     return a.select(
         *keys, "n", "bias", gate(F.col("_rmse")).alias("rmse"), gate(r2).alias("r2"),
@@ -45,27 +49,42 @@ def legacy_fze(pairs: DataFrame, keys: list[str], observed: str = "observed", mo
     return both.select(*keys, (1 - F.sqrt((F.col("r2") - 1) ** 2 + (F.col("g") - 1) ** 2 + (F.col("b") - 1) ** 2)).alias("fze_legacy"))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within `keys` with ties sharing their mean rank. Each key is sorted in one task."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*keys, value)) - 1) / 2
+def student_p(rho: Column, n: Column, steps: int = 2000) -> Column:
+    """Two-sided p-value of a correlation `rho` of `n` pairs by Student's t with n - 2 degrees of freedom.
+
+    With t = rho sqrt((n - 2) / (1 - rho^2)) it is the integral of cos(x)^(n - 3) from asin|rho| to pi / 2, over that from 0;
+    both by Simpson's rule as far as the integrand counts. NULL for fewer than three pairs; 0 where |rho| is 1.
+    """
+    power = (n - 3).cast("double")
+    half_pi = F.lit(math.pi / 2)
+    reach = F.lit(14.0) / F.sqrt(F.greatest(power, F.lit(1.0)))
+
+    def integral(a: Column) -> Column:
+        h = (F.least(half_pi, a + reach) - a) / steps
+        weight = lambda k: F.when((k == 0) | (k == steps), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+        term = lambda s, k: s + weight(k) * F.pow(F.greatest(F.cos(a + h * k), F.lit(0.0)), power)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), term) * h / 3
+
+    start = F.asin(F.least(F.abs(rho), F.lit(1.0)))
+    return F.when(n >= 3, F.when(F.abs(rho) >= 1, F.lit(0.0)).otherwise(integral(start) / integral(F.lit(0.0))))
 
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Spearman's rank correlation per key: keys, n, rho, t. Ranks come from counts per value, not from one big sort.
+    """Spearman's rank correlation per key: keys, n, rho, t, p. Ranks come from counts per value, summed up over ranges
+    of values (`lanes.running`), so no key is sorted in one task.
 
-    t is the statistic of the usual test, with n - 2 degrees of freedom. NULL pairs are left out.
+    t is the statistic of the usual test, with n - 2 degrees of freedom, p its two-sided p-value. NULL pairs are left out.
     """
     good = pairs.dropna(subset=[x, y])
 
     def ranks(v: str, name: str) -> DataFrame:
         per_value = good.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-        return per_value.select(*keys, v, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+        return running(per_value, keys, [v], "_n", "_before").select(*keys, v, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
     ranked = good.join(ranks(x, "_rx"), [*keys, x]).join(ranks(y, "_ry"), [*keys, y])
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
-    return out.withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
+    return out.withColumns({"t": t, "p": student_p(F.col("rho"), F.col("n"))})
 
 
 def equal_bins(value: Column, low: Column, high: Column, bins: int = 10) -> Column:

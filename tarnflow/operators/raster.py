@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.hierarchy import _rounds_of
+from tarnflow.operators.hierarchy import accumulate, resolve
 from tarnflow.session import materialise
 
 
@@ -77,25 +77,28 @@ def fill_downstream(links: DataFrame, values: DataFrame) -> DataFrame:
     """Fill gaps (NULL, NaN or 0) from upstream: node, value, filled.
 
     A gap takes the sum of the values that flow into it over gaps only, so that each value goes down to the next cell
-    that has its own. Gaps that nothing reaches, or on loops, stay NULL. Pointer doubling: log2(longest gap) + 1 rounds.
+    that has its own. Gaps that nothing reaches, or whose path runs on over gaps into a loop of gaps, stay NULL. The links
+    into gaps form trees, over which `hierarchy.accumulate` sums: log2(longest gap) + 1 rounds.
     """
     own = F.when((F.col("value") != 0) & ~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
     state = materialise(links.join(values.select("node", own.alias("own")), "node", "left"))
-    gaps = state.filter("own is null").select(F.col("node").alias("parent"))
-    # links into gaps only; a value is handed on along them
-    move = state.join(gaps, "parent", "left_semi").select("node", F.col("parent").alias("up"), "own")
-    total = materialise(state.select("node", "own", F.coalesce("own", F.lit(0.0)).alias("sum")))
-    hop = materialise(move.select("node", "up"))
-    for _ in range(_rounds_of(total.count()) + 1):
-        if hop.isEmpty():
-            break
-        gift = hop.join(total.select("node", "sum"), "node").groupBy(F.col("up").alias("node")).agg(F.sum("sum").alias("_g"))
-        total = materialise(total.join(gift, "node", "left").select("node", "own", (F.col("sum") + F.coalesce("_g", F.lit(0.0))).alias("sum")))
-        hop = materialise(hop.join(hop.select(F.col("node").alias("up"), F.col("up").alias("_up")), "up").select("node", F.col("_up").alias("up")))
-    return total.select("node", F.coalesce("own", F.when(F.col("sum") != 0, F.col("sum"))).alias("value"), (F.col("own").isNull() & (F.col("sum") != 0)).alias("filled"))
+    gaps = state.filter("own is null").select(F.col("node").alias("parent"), F.lit(True).alias("_gap"))
+    # a value is handed on along links into gaps, and goes no further than a cell with a value
+    cut = state.join(gaps, "parent", "left").select("node", F.when(F.col("_gap"), F.col("parent")).alias("parent"), "own")
+    tree = materialise(resolve(cut.select("node", "parent")).filter("depth >= 0").select("node"))
+    total = accumulate(cut.select("node", "parent", F.col("own").alias("value")), tree).select("node", F.col("total").alias("sum"))
+    out = state.select("node", "own").join(total, "node", "left")
+    gap = F.col("own").isNull() & (F.coalesce("sum", F.lit(0.0)) != 0)
+    return out.select("node", F.coalesce("own", F.when(gap, F.col("sum"))).alias("value"), gap.alias("filled"))
 
 
 def adjacent_difference(grid: DataFrame, value: str) -> DataFrame:
     """Difference to the next row of the same column: row, col, step."""
     w = Window.partitionBy("col").orderBy("row")
     return grid.select("row", "col", (F.lead(value).over(w) - F.col(value)).alias("step"))
+
+
+def mask(grid: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
+    """A raster mask: the cells of `grid`, burnt 1 where `regions` has them, else 0."""
+    hit = regions.select(*on).distinct().withColumn("_hit", F.lit(1))
+    return grid.join(hit, on, "left").select(*on, F.coalesce("_hit", F.lit(0)).cast("tinyint").alias("mask"))

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import Lockstep, lane_quantile, map_lanes, split_long
+from tarnflow.operators.lanes import HALO_ROWS, ROWS_PER_SHARD, Lockstep, border_rows, lagged, lane_quantile, lower_quantiles, map_series
 from tarnflow.operators.spikes import LIMITS, Limits
+from tarnflow.session import materialise
 from tarnflow.sources.tables import micros, present
 
 DAY = 86_400_000_000
@@ -33,9 +34,11 @@ class Trend:
     prior_slope: float = 0.05
 
 
-def smooth(t: np.ndarray, y: np.ndarray, used: np.ndarray, starts: np.ndarray, trend: Trend) -> dict[str, np.ndarray]:
+def smooth(t: np.ndarray, y: np.ndarray, used: np.ndarray, starts: np.ndarray, trend: Trend, known: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Filtered, predicted and smoothed moments of every reading; t in days, rows sorted by time per lane.
 
+    `known` (level, half width and median step per lane) are the whole series' where a lane is a part of it, else NaN.
+
     The state is level and slope; between readings the level follows the slope and the slope is a Wiener
     process. Rows that are not `used` are passed over like missing readings. Everything runs in lockstep.
     """
@@ -43,14 +46,17 @@ def smooth(t: np.ndarray, y: np.ndarray, used: np.ndarray, starts: np.ndarray, t
     lane = np.repeat(np.arange(lanes), np.diff(starts))
     seen = np.where(used, y, np.nan)
     q = lambda x, p: lane_quantile(x, starts, p)
-    level = np.nan_to_num(q(seen, 0.5))
-    spread = np.maximum(np.nan_to_num((q(seen, 0.84) - q(seen, 0.16)) / 2), trend.least)
+    middle, half = q(seen, 0.5), (q(seen, 0.84) - q(seen, 0.16)) / 2
     at = np.flatnonzero(used)
     jump = np.full(n, np.nan)
     if len(at) > 1:
         same = lane[at[1:]] == lane[at[:-1]]
         jump[at[1:][same]] = np.abs(np.diff(y[at]))[same]
-    noise = np.maximum(np.nan_to_num(q(jump, 0.5)) / 0.954, trend.least)
+    steps = q(jump, 0.5)
+    if known is not None:
+        middle, half, steps = (np.where(np.isnan(k), x, k) for k, x in zip(known, (middle, half, steps)))
+    level, spread = np.nan_to_num(middle), np.maximum(np.nan_to_num(half), trend.least)
+    noise = np.maximum(np.nan_to_num(steps) / 0.954, trend.least)
     # a Wiener process of spectral density g integrated over T has variance g T^3 / 3
     density = 3 * spread**2 / trend.swing_days**3
 
@@ -140,7 +146,9 @@ def _kernel(limits: dict[str, Limits], trend: Trend):
         used = (value >= per_row(lambda x: x.low)) & (value <= per_row(lambda x: x.high)) & ~(ratio & (value <= 0))
         y = np.where(ratio, np.log(np.where(used & ratio, value, 1.0)), np.where(used, value, 0.0))
         origin = np.repeat(t[starts[:-1]], size)
-        x = smooth((t - origin) / DAY, y, used, starts, trend)
+        lane_of = lambda c: table.column(c).take(head).to_numpy(zero_copy_only=False)
+        shard, shards = lane_of("shard"), lane_of("shards")
+        x = smooth((t - origin) / DAY, y, used, starts, trend, np.array([lane_of(c).astype(float) for c in STATISTICS]))
         week = (t - MONDAY) // WEEK
         fresh = np.ones(n, bool)
         fresh[1:] = lane[1:] != lane[:-1]
@@ -181,21 +189,51 @@ def _kernel(limits: dict[str, Limits], trend: Trend):
         pad = len(holes)
         observed = np.concatenate([n_core[kept], np.zeros(pad, np.int64)])
         sums, of = np.concatenate([total[kept], np.zeros(pad)]), np.concatenate([n_used[kept], np.zeros(pad, np.int64)])
+        # a week on a shard's border comes from every shard with a reading of it; the one to keep owns a row beside its middle
+        own = (has_left & core[left]) | (has_right & core[right])
         rows = pa.array(anchor)
-        return pa.RecordBatch.from_arrays(
+        names = ["wqms_id", "var", "turn", "week_end", "filled", "low", "high", "n_readings", "total", "n_used", "edge", "state"]
+        result = [pa.table(
             [
-                table.column("wqms_id").take(rows).combine_chunks(), table.column("var").take(rows).combine_chunks(), table.column("shard").take(rows).combine_chunks(),
+                table.column("wqms_id").take(rows).combine_chunks(), table.column("var").take(rows).combine_chunks(), pa.array((shard[g_lane] + np.where(own, 0, shards[g_lane])).astype(np.int32)),
                 pa.array(((grid_week + 1) * WEEK + MONDAY - DAY) // DAY, pa.int32()).cast(pa.date32()),
                 pa.array(back(mean)), pa.array(back(mean - 1.96 * deviation)), pa.array(back(mean + 1.96 * deviation)),
-                pa.array(observed), pa.array(sums), pa.array(of),
+                pa.array(observed), pa.array(sums), pa.array(of), pa.nulls(len(anchor), pa.int32()), pa.nulls(len(anchor), pa.list_(pa.float64())),
             ],
-            ["wqms_id", "var", "shard", "week_end", "filled", "low", "high", "n_readings", "total", "n_used"],
-        )
+            names=names,
+        )]
+        for at, row, edge, backward in border_rows(shard, shards, core, np.ones(n, bool), starts):
+            moments = np.column_stack([x[f"{'smoo' if backward else 'pred'}_{m}"][row] for m in ("m0", "m1", "p00", "p01", "p11")])
+            state = pa.array(list(np.where((row >= 0)[:, None], moments, np.nan)), pa.list_(pa.float64()))
+            of_lane = pa.array(starts[at])
+            blank = [pa.nulls(len(at), k) for k in (pa.int32(), pa.date32(), *[pa.float64()] * 3, pa.int64(), pa.float64(), pa.int64())]
+            result.append(pa.table([*(table.column(c).take(of_lane).combine_chunks() for c in ("wqms_id", "var")), *blank, pa.array(edge.astype(np.int32)), state], names=names))
+        return pa.concat_tables(result)
 
     return run
 
 
-def weekly_series(obs: DataFrame, limits: dict[str, Limits] = LIMITS, trend: Trend = Trend()) -> DataFrame:
+#: Level, half width and median step of a series, by which its noise is set.
+STATISTICS = ["middle", "half", "steps"]
+
+
+def _statistics(limits: dict[str, Limits]):
+    """The statistics that `smooth` takes of a whole series, for series cut into shards."""
+    def found(rows: DataFrame) -> DataFrame:
+        keys = ["wqms_id", "var"]
+        pick = lambda f: F.coalesce(*(F.when(F.col("var") == v, F.lit(f(x))) for v, x in limits.items()))
+        ratio = pick(lambda x: x.ratio)
+        used = rows.filter(F.col("value").between(pick(lambda x: x.low), pick(lambda x: x.high)) & (~ratio | (F.col("value") > 0)))
+        used = materialise(used.select(*keys, "t", F.when(ratio, F.log("value")).otherwise(F.col("value")).alias("y")))
+        level = lower_quantiles(used, keys, "y", {"middle": 0.5, "_a": 0.16, "_b": 0.84})
+        jumps = lagged(used, keys, ["t", "y"], "y", "_last").select(*keys, F.abs(F.col("y") - F.col("_last")).alias("jump")).filter("jump is not null")
+        step = lower_quantiles(materialise(jumps), keys, "jump", {"steps": 0.5})
+        return level.join(step, keys, "left").select(*keys, "middle", ((F.col("_b") - F.col("_a")) / 2).alias("half"), "steps")
+
+    return found
+
+
+def weekly_series(obs: DataFrame, limits: dict[str, Limits] = LIMITS, trend: Trend = Trend(), rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS) -> DataFrame:
     """One weekly row per station and variable from its first to its last week with a reading.
 
     Columns: wqms_id, var, week_end DATE (Sunday), observed (mean of the week's possible readings, NULL if
@@ -204,15 +242,17 @@ def weekly_series(obs: DataFrame, limits: dict[str, Limits] = LIMITS, trend: Tre
     physical limits count as readings of their week but do not enter the smoother; a series with no possible
     reading is filled with the neutral value. Rows without ts, value or station, or of variables without
     limits, are no readings. Rows delivered twice count twice in n_readings. An empty table gives no rows.
-    Long series are smoothed in overlapping time shards and a week on a shard's edge is put together after.
+    Series over `rows_per_shard` rows are smoothed in overlapping time shards with the noise of the whole series
+    (`lanes.map_series`), which gives what one smoother over all of it gives; a week on a border is put together after.
     """
     rows = obs.filter(F.col("var").isin(*limits) & F.col("ts").isNotNull() & present("value") & F.col("wqms_id").isNotNull())
     rows = rows.select("wqms_id", "var", micros("ts").alias("t"), "value")
     keys = ["wqms_id", "var"]
-    schema = "wqms_id string, var string, shard int, week_end date, filled double, low double, high double, n_readings bigint, total double, n_used bigint"
-    whole, cut = (map_lanes(x, [*keys, "shard"], ["t", "value"], _kernel(limits, trend), schema) for x in split_long(rows, keys, "t"))
-    one = {c: F.min_by(c, "shard").alias(c) for c in ("filled", "low", "high")}
-    cut = cut.groupBy(*keys, "week_end").agg(*one.values(), *(F.sum(c).alias(c) for c in ("n_readings", "total", "n_used")))
-    both = whole.drop("shard").unionByName(cut)
+    schema = "wqms_id string, var string, turn int, week_end date, filled double, low double, high double, n_readings bigint, total double, n_used bigint, edge int, state array<double>"
+    both, *cut = map_series(rows, keys, "t", ["value"], _kernel(limits, trend), schema, _statistics(limits), STATISTICS, rows_per_shard, halo)
+    both = both.drop("turn", "edge", "state")
+    for weeks in cut:
+        one = {c: F.min_by(c, "turn").alias(c) for c in ("filled", "low", "high")}
+        both = both.unionByName(weeks.groupBy(*keys, "week_end").agg(*one.values(), *(F.sum(c).alias(c) for c in ("n_readings", "total", "n_used"))))
     mean = F.when(F.col("n_used") > 0, F.col("total") / F.col("n_used"))
     return both.select(*keys, "week_end", mean.alias("observed"), "n_readings", "filled", "low", "high", (F.col("n_readings") == 0).alias("missing"))

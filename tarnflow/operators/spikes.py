@@ -2,13 +2,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import Lockstep, lane_quantile, map_lanes, split_long
+from tarnflow.operators.lanes import HALO_ROWS, ROWS_PER_SHARD, Lockstep, border_rows, lagged, lane_quantile, lower_quantiles, map_series
+from tarnflow.session import materialise
 from tarnflow.sources.tables import micros, present
 
 
@@ -47,13 +49,13 @@ class Chart:
     least: float = 0.02
 
 
-def _side(y: np.ndarray, starts: np.ndarray, scatter: np.ndarray, chart: Chart, backward: bool) -> tuple[np.ndarray, np.ndarray]:
-    """One chart over every lane: the mean that each element was held against, and suspicion as -1, 0, 1."""
+def _side(y: np.ndarray, starts: np.ndarray, scatter: np.ndarray, chart: Chart, backward: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One chart over every lane: the mean that each element was held against, suspicion as -1, 0, 1, and the chart's state there."""
     walk = Lockstep(starts, backward)
     lanes = len(starts) - 1
     base = np.maximum(scatter, chart.least)[walk.order]
     packed = walk.pack(y)
-    mean_at, side_at = np.empty(len(y)), np.zeros(len(y), np.int8)
+    mean_at, side_at, state_at = np.empty(len(y)), np.zeros(len(y), np.int8), np.empty((len(y), 3))
     head = np.full((5, lanes), np.nan)
     for j in range(min(5, walk.steps)):
         head[j, : walk.active[j]] = packed[walk.at(j)]
@@ -66,6 +68,7 @@ def _side(y: np.ndarray, starts: np.ndarray, scatter: np.ndarray, chart: Chart,
         off = v - m
         side = np.where(np.abs(off) > chart.far * s, np.sign(off), 0).astype(np.int8)
         mean_at[here] = m
+        state_at[here] = np.column_stack([spread[:a], run[:a], last[:a]])
         side_at[here] = side
         run[:a] = np.where(side == 0, 0, np.where(side == last[:a], run[:a] + 1, 1))
         last[:a] = side
@@ -80,7 +83,7 @@ def _side(y: np.ndarray, starts: np.ndarray, scatter: np.ndarray, chart: Chart,
                 side_at[walk.offset[j - back] + new] = 0
             mean[new] = np.median(recent[:, new], axis=0)
             run[new] = last[new] = 0
-    return walk.unpack(mean_at), walk.unpack(side_at)
+    return walk.unpack(mean_at), walk.unpack(side_at), walk.unpack(state_at)
 
 
 def _stuck(value: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
@@ -93,10 +96,12 @@ def _stuck(value: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     return (np.bincount(run, minlength=1)[run] >= least) & ~np.isnan(value) if n else np.zeros(0, bool)
 
 
-def judge(ts: np.ndarray, value: np.ndarray, ratio: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, chart: Chart) -> tuple[np.ndarray, np.ndarray]:
-    """Reason of each reading (0 none, 1 impossible, 2 stuck, 3 spike) and its distance in units of scatter.
+def judge(ts: np.ndarray, value: np.ndarray, ratio: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, chart: Chart, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reason of each reading (0 none, 1 impossible, 2 stuck, 3 spike), its distance in units of scatter, and the charts'
+    states before its sample time (forward mean, scatter, run, side, then those backward; NaN at impossible readings).
 
-    Rows are sorted by time inside each lane; `ratio`, `low` and `high` are per row.
+    Rows are sorted by time inside each lane; `ratio`, `low` and `high` are per row. `known` is the scatter of each lane
+    where the lane is a part of a series, NaN where it is to be taken from the lane.
     """
     n = len(value)
     lane = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -113,7 +118,7 @@ def judge(ts: np.ndarray, value: np.ndarray, ratio: np.ndarray, low: np.ndarray,
 
     y = np.where(ratio, np.log(np.maximum(value, 1e-9)), value)
     ok = np.flatnonzero(~impossible)
-    far, z = np.zeros(n, bool), np.zeros(n)
+    far, z, states = np.zeros(n, bool), np.zeros(n), np.full((n, 8), np.nan)
     if len(ok):
         yo, ao = y[ok], at[ok]
         c_first = np.ones(len(ok), bool)
@@ -130,8 +135,11 @@ def judge(ts: np.ndarray, value: np.ndarray, ratio: np.ndarray, low: np.ndarray,
         jump[c_starts[:-1]] = np.nan
         # of absolute differences of a normal series: median 0.954, upper quartile 1.627 times its scatter
         scatter = np.nan_to_num(np.maximum(lane_quantile(jump, c_starts, 0.5) / 0.954, 0.9 * lane_quantile(jump, c_starts, 0.75) / 1.627))
-        before, side_f = _side(charted, c_starts, scatter, chart, False)
-        after, side_b = _side(charted, c_starts, scatter, chart, True)
+        if known is not None:
+            scatter = np.where(np.isnan(known[lanes]), scatter, known[lanes])
+        before, side_f, state_f = _side(charted, c_starts, scatter, chart, False)
+        after, side_b, state_b = _side(charted, c_starts, scatter, chart, True)
+        states[ok] = np.column_stack([before, state_f, after, state_b])[c_at]
         unit = np.maximum(np.repeat(scatter, np.diff(c_starts)), chart.least)
         own = np.minimum(np.abs(yo - before[c_at]), np.abs(yo - after[c_at])) / unit[c_at]
         edge = np.zeros(len(charted), bool)
@@ -139,7 +147,7 @@ def judge(ts: np.ndarray, value: np.ndarray, ratio: np.ndarray, low: np.ndarray,
         hit = (side_f != 0) & (side_f == side_b) & ~edge
         z[ok] = own
         far[ok] = hit[c_at] & (own > chart.far * chart.floor)
-    return np.where(impossible, 1, np.where(stuck, 2, np.where(far, 3, 0))).astype(np.int32), np.where(impossible, np.inf, z)
+    return np.where(impossible, 1, np.where(stuck, 2, np.where(far, 3, 0))).astype(np.int32), np.where(impossible, np.inf, z), states
 
 
 def _kernel(limits: dict[str, Limits], chart: Chart, all_rows: bool):
@@ -148,19 +156,42 @@ def _kernel(limits: dict[str, Limits], chart: Chart, all_rows: bool):
         size = np.diff(starts)
         per_row = lambda f: np.repeat(np.array([f(limits[v]) for v in var]), size)
         value = table.column("value").to_numpy()
-        reason, z = judge(table.column("t").to_numpy(), value, per_row(lambda x: x.ratio), per_row(lambda x: x.low), per_row(lambda x: x.high), starts, chart)
-        keep = table.column("core").to_numpy(zero_copy_only=False)
-        if not all_rows:
-            keep = keep & (reason > 0)
+        head = pa.array(starts[:-1])
+        lane = lambda c: table.column(c).take(head).to_numpy(zero_copy_only=False)
+        low, high = per_row(lambda x: x.low), per_row(lambda x: x.high)
+        reason, z, states = judge(table.column("t").to_numpy(), value, per_row(lambda x: x.ratio), low, high, starts, chart, lane("scatter").astype(float))
+        core = table.column("core").to_numpy(zero_copy_only=False)
+        keep = core if all_rows else core & (reason > 0)
         rows = np.flatnonzero(keep)
-        return pa.RecordBatch.from_arrays(
-            [table.column("obs_id").to_numpy()[rows], value[rows], reason[rows], z[rows]], ["obs_id", "value", "reason", "distance"]
-        )
+        key = lambda at: [table.column(c).take(pa.array(at)).combine_chunks() for c in ("wqms_id", "var")]
+        names = ["wqms_id", "var", "obs_id", "value", "reason", "distance", "edge", "state"]
+        none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.list_(pa.float64()))
+        out = [pa.table([*key(rows), table.column("obs_id").to_numpy()[rows], value[rows], reason[rows], z[rows], *none], names=names)]
+        for at, row, edge, backward in border_rows(lane("shard"), lane("shards"), core, (value >= low) & (value <= high), starts):
+            state = np.where((row >= 0)[:, None], states[row][:, 4:] if backward else states[row][:, :4], np.nan)
+            blank = [pa.nulls(len(at), k) for k in (pa.int64(), pa.float64(), pa.int32(), pa.float64())]
+            out.append(pa.table([*key(starts[at]), *blank, pa.array(edge.astype(np.int32)), pa.array(list(state), pa.list_(pa.float64()))], names=names))
+        return pa.concat_tables(out)
 
     return run
 
 
-def implausible(obs: DataFrame, limits: dict[str, Limits] = LIMITS, variables: tuple[str, ...] = ("pH", "Fe-Dis"), chart: Chart = Chart(), all_rows: bool = False) -> DataFrame:
+def _scatter(limits: dict[str, Limits], chart: Chart):
+    """The scatter that `judge` finds in a whole series, for series cut into shards."""
+    def found(rows: DataFrame) -> DataFrame:
+        keys = ["wqms_id", "var"]
+        pick = lambda f: F.coalesce(*(F.when(F.col("var") == v, F.lit(f(x))) for v, x in limits.items()))
+        good = rows.filter(F.col("value").between(pick(lambda x: x.low), pick(lambda x: x.high)))
+        y = F.when(pick(lambda x: x.ratio), F.log(F.greatest("value", F.lit(1e-9)))).otherwise(F.col("value"))
+        charted = materialise(good.groupBy(*keys, "t").agg(F.median(y).alias("y")))
+        jumps = lagged(charted, keys, ["t"], "y", "_last").select(*keys, F.abs(F.col("y") - F.col("_last")).alias("jump")).filter("jump is not null")
+        q = lower_quantiles(materialise(jumps), keys, "jump", {"_half": 0.5, "_upper": 0.75})
+        return q.select(*keys, F.greatest(F.col("_half") / 0.954, 0.9 * F.col("_upper") / 1.627).alias("scatter"))
+
+    return found
+
+
+def implausible(obs: DataFrame, limits: dict[str, Limits] = LIMITS, variables: tuple[str, ...] = ("pH", "Fe-Dis"), chart: Chart = Chart(), all_rows: bool = False, rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS) -> DataFrame:
     """Readings of `obs` that their own station cannot have measured.
 
     Columns: obs_id, value, reason (1 outside the physical limits, 2 in a run of equal values, 3 far off the
@@ -172,13 +203,11 @@ def implausible(obs: DataFrame, limits: dict[str, Limits] = LIMITS, variables: t
     must be suspect in both directions on the same side, so steps, floods and gaps are none, and nothing is said
     of a series' first and last sample time. Rows without ts or value (NULL or NaN), of other variables or with
     NULL station are not judged. A row delivered twice appears twice; an empty table gives no rows; further
-    columns are ignored. Series over `lanes.ROWS_PER_SHARD` rows are charted in overlapping time shards.
+    columns are ignored. Series over `rows_per_shard` rows are charted in overlapping time shards with the scatter of the
+    whole series (`lanes.map_series`), which gives what one chart over all of it gives.
     """
     rows = obs.filter(F.col("var").isin(*variables) & F.col("ts").isNotNull() & present("value") & F.col("wqms_id").isNotNull())
     rows = rows.select("wqms_id", "var", micros("ts").alias("t"), "obs_id", "value")
-    keys = ["wqms_id", "var"]
-    schema = "obs_id bigint, value double, reason int, distance double"
-    kernel = _kernel(limits, chart, all_rows)
-    whole, cut = split_long(rows, keys, "t")
-    parts = [map_lanes(x, [*keys, "shard"], ["t", "obs_id"], kernel, schema) for x in (whole, cut)]
-    return parts[0].unionByName(parts[1])
+    schema = "wqms_id string, var string, obs_id bigint, value double, reason int, distance double, edge int, state array<double>"
+    parts = map_series(rows, ["wqms_id", "var"], "t", ["obs_id", "value"], _kernel(limits, chart, all_rows), schema, _scatter(limits, chart), ["scatter"], rows_per_shard, halo)
+    return reduce(DataFrame.unionByName, parts).select("obs_id", "value", "reason", "distance")

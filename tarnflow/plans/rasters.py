@@ -61,6 +61,21 @@ select row::int as row, col::int as col, round(sum(w * v) / sum(w), 8) as value
 with g as (select ilat as row, ilon as col, max(case when ore::varchar <> 'nan' then ore::double end) as ore from cells group by 1, 2), a as (
   select g.* from g semi join (select row from g where ore is not null) using (row)
 ) select row, col, round(ore, 6) as ore from a semi join (select col from a where ore is not null) using (col)
+""",
+    "filled_slope": """
+with recursive raw as (
+  select cell_id as node, min(case when out_id > 0 then out_id end) as parent, max(case when slope::varchar <> 'nan' then slope::double end) as v from cells group by 1
+), own as (select node, parent, case when v <> 0 then v end as own from raw
+), link as (
+  select a.node, a.own, b.node as parent from own a left join own b on b.node = a.parent and b.own is null
+), tree as (
+  select node from link where parent is null union all select l.node from link l join tree t on l.parent = t.node
+), up as (
+  select l.node, l.own from link l join tree t using (node) where own is not null
+  union all
+  select l.parent, u.own from up u join link l on l.node = u.node where l.parent is not null
+), total as (select node, sum(own) as s from up group by 1)
+select o.node, round(coalesce(o.own, nullif(t.s, 0)), 8) as value, o.own is null and coalesce(t.s, 0) <> 0 as filled from own o left join total t using (node)
 """,
     "latitude_steps": f"with {_GRID} select row, col, round(lead(v) over (partition by col order by row) - v, 8) as step from g",
 }

@@ -191,13 +191,18 @@ def country_summary(spark: SparkSession, d: str) -> DataFrame:
     """Customers per nation under overridden names, with status and log count; nations without any have 0."""
     override = F.create_map(*(F.lit(x) for x in ("UNITED STATES", "UNITED STATES OF AMERICA", "RUSSIA", "RUSSIAN FEDERATION")))
     n = read_table(spark, d, "nation")
-    c = read_table(spark, d, "customer").filter("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("raw"))
+    c = read_table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("raw"))
     out = n.join(c, "n_nationkey", "left")
     k = F.greatest(F.coalesce("raw", F.lit(0)), F.lit(0))
     status = F.when(F.col("raw") < 0, "error").when(k == 0, "empty").otherwise("ok")
     return out.select(F.coalesce(override[F.upper("n_name")], F.col("n_name")).alias("country"), k.alias("n"), status.alias("status"), F.round(F.log10(k + 1), 6).alias("log_n"))
 
 
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Nations by status, with their customers."""
+    return country_summary(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("nations"), F.sum("n").alias("customers"))
+
+
 def unobserved_stations(spark: SparkSession, d: str) -> DataFrame:
     """Stations that no reading names, as a resumable collection would still have to visit."""
     return read_table(spark, d, "stations").select("wqms_id").distinct().join(read_table(spark, d, "obs").select("wqms_id"), "wqms_id", "left_anti")
@@ -238,10 +243,16 @@ def extent_quadrants(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "normalised_cells": normalised_cells, "channel": channel, "iron_and_ph": iron_and_ph, "davies_activity": davies_activity, "iron_equilibrium": iron_equilibrium,
     "ferrous_oxidation": ferrous_oxidation, "ferrous_euler": ferrous_euler, "pyrite": pyrite, "cell_areas": cell_areas, "station_areas": station_areas,
-    "stations_in_domain": stations_in_domain, "mine_texts": mine_texts, "iron_parts": iron_parts, "country_summary": country_summary, "unobserved_stations": unobserved_stations,
+    "stations_in_domain": stations_in_domain, "mine_texts": mine_texts, "iron_parts": iron_parts, "country_summary": country_summary, "status_counts": status_counts, "unobserved_stations": unobserved_stations,
     "event_props": event_props, "date_parts": date_parts, "slope_quartiles": slope_quartiles, "extent_quadrants": extent_quadrants,
 }
 
+_COUNTRY = """
+with c as (select c_nationkey, count(*) as raw from customer group by 1)
+select case upper(n_name) when 'UNITED STATES' then 'UNITED STATES OF AMERICA' when 'RUSSIA' then 'RUSSIAN FEDERATION' else n_name end as country, coalesce(raw, 0) as n,
+  case when coalesce(raw, 0) = 0 then 'empty' else 'ok' end as status, round(log10(coalesce(raw, 0) + 1), 6) as log_n from nation left join c on c_nationkey = n_nationkey
+"""
+
 _SEEN = "lat is not null and not isnan(lat) and lon is not null and not isnan(lon)"
 
 # DuckDB folds isnan() by the file's statistics, which leave NaN out; the text of a NaN it can't fold
@@ -271,11 +282,8 @@ select wqms_id from s, c where lat between a - 0.1 and b + 0.1 and lon between w
 """,
     "mine_texts": r"select doc_id from documents where coalesce(regexp_matches(text, '(?i)\b(mine|mining|quarry)\b'), false)",
     "iron_parts": "select p_partkey, p_type from part semi join lineitem on l_partkey = p_partkey where regexp_matches(p_type, '(E|S)')",
-    "country_summary": """
-with c as (select c_nationkey, count(*) as raw from customer where c_acctbal > 5000 group by 1)
-select case upper(n_name) when 'UNITED STATES' then 'UNITED STATES OF AMERICA' when 'RUSSIA' then 'RUSSIAN FEDERATION' else n_name end as country, coalesce(raw, 0) as n,
-  case when coalesce(raw, 0) = 0 then 'empty' else 'ok' end as status, round(log10(coalesce(raw, 0) + 1), 6) as log_n from nation left join c on c_nationkey = n_nationkey
-""",
+    "country_summary": _COUNTRY,
+    "status_counts": "select status, count(*) as nations, sum(n)::bigint as customers from (" + _COUNTRY + ") group by 1",
     "unobserved_stations": "select distinct wqms_id from stations anti join obs using (wqms_id)",
     "event_props": "select (props ->> '$.k')::int as k, count(*) as n, round(sum(value), 4) as value from events where (props ->> '$.k') is not null group by 1",
     "date_parts": "select year(ts)::int as y, month(ts)::int as m, day(ts)::int as d, count(*) as n from results where ts is not null group by all",

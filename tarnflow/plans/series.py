@@ -126,12 +126,12 @@ _WEEKS = _PAIRS + """, weeks as (
 
 _FIT = """
   count(*) as n, avg(modelled - observed) as bias, sqrt(avg((modelled - observed) ** 2)) as e, sum((modelled - observed) ** 2) as ss,
-  var_pop(observed) as vo, var_pop(modelled) as vm, avg(observed) as mo, avg(modelled) as mm, covar_pop(observed, modelled) as c,
+  min(observed) < max(observed) and min(modelled) < max(modelled) as scatter, var_pop(observed) as vo, var_pop(modelled) as vm, avg(observed) as mo, avg(modelled) as mm, covar_pop(observed, modelled) as c,
   quantile_cont(observed, 0.75) - quantile_cont(observed, 0.25) as qo, quantile_cont(modelled, 0.75) - quantile_cont(modelled, 0.25) as qm"""
 
 
 def _fit_sql(keys: str, source: str) -> str:
-    gate = lambda x, name: f"case when n >= {MIN_PAIRS} and vo > 0 then round({x}, 5) end as {name}"
+    gate = lambda x, name: f"case when n >= {MIN_PAIRS} and scatter then round({x}, 5) end as {name}"
     r = "c / nullif(sqrt(vo * vm), 0)"
     so, sm = "sqrt(vo) / nullif(sqrt(vm), 0)", "sqrt(vm) / nullif(sqrt(vo), 0)"
     bo, bm = "mo / nullif(mm, 0)", "mm / nullif(mo, 0)"
@@ -174,9 +174,9 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation of modelled and observed weeks per variable."""
+    """Rank correlation of modelled and observed weeks per variable, with its p-value."""
     w = weekly_pairs(spark, d).withColumns({c: F.round(c, 6) for c in ("observed", "modelled")})
-    return _rounded(metrics.spearman(materialise(w), ["var"], "observed", "modelled").select("var", "n", "rho"), 5)
+    return _rounded(metrics.spearman(materialise(w), ["var"], "observed", "modelled").select("var", "n", "rho", "p"), 5)
 
 
 def best_worst(spark: SparkSession, d: str) -> DataFrame:
@@ -187,10 +187,10 @@ def best_worst(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Stations in ten equal bins of the pH bias."""
-    m = station_metrics(spark, d).filter("var = 'pH'").select("bias")
-    span = m.agg(F.min("bias").alias("a"), F.max("bias").alias("b"))
-    return m.join(F.broadcast(span)).groupBy(metrics.equal_bins(F.col("bias"), F.col("a"), F.col("b")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Stations in ten equal bins of the bias of each variable."""
+    m = station_metrics(spark, d).select("var", "bias")
+    span = m.groupBy("var").agg(F.min("bias").alias("a"), F.max("bias").alias("b"))  # one row per variable
+    return m.join(F.broadcast(span), "var").groupBy("var", metrics.equal_bins(F.col("bias"), F.col("a"), F.col("b")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def time_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -305,11 +305,16 @@ SQL = {
     "spearman": _WEEKS + """, v as (select var, round(observed, 6) as o, round(modelled, 6) as m from weeks), r as (
   select var, rank() over (partition by var order by o) + (count(*) over (partition by var, o) - 1) / 2 as x,
     rank() over (partition by var order by m) + (count(*) over (partition by var, m) - 1) / 2 as y from v
-) select var, count(*) as n, round(corr(x, y), 5) as rho from r group by var""",
+ ), c as (select var, count(*) as n, corr(x, y) as rho from r group by var), side as (
+  select var, n, rho, unnest([asin(least(abs(rho), 1)), 0.0]) as a, unnest([true, false]) as tail, 14 / sqrt(greatest(n - 3, 1)) as reach from c
+), simpson as (
+  select var, n, rho, tail, sum(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end * greatest(cos(a + k * h), 0) ** (n - 3)) * max(h) / 3 as s
+  from (select *, (least(pi() / 2, a + reach) - a) / 2000 as h from side), generate_series(0, 2000) g(k) group by all
+) select var, n, round(rho, 5) as rho, case when n >= 3 then round(case when abs(rho) >= 1 then 0 else sum(s) filter (tail) / sum(s) filter (not tail) end, 5) end as p from simpson group by var, n, rho""",
     "best_worst": "with s as (" + _STATION_FIT + """) select var, arg_min(wqms_id, (rmse, wqms_id)) as best, arg_max(wqms_id, (rmse, wqms_id)) as worst,
   min(rmse) as least_rmse, max(rmse) as greatest_rmse from s where rmse is not null group by var""",
-    "error_histogram": "with s as (select bias from (" + _STATION_FIT + """) where var = 'pH'), e as (select min(bias) as a, max(bias) as b from s)
-select (least(10, coalesce(floor((bias - a) / nullif(b - a, 0) * 10), 0) + 1))::int as bin, count(*) as n from s, e group by 1""",
+    "error_histogram": "with s as (select var, bias from (" + _STATION_FIT + """)), e as (select var, min(bias) as a, max(bias) as b from s group by 1)
+select var, (least(10, coalesce(floor((bias - a) / nullif(b - a, 0) * 10), 0) + 1))::int as bin, count(*) as n from s join e using (var) group by 1, 2""",
     "time_overlap": f"""
 with o as ({_OBS}), station as (select distinct m.wqms_id, c.cell_id from matches m join cells c on c.ilat = m.ilat and c.ilon = m.ilon),
 x as (select cell_id, min(ts) as a, max(ts) as z from o join station using (wqms_id) group by 1), y as (select cell_id, min(ts) as c, max(ts) as e from results where ts is not null group by 1)

@@ -36,12 +36,17 @@ def test_coarsen_keeps_planes_and_slope_of_planes(spark):
 
 
 def test_fill_downstream(spark):
-    links = hierarchy.parent_links(spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (5, 6), (6, 0), (8, 9), (9, 8)], "id long, up long"), "id", "up")
-    v = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 0.0), (4, math.nan), (5, 1.0), (6, None)], "node long, value double")
+    links = hierarchy.parent_links(spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (5, 6), (6, 0), (8, 9), (9, 8), (7, 8), (10, 11), (11, 12), (12, 11)], "id long, up long"), "id", "up")
+    v = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 0.0), (4, math.nan), (5, 1.0), (6, None), (7, 4.0), (10, 5.0), (12, 3.0)], "node long, value double")
     got = {r["node"]: (r["value"], r["filled"]) for r in raster.fill_downstream(links, v).collect()}
-    assert got == {1: (2.0, False), 2: (5.0, False), 3: (7.0, True), 4: (7.0, True), 5: (1.0, False), 6: (1.0, True), 8: (None, False), 9: (None, False)}
+    assert got == {1: (2.0, False), 2: (5.0, False), 3: (7.0, True), 4: (7.0, True), 5: (1.0, False), 6: (1.0, True), 7: (4.0, False), 8: (None, False), 9: (None, False), 10: (5.0, False), 11: (8.0, True), 12: (3.0, False)}
 
 
 def test_adjacent_difference(spark):
     got = values(raster.adjacent_difference(grid(spark, [[1.0], [4.0], [9.0]]), "value"), "step")
     assert got == {(0, 0): 3.0, (1, 0): 5.0, (2, 0): None}
+
+
+def test_mask(spark):
+    g, r = spark.createDataFrame([(1, 1), (1, 2)], "row int, col int"), spark.createDataFrame([(1, 2), (1, 2)], "row int, col int")
+    assert {tuple(x) for x in raster.mask(g, r, ["row", "col"]).collect()} == {(1, 1, 0), (1, 2, 1)}

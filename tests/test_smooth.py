@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 
-from tarnflow.operators.lanes import split_long
 from tarnflow.operators.smooth import Trend, smooth, weekly_series
 
 SCHEMA = "obs_id long, wqms_id string, ts timestamp_ntz, var string, value double, missing int"
@@ -77,21 +76,32 @@ def test_weeks_gaps_and_values(spark):
     assert got[26]["high"] - got[26]["low"] > got[5]["high"] - got[5]["low"]
 
 
-def test_long_series_equal_whole_ones(spark, monkeypatch):
-    import tarnflow.operators.smooth as s
-
+def test_long_series_equal_whole_ones(spark):
     start = dt.datetime(2020, 1, 6)
     r = random.Random(3)
     rows = rows_of("s", "Fe-Tot", [(start + dt.timedelta(hours=3 * i + (2000 if i > 700 else 0)), math.exp(5 + math.sin(i / 200) + r.gauss(0, 0.1))) for i in range(1500)])
+    rows += rows_of("t", "pH", [(start + dt.timedelta(hours=i), 7 + r.gauss(0, 0.1) if i % 9 else -1.0) for i in range(350)])
     df = spark.createDataFrame(rows, SCHEMA)
-    whole = {x["week_end"]: x for x in weekly_series(df).collect()}
-    monkeypatch.setattr(s, "split_long", lambda d, k, t: split_long(d, k, t, rows_per_shard=300, halo=100))
-    cut = {x["week_end"]: x for x in weekly_series(df).collect()}
-    assert cut.keys() == whole.keys()
-    for k in whole:
-        assert (cut[k]["n_readings"], cut[k]["missing"]) == (whole[k]["n_readings"], whole[k]["missing"])
-        if not whole[k]["missing"]:  # noise is fitted per shard, so values agree closely, not exactly
-            assert abs(math.log(cut[k]["filled"] / whole[k]["filled"])) < 0.1
+    key = lambda x: (x["wqms_id"], x["week_end"])
+    whole = sorted(weekly_series(df).collect(), key=key)
+    # a narrow halo is widened until the shards agree
+    for size, halo in ((300, 200), (300, 20)):
+        cut = sorted(weekly_series(df, rows_per_shard=size, halo=halo).collect(), key=key)
+        assert len(cut) == len(whole)
+        for a, b in zip(cut, whole):
+            assert (key(a), a["n_readings"], a["missing"]) == (key(b), b["n_readings"], b["missing"])
+            for c in ("filled", "low", "high"):
+                assert math.isclose(a[c], b[c], rel_tol=1e-9)
+
+
+def test_week_longer_than_a_shard(spark):
+    start = dt.datetime(2024, 1, 1)
+    r = random.Random(4)
+    df = spark.createDataFrame(rows_of("s", "pH", [(start + dt.timedelta(minutes=10 * i), 7 + r.gauss(0, 0.1)) for i in range(2500)]), SCHEMA)
+    whole, cut = (sorted(x.collect(), key=lambda y: y["week_end"]) for x in (weekly_series(df), weekly_series(df, rows_per_shard=200, halo=50)))
+    assert len(cut) == len(whole) == 3
+    for a, b in zip(cut, whole):
+        assert a["n_readings"] == b["n_readings"] and all(math.isclose(a[c], b[c], rel_tol=1e-9) for c in ("observed", "filled", "low", "high"))
 
 
 def test_empty_and_single(spark):

@@ -2,7 +2,6 @@ import datetime as dt
 import math
 import random
 
-from tarnflow.operators.lanes import split_long
 from tarnflow.operators.spikes import implausible
 
 SCHEMA = "obs_id long, wqms_id string, ts timestamp_ntz, var string, value double, load_ts timestamp_ntz, t long, shard string"
@@ -70,28 +69,35 @@ def test_missing_values_columns_and_empty(spark):
     assert found(spark, [(6, "a", T0, "pH", 99.0, T0, 1, "x")]) == {6: 1}
 
 
-def test_shards_agree_with_one_lane(spark, monkeypatch):
-    import tarnflow.operators.spikes as s
-
+def test_shards_agree_with_one_lane(spark):
     v = noise(3000, 6)
     r = random.Random(7)
     for i in r.sample(range(10, 2990), 40):
         v[i] = 11.0
     v[1000:1030] = [7.0] * 30
-    rows = series(v, hours=1)
-    whole = found(spark, rows)
-    monkeypatch.setattr(s, "split_long", lambda d, k, t: split_long(d, k, t, rows_per_shard=400, halo=100))
-    assert found(spark, rows) == whole and len(whole) >= 60
-
-
-def test_split_long_keeps_every_row_once_as_core(spark):
-    rows = [("a", 1, i // 7, i) for i in range(1000)] + [("b", 1, i, i) for i in range(20)]
-    df = spark.createDataFrame(rows, "k string, j int, t long, id long")
-    whole, cut = split_long(df, ["k", "j"], "t", rows_per_shard=100, halo=10)
-    assert {r["id"] for r in whole.collect()} == set(range(20))
-    got = cut.collect()
-    core = [r for r in got if r["core"]]
-    assert sorted(r["id"] for r in core) == list(range(1000)) and len(got) == 1000 + 9 * 20
-    for s in range(10):
-        own = sorted(r["id"] for r in core if r["shard"] == s)
-        assert own == list(range(100 * s, 100 * s + 100))
+    v[1500:1510] = [-1.0] * 10
+    rows = series(v, hours=1) + [(9001, "b", T0, "pH", 99.0, T0, 1, "x")]
+    get = lambda **k: {x["obs_id"]: (x["reason"], x["distance"]) for x in implausible(spark.createDataFrame(rows, SCHEMA), all_rows=True, **k).collect()}
+    whole = get()
+    assert sum(x[0] > 0 for x in whole.values()) >= 60
+    for size, halo in ((400, 300), (400, 8)):
+        cut = get(rows_per_shard=size, halo=halo)
+        assert cut.keys() == whole.keys()
+        assert all(cut[k][0] == whole[k][0] and (cut[k][1] == whole[k][1] or abs(cut[k][1] - whole[k][1]) < 1e-9 * (1 + whole[k][1])) for k in whole)
+
+
+def test_running_sums_in_ranges_whatever_the_times(spark, monkeypatch):
+    from tarnflow.operators import lanes
+
+    monkeypatch.setattr(lanes, "BIN_ROWS", 500)
+    # one far time must not put all others into one range
+    rows = [("a", i // 3, i) for i in range(5000)] + [("a", 10**15, 5000)] + [("b", i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, t long, id long").repartition(6)
+    largest = lanes._binned(df, ["k"], ["t"]).groupBy("_bin").count().agg({"count": "max"}).first()[0]
+    assert largest < 1500
+    got = {(r["k"], r["id"]): r["rank"] for r in lanes.running(df, ["k"], ["t"], lanes.F.lit(1), "rank").collect()}
+    assert got == {("a", i): i // 3 * 3 for i in range(5000)} | {("a", 5000): 5000} | {("b", i): i for i in range(20)}
+    last = {(r["k"], r["id"]): r["last"] for r in lanes.lagged(df, ["k"], ["t", "id"], "id", "last").collect()}
+    assert last == {("a", i): i - 1 if i else None for i in range(5001)} | {("b", i): i - 1 if i else None for i in range(20)}
+    q = lanes.lower_quantiles(df, ["k"], "id", {"low": 0.1, "mid": 0.5})
+    assert {r["k"]: (r["low"], r["mid"]) for r in q.collect()} == {"a": (500, 2500), "b": (1, 9)}
