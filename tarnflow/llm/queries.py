@@ -23,20 +23,21 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p6_containers(spark, d))
 
 
-def _mix(spark: SparkSession, d: str) -> DataFrame:
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents")
     texts, _ = shared_spans.distinct_texts(docs)
-    return mixing.mix(texts.join(docs.select("doc_id", "source"), "doc_id"), read_table(spark, d, "mix_targets"))
+    return mixing.mix_and_report(texts.join(docs.select("doc_id", "source"), "doc_id"), read_table(spark, d, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The texts to take and how often, so that the sources have their target shares."""
-    return _mix(spark, d)
+    return _mix(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target shares and the shares really reached."""
-    return mixing.reached(materialise(_mix(spark, d)), read_table(spark, d, "mix_targets"))
+    """Target shares and the shares really reached, with those of the fit before rounding."""
+    chosen, report = _mix(spark, d)
+    return mixing.reached(materialise(chosen), read_table(spark, d, "mix_targets"), report)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -55,21 +55,42 @@ def test_classifier_on_held_out_texts(spark):
     assert right / len(got) > 0.95 and all(abs(sum(r["member"]) - 1) < 1e-9 for r in got)
 
 
-def test_projected_steps_reach_the_totals():
-    r = np.random.default_rng(1)
-    label = r.integers(0, 3, 2000)
-    member = np.full((2000, 3), 0.01)
-    member[np.arange(2000), label] = 0.98
-    n, cap = r.integers(1, 500, 2000).astype(float), np.array([1.0, 2.0, 3.0])[label]
-    soft = (n @ member)
-    aim, history, total = soft * np.array([0.5, 1.2, 2.5]), [], np.zeros(3)
-    for _ in range(60):
-        history.append((total - aim) / np.maximum(soft, 1))
-        total = (n * mixing.rates(member, cap, history)) @ member
-    assert np.allclose(total, aim, rtol=1e-3)
-
-
-def test_rounding_keeps_the_mean_and_the_cap():
-    u = (np.arange(1000) + 0.5) / 1000
-    assert mixing.repeats(np.full(1000, 1.3), np.full(1000, 2.0), u).mean() == 1.3
-    assert mixing.repeats(np.full(1000, 9.0), np.full(1000, 2.0), u).max() == 2
+def corpus(seed=1, n=2000):
+    r = np.random.default_rng(seed)
+    label = r.choice(3, n, p=[0.6, 0.3, 0.1])
+    member = r.dirichlet([0.2, 0.2, 0.2], n) * 0.1
+    member[np.arange(n), label] += 0.9
+    return mixing.features(member, label), r.integers(1, 500, n).astype(float), np.array([1.0, 2.0, 3.0])[label], label
+
+
+def fitted(f, n, cap, label, share):
+    held = np.bincount(label, n, 3)
+    total = (held * np.array([1.0, 2.0, 3.0]) / share).min()
+    evaluate = lambda tries: np.array([mixing.sums(f, n / total, cap, w) for w in tries])
+    return *mixing.fit(evaluate, share, np.concatenate([np.zeros(3), total * share / held])), total
+
+
+def test_fit_ends_at_the_targets_and_at_the_optimum():
+    f, n, cap, label = corpus()
+    for share in (np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.1, 0.8]), np.array([0.01, 0.01, 0.98])):
+        w, came, passes, total = fitted(f, n, cap, label, share)
+        r = mixing.rates(f, cap, w)
+        assert passes <= (30 if share.max() > 0.9 else 15) and (r >= 0).all() and (r <= cap).all()
+        recorded = np.bincount(label, n * r, 3) / total
+        assert np.allclose(recorded, came[3:]) and np.abs(recorded - share).max() < 1e-3
+        # no small change of any rate lowers what is minimised
+        ridge = np.concatenate([np.full(3, 1e-3), np.full(3, 1e-6)]) * np.tile(share, 2)
+        slope = f @ ((f.T @ (n * r) / total - np.tile(share, 2)) / ridge) + r
+        free = (r > 1e-9) & (r < cap - 1e-9)
+        tight = 1e-6 / ridge.min()
+        assert (np.abs(slope[free]) < tight).all() and (slope[r <= 1e-9] > -tight).all() and (slope[r >= cap - 1e-9] < tight).all()
+
+
+def test_rounding_keeps_tokens_and_caps():
+    r = np.random.default_rng(2)
+    size = np.sort(r.lognormal(5, 1, 3000)).astype(int)[::-1].astype(float)
+    cap = r.integers(1, 4, 3000).astype(float)
+    rate = np.minimum(r.uniform(0, 3, 3000), cap)
+    n = mixing.whole_repeats(rate, size, cap)
+    assert (np.abs(n - rate) < 1).all() and (n <= cap).all() and abs((size * (n - rate)).sum()) <= size.min()
+    assert mixing.whole_repeats(np.array([1.0, 0.0, 2.0]), np.array([9.0, 5.0, 1.0]), np.array([1.0, 1.0, 2.0])).tolist() == [1, 0, 2]
