@@ -48,6 +48,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.expand_copies(shared_spans.shared_pairs(texts), copies, copies.join(long, "doc_id", "left_semi"))
 
 
+def p8_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs between the representatives (least id) of equal texts: p8_found without a row per pair of copies."""
+    return shared_spans.shared_pairs(shared_spans.distinct_texts(read_table(spark, d, "documents"))[0])
+
+
+def p8_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each speech that shares a passage, with its representative, its copies and its links: the membership to p8_links."""
+    docs = read_table(spark, d, "documents")
+    texts, copies = shared_spans.distinct_texts(docs)
+    return shared_spans.memberships(copies, docs, materialise(shared_spans.shared_pairs(texts)))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """How much of each speech also stands in another one."""
     return shared_spans.report(read_table(spark, d, "documents"))
@@ -60,5 +72,5 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "length", "texts", F.expr("substring(text, start + 1, length)").alias("passage"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_links": p8_links, "p8_members": p8_members, "p8_report": p8_report, "p8_passages": p8_passages}
 SQL: dict[str, str] = {}

@@ -172,9 +172,9 @@ def _apart(hits: DataFrame) -> DataFrame:
     return found.select(pick("da", "db").alias("doc_a"), pick("pa", "pb").alias("pos_a"), pick("db", "da").alias("doc_b"), pick("pb", "pa").alias("pos_b"))
 
 
-def _verified(texts: DataFrame, hits: DataFrame, span: int) -> DataFrame:
-    """Pairs of `hits` whose characters around the cut agree over `span`."""
-    found = materialise(_apart(hits).distinct())
+def _verified(texts: DataFrame, found: DataFrame, span: int) -> DataFrame:
+    """Pairs of `found` (doc_a, pos_a, doc_b, pos_b) whose characters around the two places agree over `span`."""
+    found = materialise(found.distinct())
     used = found.select(F.col("doc_a").alias("doc_id"), F.col("pos_a").alias("pos")).unionByName(found.select(F.col("doc_b").alias("doc_id"), F.col("pos_b").alias("pos")))
     wanted = materialise(used.distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("places")))
     around = texts.join(small_side(wanted), "doc_id").select("doc_id", "text", "places").mapInArrow(_context(span), "doc_id bigint, pos int, left string, right string")
@@ -199,15 +199,37 @@ def shared_pairs(texts: DataFrame, span: int = SPAN, hot_rows: int = HOT_ROWS) -
 
     `texts` has a unique doc_id and a text per row. Texts that share a long passage share all its chunks; of such
     a row of chunks only the ends give candidates, for inside it `other` is equal. Candidates are then held against
-    the characters themselves, at every place where a text that repeats itself has them. A key that more than `hot_rows` places hold would give many candidates in vain (a formula
-    a little too short): there the digests of all windows of `span` characters around the cut are paired instead, which
-    only texts with such a window in common share. NULL, empty and short texts pair with nothing; there is no bound
-    on partners.
+    the characters themselves, at every place where a text that repeats itself has them. A key that more than `hot_rows` places hold would give many candidates in vain (a
+    formula a little too short): there the digests of all windows of `span` characters around the cut are paired instead, which
+    only texts with such a window in common share. Of these a pair of texts is held against the characters at one common
+    window; if that were the chance of two equal digests, at all of them. NULL, empty and short texts pair with nothing;
+    there is no bound on partners.
     """
     hits = chunk_hits(texts, span)
     hot = small_side(materialise(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("key")))
-    often = _apart(_windows(texts, hits.join(hot, "key", "left_semi"), span, once=True)).select("doc_a", "doc_b")
-    return _verified(texts, hits.join(hot, "key", "left_anti"), span).unionByName(often).distinct()
+    often = materialise(_apart(_windows(texts, hits.join(hot, "key", "left_semi"), span, once=True)))
+    one = often.groupBy("doc_a", "doc_b").agg(F.min(F.struct("pos_a", "pos_b")).alias("at")).select("doc_a", "at.pos_a", "doc_b", "at.pos_b")
+    good = materialise(_verified(texts, _apart(hits.join(hot, "key", "left_anti")).unionByName(one), span).distinct())
+    lost = materialise(one.select("doc_a", "doc_b").join(good, ["doc_a", "doc_b"], "left_anti"))
+    if lost.isEmpty():
+        return good
+    return good.unionByName(_verified(texts, often.join(lost, ["doc_a", "doc_b"], "left_semi"), span)).distinct()
+
+
+def memberships(copies: DataFrame, docs: DataFrame, pairs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Every document with its class of equal texts and its links: doc_id, rep_id, copies, links.
+
+    With `pairs` of representatives (`shared_pairs`) it is the whole result without a row per pair of copies: `copies` are
+    the other documents with the same text (of at least `span` characters, else 0), `links` the other texts that share a
+    span with it. Documents without either have no row.
+    """
+    long = docs.filter(F.length("text") >= span).select("doc_id")
+    held = copies.join(long, "doc_id", "left_semi")
+    group = held.groupBy("rep_id").agg(F.count(F.lit(1)).alias("copies"))
+    either = pairs.select(F.col("doc_a").alias("rep_id")).unionByName(pairs.select(F.col("doc_b").alias("rep_id"))).groupBy("rep_id").agg(F.count(F.lit(1)).alias("links"))
+    reps = group.join(either, "rep_id", "full_outer").select("rep_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+    own = reps.select(F.col("rep_id").alias("doc_id"), "rep_id", "copies", "links")
+    return own.unionByName(held.join(reps, "rep_id").select("doc_id", "rep_id", "copies", "links"))
 
 
 def expand_copies(pairs: DataFrame, copies: DataFrame, long_copies: DataFrame) -> DataFrame:

@@ -144,3 +144,18 @@ def test_texts_of_one_character(spark):
     rows = [(i, "-+"[i % 2] * (i % 3) + "y" * (3000 + i) + str(i), 0, 0) for i in range(12)] + [(20, "y" * 199, 0, 0), (21, "z" + "y" * 199, 0, 0), (22, "yz" * 2000, 0, 0), (23, "-" + "yz" * 100, 0, 0)]
     for hot in (64, 0):
         assert all_pairs(spark, rows, 200, hot_rows=hot) == pairs_of(rows, 200)
+
+
+def test_false_candidates_are_dropped_and_members_hold_all_pairs(spark):
+    r = random.Random(10)
+    rand = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    s, t = rand(250), rand(230)
+    rows = [(1, s, 0, 0), (2, s, 0, 0), (3, s, 0, 0), (4, rand(40) + s[:210], 0, 0), (5, t, 0, 0), (6, rand(300), 0, 0), (7, "short", 0, 0), (8, "short", 0, 0), (9, None, 0, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts, copies = shared_spans.distinct_texts(docs)
+    claimed = spark.createDataFrame([(1, 0, 5, 0), (1, 0, 4, 40), (4, 3, 6, 9)], "doc_a long, pos_a int, doc_b long, pos_b int")
+    assert [tuple(x) for x in shared_spans._verified(texts, claimed, 200).collect()] == [(1, 4)]
+    pairs = shared_spans.shared_pairs(texts)
+    assert [tuple(x) for x in pairs.collect()] == [(1, 4)]
+    got = {tuple(x) for x in shared_spans.memberships(copies, docs, pairs).collect()}
+    assert got == {(1, 1, 2, 1), (2, 1, 2, 1), (3, 1, 2, 1), (4, 4, 0, 1)}
