@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.session import materialise
 
-#: Rows of a series in one time shard, rows of each neighbouring shard that it sees at first, and rows of a range that is ranked in one task.
-ROWS_PER_SHARD, HALO_ROWS, BIN_ROWS = 8192, 1024, 100_000
+#: Rows of a series in one time shard, and of a range that is ranked in one task.
+ROWS_PER_SHARD, BIN_ROWS = 8192, 100_000
 #: Rows a kernel gets at once, at least one whole lane.
 BATCH_ROWS = 200_000
 
@@ -73,18 +73,18 @@ def map_lanes(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel,
     """Apply `kernel(table, starts)` to the lanes of `df`: one shuffle by `keys`, one sort, no group in one object.
 
     `starts` holds the first row of each lane and the row count. A lane must fit in a task; long series
-    are cut by `map_series` before. An empty `df` gives an empty result.
+    are cut by `time_shards` before. An empty `df` gives an empty result.
     """
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_runner(keys, kernel, batch_rows), schema)
 
 
-def _binned(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """`df` written in ranges of (keys, order) of about BIN_ROWS rows, numbered by `_bin`; equal order values share a range.
+def ranges(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """`df` written in ranges of (keys, order) of about `rows` rows (BIN_ROWS), numbered by `_bin`; equal order values share a range.
 
     Spark samples the bounds, so ranges hold alike many rows however the values lie: one far value, or a key with most of
     the rows, makes no large range. `df` should be cheap to read twice.
     """
-    n = -(-df.count() // BIN_ROWS)
+    n = -(-df.count() // (rows or BIN_ROWS))
     if n <= 1:
         return df.withColumn("_bin", F.lit(0))
     return materialise(df.repartitionByRange(n, *keys, *order).withColumn("_bin", F.spark_partition_id()))
@@ -97,7 +97,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str | Colum
     ranges' totals are added up.
     """
     v = F.col(value) if isinstance(value, str) else value
-    binned = _binned(df, keys, order)
+    binned = ranges(df, keys, order)
     ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*keys, "_bin").agg(F.sum(v).alias("_in_bin")).select(*keys, "_bin", F.coalesce(F.sum("_in_bin").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy(*keys, "_bin")
@@ -107,7 +107,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str | Colum
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """`df` with `name`: `value` (not NULL) of the row before in `order`, NULL at a key's first row; ranges as in `running`."""
-    binned = _binned(df, keys, order)
+    binned = ranges(df, keys, order)
     last = binned.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_end"))
     last = last.select(*keys, "_bin", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_end"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
@@ -121,45 +121,53 @@ def lower_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_rank") <= F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(c) for c, q in wanted.items()))
 
 
-def map_series(
-    df: DataFrame, keys: list[str], ts: str, tie: list[str], kernel: Kernel, schema: str, statistics: Callable[[DataFrame], DataFrame], names: list[str],
-    rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS,
-) -> list[DataFrame]:
-    """Apply `kernel` to whole series, long ones cut into overlapping time shards: the results of the whole ones, and of the
-    shards if there are any, which are together what uncut series would give.
+def long_series(df: DataFrame, keys: list[str], order: list[str], ties: bool, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of series of at most `rows_per_shard` rows, as one shard each; and those of longer ones with their rank in `order`.
 
-    `df` has the keys, `ts` BIGINT and `tie` columns that order rows of one time. The kernel sees these and `shard`,
-    `shards` (of the series), `core` (the shard's own row, not a neighbour's), and the columns `names`: NULL, or for a cut
-    series the values that `statistics` (rows of long series -> keys, names) found for the whole of it.
-
-    What a kernel carries from row to row must fade: every shard starts `halo` rows early. Whether it has faded is
-    measured, not assumed. The kernel also gives, for either border of a shard, the states it carries over it: rows with
-    `edge` (2 x border forward, 2 x border + 1 backward) and `state`. Unless both sides of every border have the same
-    states the shards are run again with a halo four times as wide, at last the whole series.
+    The first have the columns `shard`, `shards` and `core` of `time_shards`; the second, None if there are none, have
+    `_rank` and `_n`, for `time_shards`. With `ties` rows equal in `order` share the least rank and so stay in one shard. The table of long series' keys has at most
+    rows / rows_per_shard rows.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_shard)
     # AQE turns joins with it into broadcasts if, and only if, the written table is under Spark's threshold
     long = materialise(counted)
-    empty = [F.lit(None).cast("double").alias(n) for n in names]
-    whole = df.join(long.select(*keys), keys, "left_anti").select("*", F.lit(0).alias("shard"), F.lit(1).alias("shards"), F.lit(True).alias("core"), *empty)
-    out = map_lanes(whole, [*keys, "shard"], [ts, *tie], kernel, schema)
+    whole = df.join(long.select(*keys), keys, "left_anti").select("*", F.lit(0).alias("shard"), F.lit(1).alias("shards"), F.lit(True).alias("core"))
     if long.isEmpty():
-        return [out]
+        return whole, None
     rows = materialise(df.join(long.select(*keys), keys))
-    found = materialise(statistics(rows))
-    ranked = materialise(running(rows, keys, [ts], F.lit(1), "_rank").join(long, keys))
+    if not ties:
+        rows, order = rows.withColumn("_turn", F.monotonically_increasing_id()), [*order, "_turn"]
+    return whole, materialise(running(rows, keys, order, F.lit(1), "_rank").drop("_turn").join(long, keys))
+
+
+def time_shards(ranked: DataFrame, size: int, halo: int) -> DataFrame:
+    """Rows of `long_series` cut by rank into shards of `size` rows, each with up to `halo` rows of its neighbours.
+
+    Adds `shard`, `shards` (of the series) and `core` (the shard's own row).
+    """
+    at = lambda r: F.floor(r / size).cast("int")
+    own, last = at(F.col("_rank")), at(F.col("_n") - 1)
+    reach = F.sequence(F.greatest(F.lit(0), at(F.col("_rank") - halo)), F.least(last, at(F.col("_rank") + halo)))
+    cut = ranked.select("*", own.alias("_own"), (last + 1).alias("shards"), F.explode(reach).alias("shard"))
+    return cut.withColumn("core", F.col("shard") == F.col("_own")).drop("_own", "_rank", "_n")
+
+
+def settled(ranked: DataFrame, keys: list[str], order: list[str], kernel: Kernel, schema: str, known: DataFrame, rows_per_shard: int, halo: int) -> DataFrame:
+    """Apply `kernel` to the time shards of long series, with the result that uncut series would give.
+
+    `known` (keys and more) is joined to every row. What the kernel carries from row to row must fade: a shard starts
+    `halo` rows early. Whether it has faded is measured, not assumed: the kernel also gives, for either border of a shard,
+    the states it carries over it, as rows with `edge` (2 x border forward, 2 x border + 1 backward) and `state`. Unless
+    both sides of every border have the same states the shards run again with a halo four times as wide, at last the
+    whole series.
+    """
     while True:
-        size = max(rows_per_shard, 2 * halo)
-        at = lambda r: F.floor(r / size).cast("int")  # noqa: E731, B023
-        last = at(F.col("_n") - 1)
-        reach = F.sequence(F.greatest(F.lit(0), at(F.col("_rank") - halo)), F.least(last, at(F.col("_rank") + halo)))
-        cut = ranked.select(*df.columns, at(F.col("_rank")).alias("_own"), (last + 1).alias("shards"), F.explode(reach).alias("shard"))
-        cut = cut.withColumn("core", F.col("shard") == F.col("_own")).drop("_own").join(found, keys, "left")
-        done = materialise(map_lanes(cut, [*keys, "shard"], [ts, *tie], kernel, schema))
+        cut = time_shards(ranked, max(rows_per_shard, 2 * halo), halo).join(known, keys, "left")
+        done = materialise(map_lanes(cut, [*keys, "shard"], order, kernel, schema))
         sides = done.filter("edge is not null").groupBy(*keys, "edge").agg(F.min("state").alias("a"), F.max("state").alias("b"), F.count(F.lit(1)).alias("n"))
-        near = F.forall(F.zip_with("a", "b", lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b)) + 1e-13), lambda ok: F.coalesce(ok, F.lit(False)))
+        near = F.forall(F.zip_with("a", "b", lambda a, b: F.abs(a - b) <= 1e-10 * F.greatest(F.abs(a), F.abs(b))), lambda ok: F.coalesce(ok, F.lit(False)))
         if sides.filter(~near | F.exists("a", F.isnan) | (F.col("n") != 2)).isEmpty():
-            return [out, done.filter("edge is null")]
+            return done.filter("edge is null")
         halo *= 4
 
 

@@ -2,18 +2,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import HALO_ROWS, ROWS_PER_SHARD, Lockstep, border_rows, lagged, lane_quantile, lower_quantiles, map_series
+from tarnflow.operators.lanes import ROWS_PER_SHARD, Lockstep, border_rows, lagged, lane_quantile, long_series, lower_quantiles, map_lanes, settled
 from tarnflow.session import materialise
 from tarnflow.sources.tables import micros, present
 
 
+#: Rows of each neighbour that a shard of a long series sees at first: 0.95 ** 1024, what is left of a chart's start, is nothing.
+HALO_ROWS = 1024
+
+
 @dataclass(frozen=True)
 class Limits:
     """Physical range of a variable, and whether its scatter is a ratio (charted as logarithm)."""
@@ -176,19 +179,16 @@ def _kernel(limits: dict[str, Limits], chart: Chart, all_rows: bool):
     return run
 
 
-def _scatter(limits: dict[str, Limits], chart: Chart):
-    """The scatter that `judge` finds in a whole series, for series cut into shards."""
-    def found(rows: DataFrame) -> DataFrame:
-        keys = ["wqms_id", "var"]
-        pick = lambda f: F.coalesce(*(F.when(F.col("var") == v, F.lit(f(x))) for v, x in limits.items()))
-        good = rows.filter(F.col("value").between(pick(lambda x: x.low), pick(lambda x: x.high)))
-        y = F.when(pick(lambda x: x.ratio), F.log(F.greatest("value", F.lit(1e-9)))).otherwise(F.col("value"))
-        charted = materialise(good.groupBy(*keys, "t").agg(F.median(y).alias("y")))
-        jumps = lagged(charted, keys, ["t"], "y", "_last").select(*keys, F.abs(F.col("y") - F.col("_last")).alias("jump")).filter("jump is not null")
-        q = lower_quantiles(materialise(jumps), keys, "jump", {"_half": 0.5, "_upper": 0.75})
-        return q.select(*keys, F.greatest(F.col("_half") / 0.954, 0.9 * F.col("_upper") / 1.627).alias("scatter"))
-
-    return found
+def _scatter(limits: dict[str, Limits], rows: DataFrame) -> DataFrame:
+    """The scatter that `judge` finds in a whole series, for series cut into shards: wqms_id, var, scatter."""
+    keys = ["wqms_id", "var"]
+    pick = lambda f: F.coalesce(*(F.when(F.col("var") == v, F.lit(f(x))) for v, x in limits.items()))
+    good = rows.filter(F.col("value").between(pick(lambda x: x.low), pick(lambda x: x.high)))
+    y = F.when(pick(lambda x: x.ratio), F.log(F.greatest("value", F.lit(1e-9)))).otherwise(F.col("value"))
+    charted = materialise(good.groupBy(*keys, "t").agg(F.median(y).alias("y")))
+    jumps = lagged(charted, keys, ["t"], "y", "_last").select(*keys, F.abs(F.col("y") - F.col("_last")).alias("jump")).filter("jump is not null")
+    q = lower_quantiles(materialise(jumps), keys, "jump", {"_half": 0.5, "_upper": 0.75})
+    return q.select(*keys, F.greatest(F.col("_half") / 0.954, 0.9 * F.col("_upper") / 1.627).alias("scatter"))
 
 
 def implausible(obs: DataFrame, limits: dict[str, Limits] = LIMITS, variables: tuple[str, ...] = ("pH", "Fe-Dis"), chart: Chart = Chart(), all_rows: bool = False, rows_per_shard: int = ROWS_PER_SHARD, halo: int = HALO_ROWS) -> DataFrame:
@@ -204,10 +204,15 @@ def implausible(obs: DataFrame, limits: dict[str, Limits] = LIMITS, variables: t
     of a series' first and last sample time. Rows without ts or value (NULL or NaN), of other variables or with
     NULL station are not judged. A row delivered twice appears twice; an empty table gives no rows; further
     columns are ignored. Series over `rows_per_shard` rows are charted in overlapping time shards with the scatter of the
-    whole series (`lanes.map_series`), which gives what one chart over all of it gives.
+    whole series (`lanes.settled`), which gives what one chart over all of it gives.
     """
     rows = obs.filter(F.col("var").isin(*variables) & F.col("ts").isNotNull() & present("value") & F.col("wqms_id").isNotNull())
     rows = rows.select("wqms_id", "var", micros("ts").alias("t"), "obs_id", "value")
     schema = "wqms_id string, var string, obs_id bigint, value double, reason int, distance double, edge int, state array<double>"
-    parts = map_series(rows, ["wqms_id", "var"], "t", ["obs_id", "value"], _kernel(limits, chart, all_rows), schema, _scatter(limits, chart), ["scatter"], rows_per_shard, halo)
-    return reduce(DataFrame.unionByName, parts).select("obs_id", "value", "reason", "distance")
+    keys, kernel = ["wqms_id", "var"], _kernel(limits, chart, all_rows)
+    whole, ranked = long_series(rows, keys, ["t"], True, rows_per_shard)
+    out = map_lanes(whole.withColumn("scatter", F.lit(None).cast("double")), [*keys, "shard"], ["t", "obs_id", "value"], kernel, schema)
+    if ranked is not None:
+        known = materialise(_scatter(limits, ranked))
+        out = out.unionByName(settled(ranked, keys, ["t", "obs_id", "value"], kernel, schema, known, rows_per_shard, halo))
+    return out.select("obs_id", "value", "reason", "distance")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tarnflow.operators.smooth import Trend, smooth, weekly_series
+from tarnflow.operators.smooth import DAY, Trend, clipped, digest, joined, noise_of, smooth, weekly_series
 
 SCHEMA = "obs_id long, wqms_id string, ts timestamp_ntz, var string, value double, missing int"
 
@@ -27,8 +27,7 @@ def rts(t, y, used, trend):
         if used[i]:
             s = p[0, 0] + noise**2
             k = p[:, 0] / s
-            e = np.clip(y[i] - m[0], -trend.clip * math.sqrt(s), trend.clip * math.sqrt(s))
-            m, p = m + k * e, p - np.outer(k, p[0])
+            m, p = m + k * (y[i] - m[0]), p - np.outer(k, p[0])
         ms.append(m), ps.append(p)
     out_m, out_p = [ms[-1]], [ps[-1]]
     for i in range(len(t) - 2, -1, -1):
@@ -46,13 +45,41 @@ def test_lockstep_equals_matrices():
         parts.append((t - t[0], 7 + np.sin(t / 40) + r.normal(0, 0.1, n), r.random(n) > 0.1))
         starts.append(starts[-1] + n)
     t, y, used = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    got = smooth(t, y, used, np.array(starts), Trend())
+    starts = np.array(starts)
+    got = smooth(np.round(t * DAY).astype(np.int64), y, used, starts, Trend(), noise_of(y, used, starts, Trend()))
     for (a, b, c), s, e in zip(parts, starts, starts[1:]):
         m, p = rts(a, b, c, Trend())
         assert np.allclose(got["smoo_m0"][s:e], m[:, 0], atol=1e-6)
         assert np.allclose(got["smoo_p00"][s:e], p[:, 0, 0], atol=1e-6)
 
 
+def test_clipping_by_neighbours():
+    y = np.array([7.0, 7.1, 50.0, 7.2, 7.1, 9.0, 1.0, 1.1, 1.2])
+    used = np.array([True] * 4 + [False] + [True] * 4)
+    got = clipped(y, used, np.array([0, 6, 9]), np.array([0.1, 0.1]), Trend(clip=4.0))
+    # around the third row 7, 7.1, 50, 7.2 are used: their median is 7.15; around the fourth 7.1, 50, 7.2, 9, around the sixth 7.2, 9: 8.1
+    assert np.allclose(got, [7.0, 7.1, 7.55, 7.7, 7.1, 8.5, 1.0, 1.1, 1.2])
+
+
+def test_digests_put_together_equal_one_filter():
+    r = np.random.default_rng(5)
+    n = 400
+    t = np.cumsum(r.exponential(0.7, n))
+    us, y, used = np.round(t * DAY).astype(np.int64), 3 + np.sin(t / 30) + r.normal(0, 0.2, n), r.random(n) > 0.1
+    one = np.array([0, n])
+    noise = noise_of(y, used, one, Trend())
+    whole = smooth(us, y, used, one, Trend(), noise)
+    cuts = [0, 50, 51, 180, n - 1]
+    parts = [digest(us[a : b + 1], y[a : b + 1], used[a : b + 1], np.array([0, b + 1 - a]), noise)[0] for a, b in zip(cuts, cuts[1:])]
+    names = ("m0", "m1", "p00", "p01", "p11")
+    entry, leave = joined(np.array([whole[f"filt_{k}"][0] for k in names]), np.array(parts))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        assert np.allclose(entry[i], [whole[f"filt_{k}"][a] for k in names], rtol=1e-10, atol=1e-14)
+        if i + 1 < len(parts):
+            assert np.allclose(leave[i], [whole[f"smoo_{k}"][b] for k in names], rtol=1e-9, atol=1e-13)
+    assert np.isnan(leave[-1]).all()
+
+
 def rows_of(station, var, readings):
     return [(i, station, ts, var, v, 0) for i, (ts, v) in enumerate(readings)]
 
@@ -84,9 +111,8 @@ def test_long_series_equal_whole_ones(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     key = lambda x: (x["wqms_id"], x["week_end"])
     whole = sorted(weekly_series(df).collect(), key=key)
-    # a narrow halo is widened until the shards agree
-    for size, halo in ((300, 200), (300, 20)):
-        cut = sorted(weekly_series(df, rows_per_shard=size, halo=halo).collect(), key=key)
+    for size in (300, 7):
+        cut = sorted(weekly_series(df, rows_per_shard=size).collect(), key=key)
         assert len(cut) == len(whole)
         for a, b in zip(cut, whole):
             assert (key(a), a["n_readings"], a["missing"]) == (key(b), b["n_readings"], b["missing"])
@@ -98,7 +124,7 @@ def test_week_longer_than_a_shard(spark):
     start = dt.datetime(2024, 1, 1)
     r = random.Random(4)
     df = spark.createDataFrame(rows_of("s", "pH", [(start + dt.timedelta(minutes=10 * i), 7 + r.gauss(0, 0.1)) for i in range(2500)]), SCHEMA)
-    whole, cut = (sorted(x.collect(), key=lambda y: y["week_end"]) for x in (weekly_series(df), weekly_series(df, rows_per_shard=200, halo=50)))
+    whole, cut = (sorted(x.collect(), key=lambda y: y["week_end"]) for x in (weekly_series(df), weekly_series(df, rows_per_shard=200)))
     assert len(cut) == len(whole) == 3
     for a, b in zip(cut, whole):
         assert a["n_readings"] == b["n_readings"] and all(math.isclose(a[c], b[c], rel_tol=1e-9) for c in ("observed", "filled", "low", "high"))

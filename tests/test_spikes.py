@@ -93,7 +93,7 @@ def test_running_sums_in_ranges_whatever_the_times(spark, monkeypatch):
     # one far time must not put all others into one range
     rows = [("a", i // 3, i) for i in range(5000)] + [("a", 10**15, 5000)] + [("b", i, i) for i in range(20)]
     df = spark.createDataFrame(rows, "k string, t long, id long").repartition(6)
-    largest = lanes._binned(df, ["k"], ["t"]).groupBy("_bin").count().agg({"count": "max"}).first()[0]
+    largest = lanes.ranges(df, ["k"], ["t"]).groupBy("_bin").count().agg({"count": "max"}).first()[0]
     assert largest < 1500
     got = {(r["k"], r["id"]): r["rank"] for r in lanes.running(df, ["k"], ["t"], lanes.F.lit(1), "rank").collect()}
     assert got == {("a", i): i // 3 * 3 for i in range(5000)} | {("a", 5000): 5000} | {("b", i): i for i in range(20)}
