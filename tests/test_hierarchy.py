@@ -61,6 +61,32 @@ def test_roots_depths_loops_paths_and_descendants(spark, seed, n):
     assert counts == {x: sum(a == x for _, a, _ in pairs) if x in trees else None for x in parent}
     sums = {r["node"]: r["total"] for r in hierarchy.sum_to_root(links.selectExpr("node", "parent", "node as value")).collect()}
     assert sums == {x: sum(chain(x)) for x in trees}
+    label = {r["node"]: (r["root"], r["first"], r["last"]) for r in hierarchy.intervals(links, res).collect()}
+    assert set(label) == set(trees)
+    up = lambda x, y: label[x][0] == label[y][0] and label[y][1] <= label[x][1] <= label[y][2]
+    assert {(x, y) for x in trees for y in trees if up(x, y) and x != y} == {(x, y) for x, y, _ in pairs}
+    near = hierarchy.ancestors_within(links.selectExpr("node", "parent", "node as value"), links.filter("node % 5 = 0"), 40.0)
+    want_near = set()
+    for x in range(5, n + 1, 5):
+        at, total = x, 0
+        while parent[at] is not None and total + at <= 40:
+            total, at = total + at, parent[at]
+            want_near.add((x, at, total))
+    assert {(r["node"], r["ancestor"], r["total"]) for r in near.collect()} == want_near
+
+
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_blocks_give_what_one_gives(spark, block):
+    parent = forest(3, 150) | {1000: 1001, 1001: 1002, 1002: 1000, 1003: 1001}
+    rows = [("a", i, p) for i, p in parent.items()] + [("b", i, None if p is None else p) for i, p in forest(4, 60).items()] + [("b", 5000, 5000)]
+    links = hierarchy.parent_links(spark.createDataFrame(rows, "net string, id long, up long"), "id", "up", ["net"])
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    res = hierarchy.resolve(links, ["net"])
+    assert key(hierarchy.resolve(links, ["net"], block)) == key(res)
+    value = links.selectExpr("net", "node", "parent", "node * 0.5 as value")
+    tree = res.filter("depth >= 0").select("net", "node")
+    assert key(hierarchy.sum_to_root(value, ["net"], block)) == key(hierarchy.sum_to_root(value, ["net"]))
+    assert key(hierarchy.accumulate(value, tree, ["net"], block)) == key(hierarchy.accumulate(value, tree, ["net"]))
 
 
 def cycle(parent, at):
