@@ -17,23 +17,25 @@ def network_pairs(stations: DataFrame, cells: DataFrame, links: DataFrame, lengt
     it is the sum of the segments' lengths from the first up to the second; where no path leads down, it is the
     straight distance of the snapped points. Segments that run into a loop count by their straight distance.
     """
-    weighted = links.join(length, "node", "left").withColumn("value", F.coalesce("km", F.lit(0.0)))
-    outlet = materialise(hierarchy.sum_to_root(weighted))
-    resolved = materialise(hierarchy.resolve(links))
-    # downstream segments of the segments that hold a station
+    weighted = materialise(links.join(length, "node", "left").withColumn("value", F.coalesce("km", F.lit(0.0))))
+    label = materialise(hierarchy.intervals(links, materialise(hierarchy.resolve(links))))
     held = stations.select(F.col("line").alias("node")).distinct()
-    below = hierarchy.ancestors(links, resolved).join(held, "node", "left_semi")
-    below = below.join(outlet.withColumnRenamed("total", "_a"), "node").join(outlet.select(F.col("node").alias("ancestor"), F.col("total").alias("_b")), "ancestor")
-    below = materialise(below.select(F.col("node").alias("line"), F.col("ancestor").alias("cell_line"), (F.col("_a") - F.col("_b")).alias("km")))
+    tree = label.select("node")
+    below = hierarchy.ancestors_within(weighted.join(tree, "node", "left_semi"), held, max_km)
+    below = materialise(below.select(F.col("node").alias("line"), F.col("ancestor").alias("cell_line"), F.col("total").alias("km")))
     s = stations.select("wqms_id", "line", F.col("along").alias("_sa"))
     c = cells.select("cell_id", F.col("line").alias("cell_line"), F.col("along").alias("_ca"))
     same = s.join(c, F.col("line") == F.col("cell_line")).select("wqms_id", "cell_id", (F.abs(F.col("_sa") - F.col("_ca")) / 1000).alias("km"))
-    down = s.join(below.filter(F.col("km") <= max_km), "line").join(c, "cell_line").select("wqms_id", "cell_id", "km")
+    down = s.join(below, "line").join(c, "cell_line").select("wqms_id", "cell_id", "km")
     point = lambda df, i: df.select(F.col(i).alias("id"), *unit_vector("lat", "lon"))
     numbered = materialise(stations.withColumn("sid", F.monotonically_increasing_id()))
     near = within_distance(point(numbered, "sid"), point(cells, "cell_id"), max_km * 1000, **kd)
     near = near.select(F.col("q_id").alias("sid"), F.col("t_id").alias("cell_id"), (F.col("metres") / 1000).alias("km")).join(numbered.select("sid", "wqms_id", "line"), "sid").join(c, "cell_id")
-    straight = near.filter("line <> cell_line").join(below.select("line", "cell_line"), ["line", "cell_line"], "left_anti").select("wqms_id", "cell_id", "km")
+    # a path leads down if the station's segment lies above the cell's, however far
+    la = label.select(F.col("node").alias("line"), F.col("root").alias("_r"), F.col("first").alias("_f"))
+    lb = label.select(F.col("node").alias("cell_line"), F.col("root").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_b"))
+    leads = F.coalesce((F.col("_r") == F.col("_s")) & F.col("_f").between(F.col("_a"), F.col("_b")), F.lit(False))
+    straight = near.filter("line <> cell_line").join(la, "line", "left").join(lb, "cell_line", "left").filter(~leads).select("wqms_id", "cell_id", "km")
     return same.unionByName(down).unionByName(straight).filter(F.col("km") <= max_km)
 
 

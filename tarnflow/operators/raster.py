@@ -1,7 +1,7 @@
 """Rasters in long form (row, col, value): clipping, merging, resampling, terrain slope, filling along the flow."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.hierarchy import accumulate, resolve
@@ -23,6 +23,13 @@ def drop_empty_lines(grid: DataFrame, value: str) -> DataFrame:
     return grid
 
 
+def between_matches(df: DataFrame, key: str, match: Column) -> DataFrame:
+    """Rows whose `key` lies between those of the first and the last row for which `match` is true, as a range by position takes
+    every row in between; none where nothing matches."""
+    ends = df.filter(match).agg(F.min(key).alias("_a"), F.max(key).alias("_b"))  # one row
+    return df.join(F.broadcast(ends)).filter(F.col(key).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
 def merge(a: DataFrame, b: DataFrame, on: list[str] = ["row", "col"]) -> DataFrame:  # noqa: B006
     """Both rasters on one grid, NULL where one has no cell."""
     return a.join(b, on, "full_outer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnflow.operators import raster
 from tarnflow.sources.tables import micros
 
 DAY_US = 86_400_000_000
@@ -90,6 +91,19 @@ def seasonal_weeks(annual: DataFrame, keys: list[str], lat: str) -> DataFrame:
     return a.select(*keys, "week", F.greatest(q, F.lit(0.0)).alias("q"))
 
 
+def prepare_flow(qav: DataFrame, qmi: DataFrame, qma: DataFrame, box: tuple[float, float, float, float], years: tuple[int, int], calendar: DataFrame) -> DataFrame:
+    """Weekly flow from yearly rasters of mean, least and greatest flow: row, col, week, q.
+
+    Each raster has row, col, lat, lon, year (from 0) and its value; `calendar` tells the calendar year of a row, col and
+    year. In turn: cut to the box and the years, merge the three, leave out grid lines without a value, then the seasonal
+    spline (`seasonal_weeks`) per cell.
+    """
+    on = ["row", "col", "lat", "lon", "year"]
+    kept = calendar.filter(F.col("calendar").between(*years)).select("row", "col", "year").distinct()
+    merged = raster.merge(raster.merge(*(raster.box(x, *box) for x in (qav, qmi)), on), raster.box(qma, *box), on).join(kept, ["row", "col", "year"], "left_semi")
+    return seasonal_weeks(raster.drop_empty_lines(merged, "qav"), ["row", "col"], "lat").select("row", "col", "week", "q")
+
+
 def gap_clusters(df: DataFrame, keys: list[str], ts: str, gap_us: int, tie: str) -> DataFrame:
     """Number each key's rows by clusters parted by more than `gap_us`, and spread them in -0.5..0.5 inside each.
 
