@@ -3,17 +3,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import map_lanes
+from tarnflow.operators.lanes import map_lanes, ranges
 from tarnflow.session import materialise
 
 DAY = 86_400_000_000
 #: Largest error of a predicted position, and points of a segment before it is tried.
 MAX_ERROR, SEGMENT = 16, 1024
-#: Width of a time shard, and left rows of one shard from which it is dealt out over several tasks.
-SHARD_DAYS, ROWS_PER_SHARD = 364, 50_000
+#: Rows (of both sides, about) of a shard.
+ROWS_PER_SHARD = 50_000
 
 
 class LearnedIndex:
@@ -110,10 +110,7 @@ def _kernel(tolerance: int, max_error: int):
     return run
 
 
-def nearest_in_time(
-    left: DataFrame, right: DataFrame, entity: list[str], tolerance_us: int, shard_days: int = SHARD_DAYS,
-    rows_per_shard: int = ROWS_PER_SHARD, max_error: int = MAX_ERROR,
-) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, entity: list[str], tolerance_us: int, rows_per_shard: int = ROWS_PER_SHARD, max_error: int = MAX_ERROR) -> DataFrame:
     """The nearest `right` row in time of each `left` row with the same entity, at most `tolerance_us` away.
 
     Both inputs have the entity columns, `t` BIGINT in microseconds and `id` BIGINT. Result: left_id, right_id,
@@ -121,21 +118,17 @@ def nearest_in_time(
     time appears once however often it is repeated; left rows without a partner have no row. Rows with NULL in
     an entity column, t or id match nothing. Empty inputs give an empty result.
 
-    An entity's time line is cut into shards of `shard_days`; right rows within the tolerance of a shard's edge
-    are copied to both sides. A shard with more than `rows_per_shard` left rows is dealt out by hash over several
-    tasks, each with the shard's right rows; the list of such shards has at most left rows / rows_per_shard rows.
+    Both sides are cut together into ranges of entity and time of about `rows_per_shard` rows, so neither a hot entity nor
+    a dense time makes a large task. Shards overlap by the right rows next to their edges: a shard also gets the last
+    right row before it and the first one after it, which may lie several shards away.
     """
-    width = max(shard_days * DAY, tolerance_us)
-    known = lambda df: df.select(*entity, "t", "id").dropna()
-    block = lambda c: F.floor(c / F.lit(float(width)))
-    left = known(left).withColumn("block", block(F.col("t")))
-    right = known(right).groupBy(*entity, "t").agg(F.min("id").alias("id"))
-    right = right.withColumn("block", F.explode(F.sequence(block(F.col("t") - tolerance_us), block(F.col("t") + tolerance_us))))
-    keys = [*entity, "block"]
-    hot = materialise(left.groupBy(*keys).count().filter(F.col("count") > rows_per_shard).select(*keys, F.ceil(F.col("count") / rows_per_shard).cast("int").alias("deals")))
-    deals = F.coalesce("deals", F.lit(1))
-    left = left.join(hot, keys, "left").withColumn("deal", F.pmod(F.xxhash64("id"), deals).cast("int"))
-    right = right.join(hot, keys, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
-    cols = [*keys, "deal", "side", "t", "id"]
-    both = right.withColumn("side", F.lit(0)).select(*cols).unionByName(left.withColumn("side", F.lit(1)).select(*cols))
-    return map_lanes(both, [*keys, "deal"], ["side", "t", "id"], _kernel(tolerance_us, max_error), "left_id bigint, right_id bigint, dt_us bigint")
+    known = lambda df, side: df.select(*entity, F.lit(side).alias("side"), "t", "id").dropna()
+    both = ranges(materialise(known(right, 0).unionByName(known(left, 1))), entity, ["t"], rows_per_shard)
+    is_right = F.col("side") == 0
+    ends = both.groupBy(*entity, "_bin").agg(F.min(F.when(is_right, F.struct("t", "id"))).alias("_first"), F.max(F.when(is_right, F.struct(F.col("t"), (-F.col("id")).alias("less")))).alias("_last"))
+    along = Window.partitionBy(*entity).orderBy("_bin")  # a row per shard
+    before = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    edges = ends.select(*entity, "_bin", F.struct(before["t"], (-before["less"]).alias("id")).alias("_a"), F.struct(after["t"], after["id"]).alias("_b"))
+    edges = edges.select(*entity, "_bin", F.lit(0).alias("side"), F.explode(F.array("_a", "_b")).alias("_e")).filter("_e.t is not null").select(*entity, "_bin", "side", "_e.t", "_e.id")
+    return map_lanes(both.unionByName(edges), [*entity, "_bin"], ["side", "t", "id"], _kernel(tolerance_us, max_error), "left_id bigint, right_id bigint, dt_us bigint")

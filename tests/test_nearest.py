@@ -48,7 +48,7 @@ def test_against_brute_force_with_ties_skew_and_nulls(spark):
     right = [(r.choice(ents), r.randrange(0, 900) * DAY // 2, 10_000 + i) for i in range(400)] + [("a", 7, None)]
     right += right[:30]
     a, b = (spark.createDataFrame(x, "e string, t long, id long") for x in (left, right))
-    for k in ({}, {"shard_days": 30, "rows_per_shard": 20, "max_error": 2}):
+    for k in ({}, {"rows_per_shard": 20, "max_error": 2}):
         rows = [tuple(x) for x in nearest_in_time(a, b, ["e"], 14 * DAY, **k).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == brute(left, right, 14 * DAY)
 
@@ -60,3 +60,23 @@ def test_tolerance_is_inclusive_and_empty_sides(spark):
     assert [tuple(x) for x in nearest_in_time(a, b, ["e"], 14 * DAY).collect()] == [(1, 5, 14 * DAY)]
     assert nearest_in_time(a, b.limit(0), ["e"], 14 * DAY).collect() == []
     assert nearest_in_time(a.limit(0), b, ["e"], 14 * DAY).collect() == []
+
+
+def test_hot_entity_is_cut_on_both_sides(spark):
+    from tarnflow.operators import lanes
+
+    right = spark.range(60_000).selectExpr("'hot' as e", "id * 3600000000 + pmod(xxhash64(id), 1000) as t", "id")
+    left = spark.range(3_000).selectExpr("'hot' as e", "pmod(xxhash64(id, 7), 90000) * 3600000000 as t", "id")
+    # a long stretch without right rows, and shards of left rows only
+    left = left.unionByName(spark.range(4_000).selectExpr("'hot' as e", "70000 * 3600000000 + id as t", "10000 + id as id"))
+    u = np.array(sorted(x["t"] for x in right.collect()))
+    want = {}
+    for x in left.collect():
+        k = np.searchsorted(u, x["t"])
+        gap = min(abs(int(u[j]) - x["t"]) for j in (k - 1, k) if 0 <= j < len(u))
+        if gap <= 10**6 * DAY:
+            want[x["id"]] = gap
+    got = {x["left_id"]: abs(x["dt_us"]) for x in nearest_in_time(left, right, ["e"], 10**6 * DAY, rows_per_shard=2000).collect()}
+    assert got == want and len(want) == 7000
+    both = left.unionByName(right)
+    assert lanes.ranges(both, ["e"], ["t"], 2000).groupBy("_bin").count().agg({"count": "max"}).first()[0] < 6000
