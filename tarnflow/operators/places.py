@@ -14,8 +14,8 @@ from tarnflow.session import materialise
 
 # fixed value of the data description: mean radius of the earth in metres
 EARTH_M = 6_371_008.8
-#: Rows of a k-d leaf, and the most rows from which the splits are fitted.
-LEAF_ROWS, SPLIT_SAMPLE = 20_000, 200_000
+#: Rows of a k-d leaf, rows (about) from which the splits are fitted, and those for each leaf where the leaves are many.
+LEAF_ROWS, SPLIT_SAMPLE, LEAF_SAMPLE = 20_000, 200_000, 16
 #: Points at the bottom of a local k-d tree.
 BUCKET = 16
 
@@ -58,12 +58,14 @@ class Splits:
 
 
 def fit_splits(points: DataFrame, axes: list[str], leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> Splits:
-    """Splits that give leaves of about `leaf_rows` of `points`, fitted on at most about `sample_rows` of them.
+    """Splits that give leaves of about `leaf_rows` of `points`, fitted on about `sample_rows` of them.
 
-    Only the splits come from the sample; every row is placed by them. The sample is picked by hash of the position.
+    With more than sample_rows / LEAF_SAMPLE leaves the sample grows to LEAF_SAMPLE positions a leaf: 8 million, or 0.2 GB,
+    for ten billion points. Only the splits come from the sample; every row is placed by them. The sample is picked by
+    hash of the position.
     """
     n = points.count()
-    part = max(1, math.ceil(n / sample_rows))
+    part = max(1, math.ceil(n / max(sample_rows, LEAF_SAMPLE * n / leaf_rows)))
     picked = points.filter(F.pmod(F.xxhash64(*axes), F.lit(part)) == 0).select(*axes).toPandas().to_numpy(float)
     return Splits(picked.reshape(-1, len(axes)), math.ceil(n / leaf_rows))
 

@@ -91,7 +91,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Stations within 500 m of each other, within 1 km of a river line, and inside a basin."""
     at = materialise(places.positions(read_table(spark, d, "stations"), "wqms_id", "lat", "lon"))
     pairs = places.neighbours(at, "wqms_id", 500.0).select(F.lit("station").alias("rel"), "id_a", "id_b")
-    rivers = places.near_lines(at, "wqms_id", edge_rows(read_table(spark, d, "rivers"), "hyriv_id"), 1000.0).select("who", F.lit("river").alias("rel"), F.col("line").alias("other"))
+    rivers = places.near_lines(at, "wqms_id", materialise(edge_rows(read_table(spark, d, "rivers"), "hyriv_id")), 1000.0).select("who", F.lit("river").alias("rel"), F.col("line").alias("other"))
     basins = places.inside_regions(at, "wqms_id", edge_rows(read_table(spark, d, "basins"), "hybas_id")).select("who", F.lit("basin").alias("rel"), F.col("region").alias("other"))
     other = F.col("other").cast("string")
     mixed = rivers.unionByName(basins).select("rel", F.least("who", other).alias("id_a"), F.greatest("who", other).alias("id_b"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
 # fixed values of the WKB format: geometry types
@@ -53,33 +54,56 @@ def rings(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _plain_lines(geom: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are little-endian LineStrings of two coordinates, and all their vertices: rows, owner (row) and xy per vertex."""
+    offset = np.frombuffer(geom.buffers()[1], np.int64 if pa.types.is_large_binary(geom.type) else np.int32)[geom.offset : geom.offset + len(geom) + 1].astype(np.int64)
+    data = np.frombuffer(geom.buffers()[2] or b"", np.uint8)
+    size = np.diff(offset)
+    rows = np.flatnonzero((size >= 9) & geom.is_valid().to_numpy(zero_copy_only=False))
+    head = data[offset[rows][:, None] + np.arange(9)]
+    code, count = head[:, 1:5].copy().view("<u4").ravel(), head[:, 5:9].copy().view("<u4").ravel().astype(np.int64)
+    good = (head[:, 0] == 1) & (code == LINE) & (size[rows] >= 9 + 16 * count)
+    rows, count = rows[good], count[good]
+    owner = np.repeat(rows, count)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = offset[owner] + 9 + 16 * within
+    return rows, owner, data[at[:, None] + np.arange(16)].view("<f8").reshape(-1, 2)
+
+
 def _edges(ident: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, geoms = b.column(ident).to_pylist(), b.column("geom").to_pylist()
-            owner, ends, boxes, runs = [], [], [], []
-            for i, g in zip(ids, geoms):
-                if g is None or i is None:
-                    continue
-                own = []
-                for ring in rings(g):
-                    ring = ring[np.isfinite(ring).all(axis=1)]
-                    if len(ring) > 1:
-                        x = ring[:, 0]
-                        jump = np.diff(x)
-                        x = x + 360 * np.append(0, np.cumsum((jump < -180).astype(int) - (jump > 180).astype(int)))
-                        y = ring[:, 1]
-                        step = METRES * np.hypot(np.diff(x) * np.cos(np.radians((y[1:] + y[:-1]) / 2)), np.diff(y))
-                        own.append(np.column_stack([x[:-1], y[:-1], x[1:], y[1:], np.cumsum(step) - step]))
-                if own:
-                    e = np.concatenate(own)
-                    owner.append(np.full(len(e), i, np.int64))
-                    ends.append(e)
-                    runs.append(e[:, 4])
-                    boxes.append(np.full(len(e), min(e[:, 0].min(), e[:, 2].min())))
-            if owner:
-                e = np.concatenate(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), *(pa.array(np.ascontiguousarray(e[:, k])) for k in range(4)), pa.array(np.concatenate(boxes)), pa.array(np.concatenate(runs))], ["id", "x0", "y0", "x1", "y1", "west", "run"])
+            keep = pa.compute.is_valid(b.column(ident))
+            b = b.filter(keep)
+            geom = b.column("geom")
+            if not len(b):
+                continue
+            rows, owner, xy = _plain_lines(geom)
+            parts = [(owner, owner * 0, xy)]
+            plain = np.zeros(len(b), bool)
+            plain[rows] = True
+            for i in np.flatnonzero(~plain & geom.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                for k, ring in enumerate(rings(geom[i].as_py())):
+                    parts.append((np.full(len(ring), i), np.full(len(ring), k), ring))
+            owner, ring, xy = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            order = np.argsort(owner, kind="stable")
+            order = order[np.isfinite(xy[order]).all(axis=1)]
+            owner, ring, x, y = owner[order], ring[order], xy[order, 0], xy[order, 1]
+            joint = (owner[1:] == owner[:-1]) & (ring[1:] == ring[:-1])
+            jump = np.where(joint, np.diff(x), 0.0)
+            turn = np.append(0, np.cumsum((jump < -180).astype(int) - (jump > 180).astype(int)))
+            first = np.append(True, ~joint)[: len(x)]
+            x = x + 360 * (turn[: len(x)] - turn[: len(x)][np.flatnonzero(first)][np.cumsum(first) - 1]) if len(x) else x
+            step = np.where(joint, METRES * np.hypot(np.diff(x) * np.cos(np.radians((y[1:] + y[:-1]) / 2)), np.diff(y)), 0.0)
+            length = np.append(0.0, np.cumsum(step))[: len(x)]
+            e = np.flatnonzero(joint)
+            if not len(e):
+                continue
+            start = np.flatnonzero(first)[(np.cumsum(first) - 1)[e]]
+            lowest = np.minimum(x[e], x[e + 1])
+            of, at = np.unique(owner[e], return_index=True)
+            west = np.minimum.reduceat(lowest, at)[np.searchsorted(of, owner[e])]
+            yield pa.RecordBatch.from_arrays([b.column(ident).cast(pa.int64()).take(pa.array(owner[e])), *map(pa.array, (x[e], y[e], x[e + 1], y[e + 1], west, length[e] - length[start]))], ["id", "x0", "y0", "x1", "y1", "west", "run"])
 
     return run
 
