@@ -121,6 +121,20 @@ def lower_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_rank") <= F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(c) for c, q in wanted.items()))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Per key the quantiles of `value` (no NULL or NaN) by linear interpolation between ranks, exact for groups of any size.
+
+    Ranks are taken over ranges of rows, so no group is sorted, or held, in one task.
+    """
+    rows = df.select(*keys, value)
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(rows, keys, [value], F.lit(1), "_rank").join(n, keys)
+    at = {c: F.lit(q) * (F.col("_n") - 1) for c, q in wanted.items()}
+    upto = lambda p: F.max(F.when(F.col("_rank") <= p, F.col(value)))
+    ends = ranked.groupBy(*keys, "_n").agg(*(upto(f(p)).alias(f"_{s}{c}") for c, p in at.items() for s, f in (("a", F.floor), ("b", F.ceil))))
+    return ends.select(*keys, *((F.col(f"_a{c}") + (p - F.floor(p)) * (F.col(f"_b{c}") - F.col(f"_a{c}"))).alias(c) for c, p in at.items()))
+
+
 def long_series(df: DataFrame, keys: list[str], order: list[str], ties: bool, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[DataFrame, DataFrame | None]:
     """Rows of series of at most `rows_per_shard` rows, as one shard each; and those of longer ones with their rank in `order`.
 

@@ -6,24 +6,31 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import running
+from tarnflow.operators.lanes import quantiles, running
+from tarnflow.session import materialise
 
 
-def fit_metrics(pairs: DataFrame, keys: list[str], observed: str = "observed", modelled: str = "modelled", min_n: int = 3) -> DataFrame:
+def fit_metrics(pairs: DataFrame, keys: list[str], observed: str = "observed", modelled: str = "modelled", min_n: int = 3, large: bool = False) -> DataFrame:
     """Per key: n, bias, rmse, r2, nse, nse_standard, kge, kge_standard, fze.
 
     nse and kge take the modelled series as reference, as this model's evaluation always did; the _standard ones take
     the observed. All but n and bias are NULL for fewer than `min_n` pairs or where either series is constant; a
-    ratio with denominator 0 is NULL. Pairs with a NULL or NaN do not count.
+    ratio with denominator 0 is NULL. Pairs with a NULL or NaN do not count. With `large` groups the quartiles come from ranks
+    over ranges of rows (`lanes.quantiles`) and not from one buffer a group; the result is the same.
     """
     o, m = F.col(observed), F.col(modelled)
     good = pairs.filter(o.isNotNull() & m.isNotNull() & ~F.isnan(o) & ~F.isnan(m))
     zero = F.lit(0.0)
+    if large:
+        good = materialise(good)
+    quartiles = [] if large else [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(n) for c, n in ((o, "_qo"), (m, "_qm"))]
     a = good.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(m - o).alias("bias"), F.sqrt(F.avg((m - o) * (m - o))).alias("_rmse"), F.sum((m - o) * (m - o)).alias("_ss"),
-        F.var_pop(o).alias("_vo"), F.var_pop(m).alias("_vm"), F.avg(o).alias("_mo"), F.avg(m).alias("_mm"), ((F.min(o) < F.max(o)) & (F.min(m) < F.max(m))).alias("_scatter"), F.covar_pop(o, m).alias("_c"),
-        F.percentile(o, F.array(F.lit(0.25), F.lit(0.75))).alias("_qo"), F.percentile(m, F.array(F.lit(0.25), F.lit(0.75))).alias("_qm"),
+        F.var_pop(o).alias("_vo"), F.var_pop(m).alias("_vm"), F.avg(o).alias("_mo"), F.avg(m).alias("_mm"), ((F.min(o) < F.max(o)) & (F.min(m) < F.max(m))).alias("_scatter"), F.covar_pop(o, m).alias("_c"), *quartiles,
     )
+    if large:
+        for c, n in ((observed, "_qo"), (modelled, "_qm")):
+            a = a.join(quantiles(good, keys, c, {"_q1": 0.25, "_q3": 0.75}).select(*keys, F.array("_q1", "_q3").alias(n)), keys)
     r = F.col("_c") / F.nullif(F.sqrt(F.col("_vo") * F.col("_vm")), zero)
     iqr = lambda c: F.col(c)[1] - F.col(c)[0]
     root = lambda x, y, z: 1 - F.sqrt((x - 1) * (x - 1) + (y - 1) * (y - 1) + (z - 1) * (z - 1))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators import raster
+from tarnflow.operators.lanes import lagged, running
 from tarnflow.sources.tables import micros
 
 DAY_US = 86_400_000_000
@@ -107,12 +108,16 @@ def prepare_flow(qav: DataFrame, qmi: DataFrame, qma: DataFrame, box: tuple[floa
 def gap_clusters(df: DataFrame, keys: list[str], ts: str, gap_us: int, tie: str) -> DataFrame:
     """Number each key's rows by clusters parted by more than `gap_us`, and spread them in -0.5..0.5 inside each.
 
-    Adds cluster (1, 2, ...), in_cluster (1, 2, ...), offset (0 alone in its cluster). Ties in time follow `tie`.
+    Adds cluster (1, 2, ...), in_cluster (1, 2, ...), offset (0 alone in its cluster). Ties in time follow `tie`, which
+    should differ between rows of one time. Clusters are counted over ranges of rows (`lanes.running`): no key is sorted
+    in one task.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    t = micros(ts)
-    new = F.when(t - F.lag(t).over(order) > gap_us, 1).otherwise(0)
-    out = df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order) + 1).drop("_new")
-    inside = Window.partitionBy(*keys, "cluster")
-    n, k = F.count(F.lit(1)).over(inside), F.row_number().over(inside.orderBy(ts, tie))
-    return out.withColumns({"in_cluster": k, "offset": F.when(n > 1, (k - 1) / (n - 1) - 0.5).otherwise(0.0)})
+    order = ["_us", tie]
+    rows = lagged(df.withColumn("_us", micros(ts)), keys, order, "_us", "_last")
+    new = F.coalesce((F.col("_us") - F.col("_last") > gap_us).cast("int"), F.lit(0))
+    rows = running(rows.withColumn("_new", new).drop("_last"), keys, order, "_new", "_before")
+    rows = running(rows.withColumn("cluster", F.col("_before") + F.col("_new") + 1).drop("_before", "_new"), keys, order, F.lit(1), "_rank")
+    sizes = rows.groupBy(*keys, "cluster").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    k, n = F.col("_rank") - F.col("_first") + 1, F.col("_n")
+    out = rows.join(sizes, [*keys, "cluster"]).withColumns({"in_cluster": k, "offset": F.when(n > 1, (k - 1) / (n - 1) - 0.5).otherwise(0.0)})
+    return out.select(*df.columns, "cluster", "in_cluster", "offset")

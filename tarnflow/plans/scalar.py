@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions import chemistry, grids, hydraulics
+from tarnflow.operators.lanes import quantiles
+from tarnflow.session import materialise
 from tarnflow.sources.tables import read_table
 
 #: Specific runoff that gives a discharge from an upstream area, m3/s per km2.
@@ -223,8 +225,10 @@ def date_parts(spark: SparkSession, d: str) -> DataFrame:
 def slope_quartiles(spark: SparkSession, d: str) -> DataFrame:
     """Box-plot numbers of the cells' slope by whether they are a source."""
     c = read_table(spark, d, "cells").distinct().select("source", _f("slope").alias("s")).filter("s > 0 and source is not null")
-    q = F.percentile("s", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return c.groupBy("source").agg(F.min("s").alias("low"), q.alias("q"), F.max("s").alias("high")).select("source", *(F.round(x, 8).alias(n) for n, x in (("low", F.col("low")), ("q1", F.col("q")[0]), ("q2", F.col("q")[1]), ("q3", F.col("q")[2]), ("high", F.col("high")))))
+    c = materialise(c)
+    ends = c.groupBy("source").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    q = quantiles(c, ["source"], "s", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return _r(ends.join(q, "source").select("source", "low", "q1", "q2", "q3", "high"), 8)
 
 
 def extent_quadrants(spark: SparkSession, d: str) -> DataFrame:

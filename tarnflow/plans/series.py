@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import chemistry
 from tarnflow.operators import metrics, series
+from tarnflow.operators.lanes import running
 from tarnflow.plans.problems import station_cells
 from tarnflow.session import materialise
 from tarnflow.sources.tables import micros, read_table
@@ -149,7 +150,7 @@ def station_metrics(spark: SparkSession, d: str) -> DataFrame:
 def case_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Fit over all stations of a network (the first part of their ids)."""
     w = weekly_pairs(spark, d).withColumn("network", F.split("wqms_id", "-")[0])
-    return _rounded(metrics.fit_metrics(w, ["network", "var"], min_n=MIN_PAIRS))
+    return _rounded(metrics.fit_metrics(w, ["network", "var"], min_n=MIN_PAIRS, large=True))
 
 
 def min_paired(spark: SparkSession, d: str) -> DataFrame:
@@ -261,11 +262,9 @@ def next_time(spark: SparkSession, d: str) -> DataFrame:
 def sampled_any(spark: SparkSession, d: str) -> DataFrame:
     """Cells with pH, and with iron above 0, at any of ten steps spread evenly over the model's time axis."""
     r = read_table(spark, d, "results").filter("ts is not null")
-    times = r.select("ts").distinct()
+    times = materialise(r.select(F.lit(0).alias("axis"), "ts").distinct())
     n = times.count()
-    # the time axis is one short column: steps of the model, not rows of the data
-    k = F.row_number().over(Window.orderBy("ts")) - 1
-    picked = times.select("ts", k.alias("k")).filter(F.col("k").isin(sorted({int(i * (n - 1) / 9) for i in range(10)})))
+    picked = running(times, ["axis"], ["ts"], F.lit(1), "k").filter(F.col("k").isin(sorted({int(i * (n - 1) / 9) for i in range(10)})))
     iron = F.coalesce(F.nanvl(F.col("ferrous_iron").cast("double"), F.lit(None)), F.lit(0.0)) + F.coalesce(F.nanvl(F.col("ferric_iron").cast("double"), F.lit(None)), F.lit(0.0))
     return r.join(picked.select("ts"), "ts", "left_semi").groupBy("cell_id").agg(F.bool_or(F.col("ph").isNotNull() & ~F.isnan("ph")).alias("has_ph"), F.bool_or(iron > 0).alias("has_iron"))
 

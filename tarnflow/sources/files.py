@@ -29,9 +29,11 @@ def localities(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("results").alias("r")).select("r.*")
 
 
-def write_by_year(df: DataFrame, ts: str, path: str) -> None:
-    """Parquet with one folder a year, so that a time slice reads only its years."""
-    df.withColumn("year", F.year(ts)).repartition("year").sortWithinPartitions(ts).write.mode("overwrite").partitionBy("year").parquet(path)
+def write_by_year(df: DataFrame, ts: str, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Parquet with one folder a year, so that a time slice reads only its years; a year of more rows has more files, by hash."""
+    files = max(1, -(-df.count() // rows_per_file))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.withColumn("year", F.year(ts)).repartition("year", part).sortWithinPartitions(ts).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def resume(work: DataFrame, collect: Callable[[DataFrame], DataFrame], log: str, key: str) -> DataFrame:

@@ -62,3 +62,17 @@ def test_stream_of_files_closes_weeks_and_drops_the_late(spark, tmp_path):
     weeks = {(r["var"], r["week_end"]): (r["value"], r["n"]) for r in spark.read.parquet(str(tmp_path / "weeks")).collect()}
     assert weeks[("pH", "2024-01-07")] == (7.5, 2) and weeks[("pH", "2024-01-14")] == (15.0, 1) and weeks[("Fe-Dis", "2024-06-02")] == (-5.0, 1)
     assert {r["obs_id"] for r in spark.read.parquet(str(tmp_path / "faults")).collect()} == {3, 8}
+
+
+def test_microseconds_of_the_wall_clock_in_any_zone(spark):
+    from tarnflow.sources.tables import micros
+
+    ts = [dt.datetime(2024, 3, 31, 2, 30, 1, 5), dt.datetime(2024, 10, 27, 2, 30), dt.datetime(1950, 1, 1, 23, 59, 59, 999999), None]
+    want = [None if t is None else (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for t in ts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "i int, ts timestamp_ntz")
+    try:
+        for zone in ("UTC", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.orderBy("i").select(micros("ts")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
