@@ -169,10 +169,12 @@ def resolve(links: DataFrame, keys: list[str] = [], block_nodes: int = BLOCK_NOD
     out = found.select(*keys, "node", "root", F.coalesce((F.col("total") - 1).cast("int"), F.lit(-1)).alias("depth"), "on_loop")
     if lost is None:
         return out
-    # loops across blocks: after as many links as there are such nodes `up` is on a loop, and every loop node is the `up`
-    # of one of its own loop
     left = materialise(links.join(lost, [*keys, "node"], "left_semi").select(*keys, "node", "parent", F.col("parent").alias("up")))
     own, step, most = left.select(*keys, "node", "parent"), 1, left.count()
+    if most <= block_nodes:  # all of them fit in one block, and so does every link of theirs
+        return out.unionByName(resolve(own, keys, block_nodes))
+    # loops across blocks: after as many links as there are such nodes `up` is on a loop, and every loop node is the `up`
+    # of one of its own loop
     while step < most:
         far = left.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
         left = materialise(left.join(far, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up")))
