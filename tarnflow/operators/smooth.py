@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.operators.lanes import ROWS_PER_SHARD, Lockstep, lagged, lane_quantile, long_series, lower_quantiles, map_lanes, time_shards
+from tarnflow.operators.lanes import ROWS_PER_SHARD, Kernel, Lockstep, lagged, lane_quantile, long_series, lower_quantiles, map_lanes, time_shards
 from tarnflow.operators.spikes import LIMITS, Limits
 from tarnflow.session import materialise
 from tarnflow.sources.tables import micros, present
@@ -263,15 +264,22 @@ class _Rows:
         ratio = per_row(lambda x: x.ratio)
         used = (value >= per_row(lambda x: x.low)) & (value <= per_row(lambda x: x.high)) & ~(ratio & (value <= 0))
         y = np.where(ratio, np.log(np.where(used & ratio, value, 1.0)), np.where(used, value, 0.0))
+        self.held = np.zeros(len(t), bool)
+        if "held" in table.column_names:  # readings that the smoother must not see
+            self.held = table.column("held").to_numpy(zero_copy_only=False) & used
+            used = used & ~self.held
         known = np.array([lane_of(c).astype(float) for c in STATISTICS]) if STATISTICS[0] in table.column_names else None
         self.noise = noise_of(y, used, starts, trend, known)
+        self.ends = [None, None]
+        if ENTRY[0] in table.column_names:  # shards of long series
+            self.ends = [np.column_stack([lane_of(c) for c in names]) for names in (ENTRY, LEAVE)]
         y = clipped(y, used, starts, self.noise.noise, trend)
         core = table.column("core").to_numpy(zero_copy_only=False)
         keep = core.copy()
         lane = np.repeat(np.arange(len(size)), size)
         keep[1:] |= core[:-1] & (lane[1:] == lane[:-1])
         self.rows = np.flatnonzero(keep)  # in the table
-        self.t, self.value, self.y, self.used, self.core, self.ratio = (x[keep] for x in (t, value, y, used, core, ratio))
+        self.t, self.value, self.y, self.used, self.held, self.core, self.ratio = (x[keep] for x in (t, value, y, used, self.held, core, ratio))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(lane[keep], minlength=len(size)))])
         self.shard, self.shards = lane_of("shard"), lane_of("shards")
 
@@ -303,14 +311,11 @@ def _join_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
 def _kernel(limits: dict[str, Limits], trend: Trend):
     def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
         r = _Rows(table, starts, limits, trend)
-        ends = [None, None]
-        if ENTRY[0] in table.column_names:  # shards of long series
-            ends = [np.column_stack([table.column(c).take(pa.array(starts[:-1])).to_numpy() for c in names]) for names in (ENTRY, LEAVE)]
         table = table.take(pa.array(r.rows))
         t, value, used, core, ratio, starts, shard, shards = r.t, r.value, r.used, r.core, r.ratio, r.starts, r.shard, r.shards
         n, size = len(t), np.diff(starts)
         lane = np.repeat(np.arange(len(size)), size)
-        x = smooth(t, r.y, used, starts, trend, r.noise, *ends)
+        x = smooth(t, r.y, used, starts, trend, r.noise, *r.ends)
         week = (t - MONDAY) // WEEK
         fresh = np.ones(n, bool)
         fresh[1:] = lane[1:] != lane[:-1]
@@ -381,6 +386,53 @@ def _statistics(limits: dict[str, Limits], rows: DataFrame) -> DataFrame:
     return level.join(step, keys, "left").select(*keys, "middle", ((F.col("_b") - F.col("_a")) / 2).alias("half"), "steps")
 
 
+def _readings(obs: DataFrame, limits: dict[str, Limits]) -> DataFrame:
+    rows = obs.filter(F.col("var").isin(*limits) & F.col("ts").isNotNull() & present("value") & F.col("wqms_id").isNotNull())
+    return rows.select("wqms_id", "var", micros("ts").alias("t"), "value")
+
+
+def _mapped(rows: DataFrame, limits: dict[str, Limits], trend: Trend, kernel: Kernel, schema: str, rows_per_shard: int) -> list[DataFrame]:
+    """`kernel` over whole series and, if there are any, over the shards of long ones between the true states at their ends."""
+    keys, order = ["wqms_id", "var"], ["t", "value"]
+    lanes = [*keys, "shard"]
+    whole, ranked = long_series(rows, keys, order, False, rows_per_shard)
+    out = [map_lanes(whole, lanes, order, kernel, schema)]
+    if ranked is not None:
+        seen = ranked.filter("not held") if "held" in ranked.columns else ranked
+        # two rows of each neighbour: the medians of `clipped` reach as far
+        cut = time_shards(ranked, rows_per_shard, 2).join(materialise(_statistics(limits, seen)), keys, "left")
+        parts = map_lanes(cut, lanes, order, _digest_kernel(limits, trend), "wqms_id string, var string, shard int, first array<double>, part array<double>")
+        # one row per shard: a series of a billion rows has some hundred thousand
+        ends = materialise(map_lanes(parts, keys, ["shard"], _join_kernel, ", ".join(["wqms_id string, var string, shard int", *(f"{c} double" for c in (*ENTRY, *LEAVE))])))
+        out.append(map_lanes(cut.join(ends, lanes), lanes, order, kernel, schema))
+    return out
+
+
+def _held_kernel(limits: dict[str, Limits], trend: Trend):
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        r = _Rows(table, starts, limits, trend)
+        x = smooth(r.t, r.y, r.used, r.starts, trend, r.noise, *r.ends)
+        at = np.flatnonzero(r.held & r.core)
+        level, wide = x["smoo_m0"][at], 1.96 * np.sqrt(x["smoo_p00"][at] + x["noise"][at] ** 2)
+        truth = np.where(r.ratio[at], np.log(np.maximum(r.value[at], 1e-300)), r.value[at])
+        rows = pa.array(r.rows[at])
+        return pa.table([*(table.column(c).take(rows) for c in ("wqms_id", "var", "t", "value")), pa.array(np.abs(truth - level)), pa.array(np.abs(truth - level) <= wide)], names=["wqms_id", "var", "t", "value", "error", "inside"])
+
+    return run
+
+
+def held_out(obs: DataFrame, part: int = 10, limits: dict[str, Limits] = LIMITS, trend: Trend = Trend(), rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    """How well the smoother tells readings that it has not seen: wqms_id, var, t, value, error, inside.
+
+    One in `part` sample times of every station and variable, by hash, is kept from the smoother; error is the distance of
+    its smoothed level from the reading (iron: of the logarithms), inside whether the reading lies in its 95 % band, which
+    is that of the level and a reading's noise. Impossible readings are not asked for. An empty table gives no rows.
+    """
+    rows = _readings(obs, limits).withColumn("held", F.pmod(F.xxhash64("wqms_id", "var", "t"), F.lit(part)) == 0)
+    schema = "wqms_id string, var string, t bigint, value double, error double, inside boolean"
+    return reduce(DataFrame.unionByName, _mapped(rows, limits, trend, _held_kernel(limits, trend), schema, rows_per_shard))
+
+
 def weekly_series(obs: DataFrame, limits: dict[str, Limits] = LIMITS, trend: Trend = Trend(), rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """One weekly row per station and variable from its first to its last week with a reading.
 
@@ -394,20 +446,11 @@ def weekly_series(obs: DataFrame, limits: dict[str, Limits] = LIMITS, trend: Tre
     to what it does to a state that enters it (`digest`), the digests of a series are put together (`joined`), and then each
     shard is smoothed between the true states at its ends: exactly what one smoother over all of it gives, to rounding.
     """
-    rows = obs.filter(F.col("var").isin(*limits) & F.col("ts").isNotNull() & present("value") & F.col("wqms_id").isNotNull())
-    rows = rows.select("wqms_id", "var", micros("ts").alias("t"), "value")
     keys = ["wqms_id", "var"]
     schema = "wqms_id string, var string, turn int, week_end date, filled double, low double, high double, n_readings bigint, total double, n_used bigint"
-    lanes, order = [*keys, "shard"], ["t", "value"]
-    whole, ranked = long_series(rows, keys, order, False, rows_per_shard)
-    both = map_lanes(whole, lanes, order, _kernel(limits, trend), schema).drop("turn")
-    if ranked is not None:
-        # two rows of each neighbour: the medians of `clipped` reach as far
-        cut = time_shards(ranked, rows_per_shard, 2).join(materialise(_statistics(limits, ranked)), keys, "left")
-        parts = map_lanes(cut, lanes, order, _digest_kernel(limits, trend), "wqms_id string, var string, shard int, first array<double>, part array<double>")
-        # one row per shard: a series of a billion rows has some hundred thousand
-        ends = materialise(map_lanes(parts, keys, ["shard"], _join_kernel, ", ".join(["wqms_id string, var string, shard int", *(f"{c} double" for c in (*ENTRY, *LEAVE))])))
-        weeks = map_lanes(cut.join(ends, lanes), lanes, order, _kernel(limits, trend), schema)
+    both, *cut = _mapped(_readings(obs, limits), limits, trend, _kernel(limits, trend), schema, rows_per_shard)
+    both = both.drop("turn")
+    for weeks in cut:
         one = {c: F.min_by(c, "turn").alias(c) for c in ("filled", "low", "high")}
         both = both.unionByName(weeks.groupBy(*keys, "week_end").agg(*one.values(), *(F.sum(c).alias(c) for c in ("n_readings", "total", "n_used"))))
     mean = F.when(F.col("n_used") > 0, F.col("total") / F.col("n_used"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import hierarchy, places
 from tarnflow.operators.nearest import DAY, nearest_in_time
-from tarnflow.operators.smooth import weekly_series
+from tarnflow.operators.smooth import held_out, weekly_series
 from tarnflow.operators.spikes import implausible
 from tarnflow.session import materialise, small_side
 from tarnflow.sources.tables import micros, present, read_table
@@ -87,6 +87,12 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return weekly_series(read_table(spark, d, "obs"))
 
 
+def p4_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Per variable: readings kept from the smoother, its mean error on them (iron: of logarithms), and the part inside the 95 % band."""
+    h = held_out(read_table(spark, d, "obs"))
+    return h.groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 4).alias("mean_error"), F.round(F.avg(F.col("inside").cast("int")), 4).alias("coverage"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Stations within 500 m of each other, within 1 km of a river line, and inside a basin."""
     at = materialise(places.positions(read_table(spark, d, "stations"), "wqms_id", "lat", "lon"))
@@ -98,7 +104,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.unionByName(mixed)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_upstream": p2_upstream, "p2_upstream_counts": p2_upstream_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series, "p5_found": p5_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_upstream": p2_upstream, "p2_upstream_counts": p2_upstream_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_series": p4_series, "p4_held_out": p4_held_out, "p5_found": p5_found}
 #: Links as `hierarchy.parent_links` makes them, and their walk; a walk stops where it meets its own start.
 _WALK = """
 with recursive raw as (

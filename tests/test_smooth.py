@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tarnflow.operators.smooth import DAY, Trend, clipped, digest, joined, noise_of, smooth, weekly_series
+from tarnflow.operators.smooth import DAY, Trend, clipped, digest, held_out, joined, noise_of, smooth, weekly_series
 
 SCHEMA = "obs_id long, wqms_id string, ts timestamp_ntz, var string, value double, missing int"
 
@@ -136,3 +136,15 @@ def test_empty_and_single(spark):
     assert [(str(x["week_end"]), x["n_readings"], x["observed"], x["missing"]) for x in one] == [("2024-01-07", 2, 7.0, False)]
     late = weekly_series(spark.createDataFrame(rows_of("s", "pH", [(dt.datetime(2024, 1, 8), 7.0)]), SCHEMA)).collect()
     assert str(late[0]["week_end"]) == "2024-01-14"
+
+
+def test_held_out_readings_lie_in_the_band(spark):
+    r = random.Random(9)
+    start = dt.datetime(2023, 1, 2)
+    rows = rows_of("s", "pH", [(start + dt.timedelta(days=2 * i + r.random()), 7 + math.sin(i / 40) + r.gauss(0, 0.1)) for i in range(900)]) + rows_of("t", "pH", [(start, -5.0)] * 3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {x["t"]: x for x in held_out(df, 5).collect()}
+    assert 120 < len(whole) < 240 and 0.88 < sum(x["inside"] for x in whole.values()) / len(whole) <= 1 and sum(x["error"] for x in whole.values()) / len(whole) < 0.12
+    cut = {x["t"]: x for x in held_out(df, 5, rows_per_shard=100).collect()}
+    assert cut.keys() == whole.keys() and all(math.isclose(cut[k]["error"], whole[k]["error"], rel_tol=1e-6, abs_tol=1e-9) for k in whole)
+    assert held_out(df.limit(0)).collect() == []
