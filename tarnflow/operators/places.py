@@ -57,6 +57,19 @@ class Splits:
         return box, node - (2**self.depth - 1)
 
 
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Low and high corner of every leaf, infinite at the outside."""
+        dims = int(self.axis.max(initial=0)) + 1
+        low, high = np.full((1, max(dims, 2)), -np.inf), np.full((1, max(dims, 2)), np.inf)
+        for level in range(self.depth):
+            at = np.arange(2**level) + 2**level - 1
+            axis, value, row = self.axis[at], self.value[at], np.arange(2**level)
+            left_high, right_low = high.copy(), low.copy()
+            left_high[row, axis] = right_low[row, axis] = value
+            low, high = (np.stack(x, axis=1).reshape(2 ** (level + 1), -1) for x in ((low, right_low), (left_high, high)))
+        return low, high
+
+
 def fit_splits(points: DataFrame, axes: list[str], leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> Splits:
     """Splits that give leaves of about `leaf_rows` of `points`, fitted on about `sample_rows` of them.
 
@@ -285,29 +298,62 @@ def nearest_where(places: DataFrame, ident: str, targets: DataFrame, metres: flo
 def _assign_boxes(splits: Splits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x0, y0, x1, y1, west = (b.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1", "west"))
-            # an eastward ray from a point meets the edge only from the west of it, inside the region's extent
-            low = np.column_stack([np.minimum(west, np.minimum(x0, x1)), np.minimum(y0, y1)])
-            high = np.column_stack([np.maximum(x0, x1), np.maximum(y0, y1)])
-            box, leaf = splits.leaves(low, high)
+            x0, y0, x1, y1 = (b.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+            box, leaf = splits.leaves(np.column_stack([np.minimum(x0, x1), np.minimum(y0, y1)]), np.column_stack([np.maximum(x0, x1), np.maximum(y0, y1)]))
             out = b.take(pa.array(box))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(leaf, pa.int64())], [*out.schema.names, "leaf"])
 
     return run
 
 
-def _sweep(py: np.ndarray, px: np.ndarray, e: np.ndarray, region: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(point, region) pairs with the point inside, by a sweep northward over points and edges.
+def _corners(splits: Splits, most: int = 2_000_000):
+    """Kernel over edges: (leaf, region) with the number of the region's edges east of the leaf's south-east corner.
 
-    A block of points rising in y meets only the edges that the sweep line cuts there; a point is inside a region
-    if an odd number of its edges lie east of it. An edge holds its lower end and not its upper one.
+    Only corners between the region's west end and the edge count: further west no place of the leaf is inside. An edge
+    meets the few corners whose latitude it spans.
+    """
+    low, high = splits.boxes()
+    leaf = np.flatnonzero(np.isfinite(low[:, 1]) & np.isfinite(high[:, 0]))
+    leaf = leaf[np.argsort(low[leaf, 1], kind="stable")]
+    xs, ys = high[leaf, 0], low[leaf, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x0, y0, x1, y1, west, region = (b.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1", "west", "id"))
+            lo, hi = np.searchsorted(ys, np.minimum(y0, y1)), np.searchsorted(ys, np.maximum(y0, y1))
+            size = np.maximum(hi - lo, 0)
+            upto = np.cumsum(size)
+            for part in np.split(np.arange(len(size)), np.searchsorted(upto, np.arange(most, upto[-1] if len(upto) else 0, most))):
+                e = np.repeat(part, size[part])
+                c = np.repeat(lo[part], size[part]) + np.arange(len(e)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                hit = (xs[c] >= west[e]) & (xs[c] < x0[e] + (ys[c] - y0[e]) / (y1[e] - y0[e]) * (x1[e] - x0[e]))
+                pair, n = np.unique(np.column_stack([leaf[c[hit]], region[e[hit]]]), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64()), pa.array(n, pa.int64())], ["leaf", "id", "n"])
+
+    return run
+
+
+def _sweep(py: np.ndarray, px: np.ndarray, e: np.ndarray, region: np.ndarray, around: np.ndarray, south: float, east: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(point, region) pairs with the point inside, by a sweep northward over the points and edges of one leaf.
+
+    `around` are the regions that hold the leaf's south-east corner, (`east`, `south`). From there a path leads north
+    along the leaf's east side and then west to the point; the point is inside a region if the corner is, or not, as the
+    path crosses an even or odd number of the region's edges. All of these touch the leaf. A block of points rising in y
+    meets only the edges that the sweep line cuts there. An edge holds its lower and its west end, not the other.
     """
     order = np.argsort(py, kind="stable")
     py, px = py[order], px[order]
     bottom, top = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
     by_bottom = np.argsort(bottom, kind="stable")
     entered, active = 0, np.zeros(0, np.int64)
-    names, region_no = np.unique(region, return_inverse=True)
+    names, region_no = np.unique(np.concatenate([region, around]), return_inverse=True)
+    start = np.zeros(len(names), np.int64)
+    start[region_no[len(region) :]] = 1
+    region_no = region_no[: len(region)]
+    # where edges cross the leaf's east side, by region and then by y
+    side = np.flatnonzero((e[:, 0] <= east) != (e[:, 2] <= east))
+    at_y = e[side, 1] + (east - e[side, 0]) / (e[side, 2] - e[side, 0]) * (e[side, 3] - e[side, 1])
+    side, at_y = side[at_y > south], at_y[at_y > south]
     points, regions = [], []
     for at in range(0, len(py), block):
         y, x = py[at : at + block], px[at : at + block]
@@ -320,44 +366,60 @@ def _sweep(py: np.ndarray, px: np.ndarray, e: np.ndarray, region: np.ndarray, bl
         edge = np.repeat(active, size)
         p = np.repeat(lo, size) + np.arange(len(edge)) - np.repeat(np.cumsum(size) - size, size)
         x0, y0, x1, y1 = (e[edge, k] for k in range(4))
-        east = x0 + (y[p] - y0) / (y1 - y0) * (x1 - x0) > x[p]
-        key, crossings = np.unique(p[east] * len(names) + region_no[edge[east]], return_counts=True)
-        key = key[crossings % 2 == 1]
-        points.append(order[at + key // max(len(names), 1)])
-        regions.append(names[key % max(len(names), 1)])
+        cross = x0 + (y[p] - y0) / (y1 - y0) * (x1 - x0)
+        met = (cross > x[p]) & (cross <= east)
+        # on the way north: a step at the first point at or above each crossing, summed up over the points
+        odd = np.zeros((len(names), len(y) + 1), np.int64)
+        odd[:, 0] = start
+        np.add.at(odd, (region_no[side], np.searchsorted(y, at_y)), 1)
+        odd = np.cumsum(odd, axis=1)[:, :-1]
+        np.add.at(odd, (region_no[edge[met]], p[met]), 1)
+        r, k = np.nonzero(odd % 2)
+        points.append(order[at + k])
+        regions.append(names[r])
     return np.concatenate(points) if points else np.zeros(0, np.int64), np.concatenate(regions) if regions else np.zeros(0, np.int64)
 
 
-def _sweep_kernel(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    ids, e = table.column("id").to_numpy(), np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
-    side = table.column("side").to_numpy()
-    who, where = [], []
-    for s, t in zip(starts[:-1], starts[1:]):
-        m = s + np.searchsorted(side[s:t], 1)
-        if s < m < t:
-            p, r = _sweep(e[m:t, 1], e[m:t, 0], e[s:m], ids[s:m])
-            who.append(ids[m:t][p])
-            where.append(r)
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([join(who), join(where)], ["q_id", "region"])
+def _sweep_kernel(splits: Splits):
+    low, high = splits.boxes()
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, e = table.column("id").to_numpy(), np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
+        side, leaf = table.column("side").to_numpy(), table.column("leaf").to_numpy()
+        who, where = [], []
+        for s, t in zip(starts[:-1], starts[1:]):
+            m, n = s + np.searchsorted(side[s:t], 0), s + np.searchsorted(side[s:t], 1)  # corners, edges, points
+            if s < n < t:
+                p, r = _sweep(e[n:t, 1], e[n:t, 0], e[m:n], ids[m:n], ids[s:m], low[leaf[s], 1], high[leaf[s], 0])
+                who.append(ids[n:t][p])
+                where.append(r)
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([join(who), join(where)], ["q_id", "region"])
+
+    return run
 
 
 def inside_regions(places: DataFrame, ident: str, edges: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> DataFrame:
     """Pairs (who, region) of places inside polygons given as `wkb.edge_rows`; inner rings are outside.
 
-    Longitude and latitude are cut by k-d splits; every leaf gets its points and the edges that an eastward ray from
-    one of them can meet, and sweeps over both. A point on an edge may fall to either side.
+    Longitude and latitude are cut by k-d splits; every leaf gets its points, the edges that touch it, and the regions that
+    hold its south-east corner, which are counted over all edges beforehand, and sweeps over both. So an edge goes to the
+    leaves it touches, however many leaves its region covers. A point on an edge may fall to either side.
     """
     spots = materialise(places.select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
     edges = materialise(edges)
     reach = edges.agg(F.min(F.least("x0", "x1")).alias("w"), F.max(F.greatest("x0", "x1")).alias("e")).first()
     turned = spots.select("id", F.explode(F.array(*(F.col("lon") + F.lit(360.0 * k) for k in (-1, 0, 1)))).alias("x0"), F.col("lat").alias("y0"))
     turned = turned.filter(F.col("x0").between(*((reach[0], reach[1]) if reach[0] is not None else (1.0, 0.0))))
-    points = turned.select("id", "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x0").alias("west"), F.lit(1).alias("side"))
-    rows = edges.filter("y0 <> y1").drop("run").withColumn("side", F.lit(0))
+    points = turned.select("id", "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.lit(1).alias("side"))
+    rows = edges.select("id", "x0", "y0", "x1", "y1", F.lit(0).alias("side"))
     splits = fit_splits(points.select("x0", "y0").unionByName(rows.select("x0", "y0")), ["x0", "y0"], leaf_rows, sample_rows)
-    schema = "id bigint, x0 double, y0 double, x1 double, y1 double, west double, side int, leaf bigint"
+    splits.value += 1.2345e-11  # no vertex lies on a split, which then has no sides to choose from
+    schema = "id bigint, x0 double, y0 double, x1 double, y1 double, side int, leaf bigint"
     placed = points.unionByName(rows).mapInArrow(_assign_boxes(splits), schema)
-    found = map_lanes(placed, ["leaf"], ["side"], _sweep_kernel, "q_id bigint, region bigint", batch_rows=leaf_rows)
+    corners = edges.filter("y0 <> y1").mapInArrow(_corners(splits), "leaf bigint, id bigint, n bigint").groupBy("leaf", "id").agg(F.sum("n").alias("n")).filter("n % 2 = 1")
+    zero = F.lit(0.0)
+    corners = corners.select("id", *(zero.alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(-1).alias("side"), "leaf")
+    found = map_lanes(placed.unionByName(corners), ["leaf"], ["side"], _sweep_kernel(splits), "q_id bigint, region bigint", batch_rows=leaf_rows)
     held = places.join(spots, ["lat", "lon"]).select(F.col(ident).alias("who"), F.col("id").alias("q_id"))
     return found.join(held, "q_id").select("who", "region").distinct()

@@ -151,3 +151,20 @@ def test_dense_points_are_compared_in_parts():
     d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
     assert got == [(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 1.0))] and len(parts) > 50
     assert [len(q) for q, _, _ in LocalTree(points).within(points + 1e3, 1.0)] == [0]
+
+
+@pytest.mark.parametrize("kd", [{}, {"leaf_rows": 15, "sample_rows": 40}])
+def test_regions_with_level_and_upright_edges(spark, kd):
+    r = random.Random(11)
+    boxes = {k: (r.randrange(0, 12), r.randrange(0, 12), r.randrange(1, 9), r.randrange(1, 9)) for k in range(25)}
+    rows = []
+    for k, (x, y, w, h) in boxes.items():
+        outer = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        inner = [(x + w / 3, y + h / 3), (x + w / 3, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h / 3), (x + w / 3, y + h / 3)]
+        rows.append((k, polygon(outer, inner)))
+    edges = edge_rows(spark.createDataFrame(rows, "id long, geom binary"), "id")
+    pts = {f"s{i}": (r.uniform(-1, 21), r.uniform(-1, 21)) for i in range(400)}
+    at = spark.createDataFrame([(k, y, x) for k, (x, y) in pts.items()], "who string, lat double, lon double")
+    got = {tuple(x) for x in places.inside_regions(at, "who", edges, **kd).collect()}
+    within = lambda px, py, x, y, w, h: x < px < x + w and y < py < y + h and not (x + w / 3 < px < x + w / 2 and y + h / 3 < py < y + h / 2)
+    assert got == {(s, k) for s, (px, py) in pts.items() for k, b in boxes.items() if within(px, py, *b)} and len(got) > 300
