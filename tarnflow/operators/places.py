@@ -130,6 +130,34 @@ class LocalTree:
                 yield at + a[hit], p[hit], d[hit]
 
 
+    def closest(self, centres: np.ndarray, scale: np.ndarray, least: float, block: int = 1024, candidates: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (centre, point, distance) that hold each centre's nearest points and all points within `least`.
+
+        Points and centres are planar; differences are multiplied by `scale` (centre x axis). Nodes further than both
+        `least` and the surest upper bound of a centre's nearest distance are left out at every level.
+        """
+        for at in range(0, len(centres), block):
+            c, s = centres[at : at + block], scale[at : at + block]
+            q, node = np.arange(len(c)), np.zeros(len(c), np.int64)
+            bound = np.full(len(c), np.inf)
+            for level in range(self.depth + 1):
+                low, high = self.low[level][node], self.high[level][node]
+                near = np.sqrt((np.maximum(np.maximum(low - c[q], c[q] - high), 0) ** 2 * s[q] ** 2).sum(axis=1))
+                far = np.sqrt((np.maximum(np.abs(low - c[q]), np.abs(high - c[q])) ** 2 * s[q] ** 2).sum(axis=1))
+                np.minimum.at(bound, q, far)
+                keep = near <= np.maximum(bound[q], least) * (1 + 1e-12)
+                q, node = q[keep], node[keep]
+                if level < self.depth:
+                    q, node = np.repeat(q, 2), np.column_stack([2 * node, 2 * node + 1]).ravel()
+            size = self.edges[node + 1] - self.edges[node]
+            upto = np.cumsum(size)
+            for part in np.split(np.arange(len(q)), np.searchsorted(upto, np.arange(candidates, upto[-1] if len(upto) else 0, candidates))):
+                many = size[part]
+                a = np.repeat(q[part], many)
+                p = self.order[np.repeat(self.edges[node[part]], many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)]
+                yield at + a, p, np.sqrt(((c[a] - self.points[p]) ** 2 * s[a] ** 2).sum(axis=1))
+
+
 def _assign(splits: Splits, radius: float, own_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,6 +212,33 @@ def within_distance(queries: DataFrame, targets: DataFrame, metres: float, leaf_
     return map_lanes(placed, ["leaf"], ["side"], _pair_kernel(chord(metres)), out, batch_rows=leaf_rows)
 
 
+def _near_kernel(radius: float):
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        xyz = np.column_stack([table.column(a).to_numpy() for a in ("x", "y", "z")])
+        side = table.column("side").to_numpy()
+        hit = np.zeros(len(side), bool)
+        for s, e in zip(starts[:-1], starts[1:]):
+            m = s + np.searchsorted(side[s:e], 1)  # targets first
+            if s < m < e:
+                for q, _, _ in LocalTree(xyz[s:m]).within(xyz[m:e], radius):
+                    hit[m + q] = True
+        return pa.table([table.column("id").filter(pa.array(hit))], names=["id"])
+
+    return run
+
+
+def near_any(queries: DataFrame, targets: DataFrame, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> DataFrame:
+    """Ids of the queries with any target at most `metres` away: id, a row per query row, no pairs are listed.
+
+    Inputs and partitions are those of `within_distance`.
+    """
+    q, t = (df.dropna(subset=["id", "x", "y", "z"]).select("id", "x", "y", "z", F.lit(k).alias("side")) for df, k in ((queries, 1), (targets, 0)))
+    splits = fit_splits(q.unionByName(t), ["x", "y", "z"], leaf_rows, sample_rows)
+    schema = "id bigint, x double, y double, z double, side int, leaf bigint"
+    placed = q.mapInArrow(_assign(splits, chord(metres), True), schema).unionByName(t.mapInArrow(_assign(splits, chord(metres), False), schema))
+    return map_lanes(placed, ["leaf"], ["side"], _near_kernel(chord(metres)), "id bigint", batch_rows=leaf_rows)
+
+
 def positions(df: DataFrame, ident: str, lat: str, lon: str) -> DataFrame:
     """ident, lat, lon of every distinct position; longitudes are brought to -180..180, odd rows dropped.
 
@@ -261,38 +316,84 @@ def nearest_line(places: DataFrame, ident: str, edges: DataFrame, tiers: tuple[f
     return out.select("who", "line", "metres", "along", "lat", "lon")
 
 
-def nearest_where(places: DataFrame, ident: str, targets: DataFrame, metres: float, **kd) -> DataFrame:
+def _own_leaf(splits: Splits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.column_stack([b.column("lat").to_numpy(), b.column("lon").to_numpy()])
+            box, leaf = splits.leaves(p, p)  # a point lies in one leaf: below a split, or at and above it
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf[np.argsort(box)], pa.int64())], [*b.schema.names, "leaf"])
+
+    return run
+
+
+def _reaching(splits: Splits, least: float):
+    """Kernel: a row of each query for every leaf within `least`, or within what it has found."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.column_stack([b.column("lat").to_numpy(), b.column("lon").to_numpy()])
+            reach = np.maximum(b.column("best").to_numpy(), least) * (1 + 1e-9) / DEGREE_KM
+            wide = np.column_stack([reach, reach / np.maximum(np.cos(np.radians(at[:, 0])), 1e-9)])
+            q, leaf = splits.leaves(at - wide, at + wide)
+            out = b.take(pa.array(q))
+            yield pa.RecordBatch.from_arrays([out.column("id"), out.column("lat"), out.column("lon"), pa.array(leaf, pa.int64())], ["id", "lat", "lon", "leaf"])
+
+    return run
+
+
+def _closest_kernel(least: float):
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ids, side, valid = (table.column(c).to_numpy() for c in ("id", "side", "valid"))
+        at = np.column_stack([table.column(c).to_numpy() for c in ("lat", "lon")])
+        parts = []
+        for s, e in zip(starts[:-1], starts[1:]):
+            m = s + np.searchsorted(side[s:e], 1)  # targets first
+            if s < m < e:
+                scale = DEGREE_KM * np.column_stack([np.ones(e - m), np.cos(np.radians(at[m:e, 0]))])
+                for q, p, km in LocalTree(at[s:m]).closest(at[m:e], scale, least):
+                    for sure in (0, 1):  # the nearest, and the nearest valid one within reach
+                        ok = np.flatnonzero((valid[s + p] >= sure) & ((km <= least) | (sure == 0)))
+                        ok = ok[np.lexsort((ids[s + p[ok]], km[ok], q[ok]))]
+                        ok = ok[np.append(True, q[ok][1:] != q[ok][:-1])[: len(ok)]]
+                        parts.append((ids[m + q[ok]], ids[s + p[ok]], km[ok], np.full(len(ok), sure)))
+        q, p, km, sure = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0) for k in range(4))
+        return pa.table([pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(km, pa.float64()), pa.array(sure, pa.int32())], names=["q_id", "target", "km", "sure"])
+
+    return run
+
+
+# fixed value of the reference method: kilometres of a degree
+DEGREE_KM = 111.0
+
+
+def nearest_where(places: DataFrame, ident: str, targets: DataFrame, metres: float, leaf_rows: int = LEAF_ROWS, sample_rows: int = SPLIT_SAMPLE) -> DataFrame:
     """The nearest target of every place by three tiers: who, target, km, tier (1, 2, 3).
 
     `targets` has id, lat, lon, valid BOOLEAN. Tier 1 is the nearest valid one within `metres`, tier 2 the nearest at all
-    within it, tier 3 the nearest however far, sought in circles of twice the radius each until every place has one.
-    Distances are 111 km a degree, longitudes by the place's cosine; ties go to the smaller id.
+    within it, tier 3 the nearest however far. Distances are 111 km a degree, longitudes by the place's cosine; ties go to
+    the smaller id. Targets are cut into k-d leaves over latitude and longitude, each in one. A place first looks in the
+    leaf it lies in, and then in those whose targets may be nearer than what it found there, so a far place costs a few
+    leaves and not pairs with all that lies as near.
     """
-    places = materialise(places)
-    target = targets.select("id", *unit_vector("lat", "lon"), F.col("lat").alias("p0"), F.col("lon").alias("p1"), F.col("valid").cast("double").alias("p2"))
-    parts, left, reach = [], places, metres
-    while not left.isEmpty() and not targets.isEmpty():
-        spots = materialise(left.select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
-        queries = spots.select("id", *unit_vector("lat", "lon"), F.col("lat").alias("p0"), F.col("lon").alias("p1"))
-        # a degree has 111.195 km on the sphere and 111 km here
-        near = within_distance(queries, target, reach * 1.02, **kd)
-        wide = F.pmod(F.col("t1") - F.col("q1") + 180, F.lit(360.0)) - 180
-        km = F.hypot((F.col("t0") - F.col("q0")) * 111, wide * 111 * F.cos(F.radians("q0")))
-        inside = km * 1000 <= metres
-        tier = F.when(inside & (F.col("t2") == 1), 1).when(inside, 2).otherwise(3)
-        best = near.withColumn("km", km).filter(F.col("km") * 1000 <= reach).groupBy("q_id").agg(F.min(F.struct(tier.alias("tier"), "km", F.col("t_id").alias("target"))).alias("best"))
-        held = left.join(spots, ["lat", "lon"]).select(F.col(ident).alias("who"), F.col("id").alias("q_id"))
-        parts.append(materialise(best.join(held, "q_id").select("who", "best.target", "best.km", "best.tier")))
-        if reach > 2 * math.pi * EARTH_M:
-            break
-        left = materialise(left.join(parts[-1].select(F.col("who").alias(ident)), ident, "left_anti"))
-        reach *= 2
-    if not parts:
-        return places.select(F.col(ident).alias("who"), F.lit(0).cast("bigint").alias("target"), F.lit(0.0).alias("km"), F.lit(0).alias("tier")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    target = materialise(targets.dropna(subset=["id", "lat", "lon"]).select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.coalesce("valid", F.lit(False)).cast("int").alias("valid")))
+    splits = fit_splits(target, ["lat", "lon"], leaf_rows, sample_rows)
+    held = materialise(target.mapInArrow(_own_leaf(splits), "id bigint, lat double, lon double, valid int, leaf bigint"))
+    spots = materialise(places.select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
+    rows = held.withColumn("side", F.lit(0))
+    least = metres / 1000
+
+    def search(queries: DataFrame) -> DataFrame:
+        both = rows.unionByName(queries.select("id", "lat", "lon", F.lit(0).alias("valid"), "leaf", F.lit(1).alias("side")))
+        return map_lanes(both, ["leaf"], ["side"], _closest_kernel(least), "q_id bigint, target bigint, km double, sure int", leaf_rows)
+
+    own = search(spots.select("id", "lat", "lon", F.lit(0).alias("valid")).mapInArrow(_own_leaf(splits), "id bigint, lat double, lon double, valid int, leaf bigint"))
+    own = own.filter("sure = 0").groupBy(F.col("q_id").alias("id")).agg(F.min("km").alias("best"))
+    turned = spots.join(own, "id", "left").select("id", "lat", F.explode(F.array(*(F.col("lon") + F.lit(360.0 * k) for k in (-1, 0, 1)))).alias("lon"), F.coalesce("best", F.lit(1e9)).alias("best"))
+    found = search(turned.mapInArrow(_reaching(splits, least), "id bigint, lat double, lon double, leaf bigint"))
+    inside = F.col("km") * 1000 <= metres
+    tier = F.when(inside & (F.col("sure") == 1), 1).when(inside, 2).otherwise(3)
+    best = found.groupBy("q_id").agg(F.min(F.struct(tier.alias("tier"), "km", "target")).alias("best"))
+    where = places.join(spots, ["lat", "lon"]).select(F.col(ident).alias("who"), F.col("id").alias("q_id"))
+    return best.join(where, "q_id").select("who", "best.target", "best.km", "best.tier")
 
 
 def _assign_boxes(splits: Splits):

@@ -56,8 +56,8 @@ def near_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells within 5 km of any station, as mine cells are kept within a buffer of mineral finds."""
     point = lambda df: df.select("lat", "lon").distinct().select(F.monotonically_increasing_id().alias("id"), *places.unit_vector("lat", "lon"))
     cells = cell_positions(spark, d)
-    pairs = places.within_distance(cells.select(F.col("cell_id").alias("id"), *places.unit_vector("lat", "lon")), materialise(point(station_positions(spark, d))), 5000.0)
-    return pairs.select(F.col("q_id").alias("cell_id")).distinct()
+    near = places.near_any(cells.select(F.col("cell_id").alias("id"), *places.unit_vector("lat", "lon")), materialise(point(station_positions(spark, d))), 5000.0)
+    return near.select(F.col("id").alias("cell_id")).distinct()
 
 
 def nearest_ore_cell(spark: SparkSession, d: str) -> DataFrame:

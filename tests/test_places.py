@@ -140,6 +140,31 @@ def test_nearest_where_three_tiers(spark):
     assert places.nearest_where(at.limit(0), "who", targets, 5000.0).collect() == []
 
 
+@pytest.mark.parametrize("kd", [{}, {"leaf_rows": 20, "sample_rows": 50}])
+def test_nearest_where_and_near_any_against_all_pairs(spark, kd):
+    r = random.Random(12)
+    spot = lambda: (r.choice([10.0, 10.1, 60.0, -70.0]) + r.uniform(-0.2, 0.2), r.choice([0.0, 179.9, -179.9, 100.0]) + r.uniform(-0.1, 0.1))
+    targets = [(i, *spot(), r.random() < 0.5) for i in range(200)] + [(500 + i, *spot(), None) for i in range(5)]
+    targets += [(900 + i, *targets[i][1:]) for i in range(20)]
+    at = {f"s{i}": spot() for i in range(120)} | {"far": (-5.0, 40.0), "pole": (89.9, 10.0)}
+    at = {k: (y, (x + 180) % 360 - 180) for k, (y, x) in at.items()}
+    got = {x["who"]: (x["target"], x["tier"], round(x["km"], 6)) for x in places.nearest_where(spark.createDataFrame([(k, *v) for k, v in at.items()], "who string, lat double, lon double"), "who", spark.createDataFrame(targets, "id long, lat double, lon double, valid boolean"), 5000.0, **kd).collect()}
+
+    def best(y, x):
+        out = []
+        for i, a, b, ok in targets:
+            km = min(math.hypot((a - y) * 111, (b - x + turn) * 111 * math.cos(math.radians(y))) for turn in (-360, 0, 360))
+            out.append((1 if km <= 5 and ok else 2 if km <= 5 else 3, km, i))
+        tier, km, i = min(out)
+        return i, tier, round(km, 6)
+
+    assert got == {k: best(*v) for k, v in at.items()} and {x[1] for x in got.values()} == {1, 2, 3}
+    point = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double").select("id", *places.unit_vector("lat", "lon"))
+    q, u = [(i, *v) for i, v in enumerate(at.values())], [x[:3] for x in targets]
+    near = [x["id"] for x in places.near_any(point(q), point(u), 8000.0, **kd).collect()]
+    assert len(near) == len(set(near)) and set(near) == {i for i, y, x in q if any(metres((y, x), b[1:]) <= 8000 for b in u)} and len(near) > 20
+
+
 def test_dense_points_are_compared_in_parts():
     import numpy as np
 
