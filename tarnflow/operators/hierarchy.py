@@ -177,7 +177,9 @@ def resolve(links: DataFrame, keys: list[str] = [], block_nodes: int = BLOCK_NOD
     # of one of its own loop
     while step < most:
         far = left.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
-        left = materialise(left.join(far, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up")))
+        left, old = materialise(left.join(far, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"))), left
+        if step > 1:  # the first one is read below
+            release(old)
         step *= 2
     loop = materialise(left.select(*keys, F.col("up").alias("node")).distinct())
     turn = loop.join(own, [*keys, "node"])
@@ -185,7 +187,8 @@ def resolve(links: DataFrame, keys: list[str] = [], block_nodes: int = BLOCK_NOD
     step, most = 1, least.count()
     while step < most:
         other = least.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
-        least = materialise(least.join(other, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"), F.least("least", "_least").alias("least")))
+        least, old = materialise(least.join(other, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"), F.least("least", "_least").alias("least"))), least
+        release(old)
         step *= 2
     roots = least.select(*keys, F.col("node").alias("up"), F.col("least").alias("root"))
     on_loop = loop.select(*keys, "node", F.lit(True).alias("_on"))
@@ -207,10 +210,12 @@ def ancestors(links: DataFrame, resolved: DataFrame, keys: list[str] = []) -> Da
     while step < deepest:
         edge = pairs.filter(F.col("hops") == step).select(*keys, "node", F.col("ancestor").alias("_via"))
         more = pairs.select(*keys, F.col("node").alias("_via"), F.col("ancestor"), (F.col("hops") + F.lit(step)).alias("hops"))
-        pairs = pairs.unionByName(edge.join(more, [*keys, "_via"]).select(*keys, "node", "ancestor", "hops"))
+        longer = pairs.unionByName(edge.join(more, [*keys, "_via"]).select(*keys, "node", "ancestor", "hops"))
         step *= 2
         if step < deepest:
-            pairs = materialise(pairs)
+            longer = materialise(longer)
+            release(pairs)
+        pairs = longer
     return pairs
 
 
@@ -229,7 +234,8 @@ def paths(links: DataFrame, resolved: DataFrame, keys: list[str] = []) -> DataFr
         going = state.filter("up is not null")
         other = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("rest").alias("_rest"))
         going = going.join(other, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"), F.concat("rest", "_rest").alias("rest"))
-        state = materialise(going.unionByName(state.filter("up is null")))
+        state, old = materialise(going.unionByName(state.filter("up is null"))), state
+        release(old)
         step *= 2
     full = state.select(*keys, "node", F.concat(F.array("node"), "rest").alias("path"))
     return resolved.select(*keys, "node", "root", "depth").join(full, [*keys, "node"], "left")
@@ -326,7 +332,9 @@ def ancestors_within(links: DataFrame, seeds: DataFrame, most: float, keys: list
             break
         via = jump.select(*keys, F.col("node").alias("ancestor"), "up", F.col("total").alias("_more"))
         further = pairs.join(via, [*keys, "ancestor"]).select(*keys, "node", F.col("up").alias("ancestor"), (F.col("total") + F.col("_more")).alias("total"))
-        pairs = materialise(pairs.unionByName(further).filter(F.col("total") <= most).groupBy(*keys, "node", "ancestor").agg(F.min("total").alias("total")))
+        pairs, old = materialise(pairs.unionByName(further).filter(F.col("total") <= most).groupBy(*keys, "node", "ancestor").agg(F.min("total").alias("total"))), pairs
+        release(old)
         other = jump.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_more"))
-        jump = materialise(jump.join(other, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.col("_more")).alias("total")).filter(F.col("total") <= most))
+        jump, old = materialise(jump.join(other, [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up"), (F.col("total") + F.col("_more")).alias("total")).filter(F.col("total") <= most)), jump
+        release(old)
     return pairs

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.session import materialise
+from tarnflow.session import materialise, release
 
 #: Rows of a series in one time shard, and of a range that is ranked in one task.
 ROWS_PER_SHARD, BIN_ROWS = 8192, 100_000
@@ -182,6 +182,7 @@ def settled(ranked: DataFrame, keys: list[str], order: list[str], kernel: Kernel
         near = F.forall(F.zip_with("a", "b", lambda a, b: F.abs(a - b) <= 1e-10 * F.greatest(F.abs(a), F.abs(b))), lambda ok: F.coalesce(ok, F.lit(False)))
         if sides.filter(~near | F.exists("a", F.isnan) | (F.col("n") != 2)).isEmpty():
             return done.filter("edge is null")
+        release(done)
         halo *= 4
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators.hierarchy import accumulate, resolve
-from tarnflow.session import materialise
+from tarnflow.session import materialise, release
 
 
 def indegrees(links: DataFrame) -> DataFrame:
@@ -52,10 +52,12 @@ def downstream_closure(links: DataFrame, seeds: DataFrame, also: list[str] = [])
     # a round that marks nothing new is the last: all that lies within twice its links is marked then
     while count > before:
         below = marked.join(jump, "node").select(F.col("up").alias("node"), *also)
-        marked = materialise(marked.unionByName(below).distinct())
+        marked, old = materialise(marked.unionByName(below).distinct()), marked
+        release(old)
         before, count = count, marked.count()
         further = jump.select(F.col("node").alias("up"), F.col("up").alias("_up"))
-        jump = materialise(jump.join(further, "up").select("node", F.col("_up").alias("up")))
+        jump, old = materialise(jump.join(further, "up").select("node", F.col("_up").alias("up"))), jump
+        release(old)
     return marked
 
 
