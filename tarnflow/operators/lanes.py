@@ -96,22 +96,30 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str | Colum
     Rows equal in `order` have the same sum. No key is sorted in one task: sums are taken inside ranges of rows, and the
     ranges' totals are added up.
     """
+    return running_over(ranges(df, keys, order), keys, order, value, name).drop("_bin")
+
+
+def running_over(binned: DataFrame, keys: list[str], order: list[str], value: str | Column, name: str) -> DataFrame:
+    """`running` over a table that `ranges` has cut by the same keys and order already."""
     v = F.col(value) if isinstance(value, str) else value
-    binned = ranges(df, keys, order)
     ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*keys, "_bin").agg(F.sum(v).alias("_in_bin")).select(*keys, "_bin", F.coalesce(F.sum("_in_bin").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy(*keys, "_bin")
     upto, peers = F.sum(v).over(inside.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum(v).over(inside.partitionBy(*keys, "_bin", *order))
-    return binned.withColumn("_here", upto - peers).join(totals, [*keys, "_bin"]).withColumn(name, F.col("_ahead") + F.col("_here")).drop("_bin", "_here", "_ahead")
+    return binned.withColumn("_here", upto - peers).join(totals, [*keys, "_bin"]).withColumn(name, F.col("_ahead") + F.col("_here")).drop("_here", "_ahead")
 
 
 def lagged(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """`df` with `name`: `value` (not NULL) of the row before in `order`, NULL at a key's first row; ranges as in `running`."""
-    binned = ranges(df, keys, order)
+    return lagged_over(ranges(df, keys, order), keys, order, value, name).drop("_bin")
+
+
+def lagged_over(binned: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`lagged` over a table that `ranges` has cut by the same keys and order already."""
     last = binned.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_end"))
     last = last.select(*keys, "_bin", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_end"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
-    return binned.withColumn("_lag", F.lag(value).over(inside)).join(last, [*keys, "_bin"]).withColumn(name, F.coalesce("_lag", "_end")).drop("_bin", "_lag", "_end")
+    return binned.withColumn("_lag", F.lag(value).over(inside)).join(last, [*keys, "_bin"]).withColumn(name, F.coalesce("_lag", "_end")).drop("_lag", "_end")
 
 
 def lower_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:

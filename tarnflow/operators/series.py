@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators import raster
-from tarnflow.operators.lanes import lagged, running
+from tarnflow.operators.lanes import BIN_ROWS, lagged_over, ranges, running_over
+from tarnflow.session import materialise
 from tarnflow.sources.tables import micros
 
 DAY_US = 86_400_000_000
@@ -105,19 +106,30 @@ def prepare_flow(qav: DataFrame, qmi: DataFrame, qma: DataFrame, box: tuple[floa
     return seasonal_weeks(raster.drop_empty_lines(merged, "qav"), ["row", "col"], "lat").select("row", "col", "week", "q")
 
 
-def gap_clusters(df: DataFrame, keys: list[str], ts: str, gap_us: int, tie: str) -> DataFrame:
+def gap_clusters(df: DataFrame, keys: list[str], ts: str, gap_us: int, tie: str, rows_per_task: int = BIN_ROWS) -> DataFrame:
     """Number each key's rows by clusters parted by more than `gap_us`, and spread them in -0.5..0.5 inside each.
 
     Adds cluster (1, 2, ...), in_cluster (1, 2, ...), offset (0 alone in its cluster). Ties in time follow `tie`, which
-    should differ between rows of one time. Clusters are counted over ranges of rows (`lanes.running`): no key is sorted
-    in one task.
+    should differ between rows of one time. Keys of more than `rows_per_task` rows are counted over ranges of rows
+    (`lanes.running_over`), the others in a window each; both give the same.
     """
+    hot = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task).select(*keys))
+    t, added = micros(ts), ["cluster", "in_cluster", "offset"]
+    spread = lambda k, n: F.when(n > 1, (k - 1) / (n - 1) - 0.5).otherwise(0.0)
+    along = Window.partitionBy(*keys).orderBy(ts, tie)
+    inside = Window.partitionBy(*keys, "cluster")
+    short = df.join(hot, keys, "left_anti").withColumn("_new", F.when(t - F.lag(t).over(along) > gap_us, 1).otherwise(0))
+    short = short.withColumn("cluster", F.sum("_new").over(along) + 1)
+    k, n = F.row_number().over(inside.orderBy(ts, tie)), F.count(F.lit(1)).over(inside)
+    short = short.withColumns({"in_cluster": k.cast("bigint"), "offset": spread(k, n)}).select(*df.columns, *added)
+    if hot.isEmpty():
+        return short
     order = ["_us", tie]
-    rows = lagged(df.withColumn("_us", micros(ts)), keys, order, "_us", "_last")
+    rows = ranges(materialise(df.join(hot, keys).withColumn("_us", t)), keys, order, rows_per_task)
+    rows = lagged_over(rows, keys, order, "_us", "_last")
     new = F.coalesce((F.col("_us") - F.col("_last") > gap_us).cast("int"), F.lit(0))
-    rows = running(rows.withColumn("_new", new).drop("_last"), keys, order, "_new", "_before")
-    rows = running(rows.withColumn("cluster", F.col("_before") + F.col("_new") + 1).drop("_before", "_new"), keys, order, F.lit(1), "_rank")
+    rows = running_over(materialise(rows.withColumn("_new", new).drop("_last")), keys, order, "_new", "_before")
+    rows = materialise(running_over(rows.withColumn("cluster", F.col("_before") + F.col("_new") + 1).drop("_before", "_new"), keys, order, F.lit(1), "_rank"))
     sizes = rows.groupBy(*keys, "cluster").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     k, n = F.col("_rank") - F.col("_first") + 1, F.col("_n")
-    out = rows.join(sizes, [*keys, "cluster"]).withColumns({"in_cluster": k, "offset": F.when(n > 1, (k - 1) / (n - 1) - 0.5).otherwise(0.0)})
-    return out.select(*df.columns, "cluster", "in_cluster", "offset")
+    return short.unionByName(rows.join(sizes, [*keys, "cluster"]).withColumns({"in_cluster": k, "offset": spread(k, n)}).select(*df.columns, *added))

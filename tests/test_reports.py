@@ -65,19 +65,19 @@ def test_prepared_flow_is_cut_to_box_and_years(spark):
     assert series.prepare_flow(*fields, (-60.0, -50.0, -5.0, 5.0), (2000, 2000), calendar).collect() == []
 
 
-def test_gap_clusters_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(lanes, "BIN_ROWS", 40)
+def test_gap_clusters_over_ranges(spark):
     r = random.Random(3)
     day, t0, rows = 0, dt.datetime(2020, 1, 1), []
     for i in range(300):
         day += r.choice([1, 1, 2, 9])
         rows.append(("a" if i % 3 else "b", t0 + dt.timedelta(days=day), i))
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int")
-    got = {x["id"]: (x["cluster"], x["in_cluster"]) for x in series.gap_clusters(df, ["k"], "ts", 5 * series.DAY_US, "id").collect()}
     want = {}
     for k in "ab":
         last, cluster, n = None, 1, 0
         for _, t, i in sorted(x for x in rows if x[0] == k):
             cluster, n = (cluster + 1, 1) if last and t - last > dt.timedelta(days=5) else (cluster, n + 1)
             want[i], last = (cluster, n), t
-    assert got == want
+    for most in (40, 120, 1000):  # both series long, one, none
+        got = {x["id"]: (x["cluster"], x["in_cluster"]) for x in series.gap_clusters(df, ["k"], "ts", 5 * series.DAY_US, "id", most).collect()}
+        assert got == want
